@@ -121,7 +121,7 @@ def ms_int_to_time(
     col: Column | str, reference_ms: int = MS_MIDNIGHT, fmt: str = "HH:mm:ss"
 ) -> Column:
     """Milliseconds after a reference midnight → time of day as an interval."""
-    instant = F.timestamp_millis((as_col(col) - F.lit(reference_ms)).cast("long"))
+    instant = F.timestamp_millis(as_col(col).cast("long") - F.lit(reference_ms))
     return F.date_format(instant, fmt).cast("interval hour to second")
 
 
