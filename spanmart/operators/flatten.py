@@ -79,6 +79,7 @@ def _finish(
 
 def _flatten(
     df: DataFrame,
+    keys: list[str],
     group: list[str],
     compare: list[str],
     start: str,
@@ -88,8 +89,9 @@ def _flatten(
     hot_rows: int | None,
 ) -> DataFrame:
     df = df.select(*dict.fromkeys([*out, start, end]))
-    part = df.select(*group, position(df, start).alias("__lo")).withColumn("__hi", F.col("__lo"))
-    hot = find_hot_keys([part], group, hot_rows)
+    # Keys alone are counted: when no key is hot, no (key, value) group is.
+    part = df.select(*keys, position(df, start).alias("__lo")).withColumn("__hi", F.col("__lo"))
+    hot = find_hot_keys([part], keys, hot_rows)
     regular = hot.regular(df)
     if regular is not None:
         islands = (
@@ -174,7 +176,8 @@ def flatten_sequential_rows(
     """
     _need_keys(keys)
     values = _value_columns(df, [*keys, start, end], value_cols, exclude_cols)
-    flat = _flatten(df, keys, values, start, end, [*keys, *values], keep_open_end, hot_rows)
+    out = [*keys, *values]
+    flat = _flatten(df, keys, keys, values, start, end, out, keep_open_end, hot_rows)
     return _sorted(flat, [*keys, start], sort)
 
 
@@ -195,7 +198,7 @@ def flatten_sequential_rows_mixed_datatypes(
     if preset_filter is not None:
         df = df.filter(preset_filter)
     group = [*keys, *values]
-    return _flatten(df, group, [], start, end, group, keep_open_end, hot_rows)
+    return _flatten(df, keys, group, [], start, end, group, keep_open_end, hot_rows)
 
 
 def flatten_sequential_rows_no_value_cols(
@@ -209,7 +212,7 @@ def flatten_sequential_rows_no_value_cols(
 ) -> DataFrame:
     """Islands of coverage per key; values are ignored."""
     _need_keys(keys)
-    flat = _flatten(df, keys, [], start, end, list(keys), keep_open_end, hot_rows)
+    flat = _flatten(df, keys, keys, [], start, end, list(keys), keep_open_end, hot_rows)
     return _sorted(flat, [*keys, start], sort)
 
 
