@@ -54,49 +54,49 @@ def range_join(
     non-key names must differ.
     """
     names = [c for c in intervals.columns if c not in keys]
-    filed = intervals.withColumn("__end", end).filter(F.col(start) < F.col("__end"))
+    filed = intervals.withColumn("__rj_end", end).filter(F.col(start) < F.col("__rj_end"))
     first = position(filed, start)
-    last = position(filed, "__end")
+    last = position(filed, "__rj_end")
     # Bit length of the length: the smallest n with 2^n > length, so that the
     # closed range [first, last] touches at most two buckets of that width.
     bits = F.length(F.bin(F.greatest(last - first, F.lit(0))))
     shift = F.least(
         (F.ceil(bits / F.lit(_WIDTH_BITS)) * F.lit(_WIDTH_BITS)).cast("int"), F.lit(_MAX_SHIFT)
     )
-    filed = filed.withColumns({"__first": first, "__last": last, "__shift": shift})
+    filed = filed.withColumns({"__rj_first": first, "__rj_last": last, "__rj_shift": shift})
     buckets = F.array_distinct(
         F.array(
-            F.expr("shiftright(__first, __shift)"),
-            F.expr("shiftright(__last, __shift)"),
+            F.expr("shiftright(__rj_first, __rj_shift)"),
+            F.expr("shiftright(__rj_last, __rj_shift)"),
         )
     )
-    filed = filed.withColumn("__bucket", F.explode(buckets)).drop("__first", "__last")
+    filed = filed.withColumn("__rj_bucket", F.explode(buckets)).drop("__rj_first", "__rj_last")
     filed = filed.select(
         *[F.col(k).alias(f"__i_{k}") for k in keys],
         *names,
-        "__end",
-        F.col("__shift").alias("__i_shift"),
-        F.col("__bucket").alias("__i_bucket"),
+        "__rj_end",
+        F.col("__rj_shift").alias("__i_rj_shift"),
+        F.col("__rj_bucket").alias("__i_rj_bucket"),
     )
 
     widths = (
         filed.groupBy(*[f"__i_{k}" for k in keys])
-        .agg(F.collect_set("__i_shift").alias("__shifts"))
-        .select(*[F.col(f"__i_{k}").alias(f"__w_{k}") for k in keys], "__shifts")
+        .agg(F.collect_set("__i_rj_shift").alias("__rj_shifts"))
+        .select(*[F.col(f"__i_{k}").alias(f"__w_{k}") for k in keys], "__rj_shifts")
     )
-    probing = points.withColumn("__point", position(points, point)).filter(F.col(point).isNotNull())
+    probing = points.withColumn("__rj_point", position(points, point)).filter(F.col(point).isNotNull())
     # One row of at most 32 widths per key.
     probing = probing.join(hot.small(widths), key_condition(probing, widths, keys, "__w_"))
     probing = probing.select(
-        *points.columns, "__point", F.explode("__shifts").alias("__shift")
-    ).withColumn("__bucket", F.expr("shiftright(__point, __shift)"))
+        *points.columns, "__rj_point", F.explode("__rj_shifts").alias("__rj_shift")
+    ).withColumn("__rj_bucket", F.expr("shiftright(__rj_point, __rj_shift)"))
 
     meets = (
         key_condition(probing, filed, keys, "__i_")
-        & (probing["__shift"] == filed["__i_shift"])
-        & (probing["__bucket"] == filed["__i_bucket"])
+        & (probing["__rj_shift"] == filed["__i_rj_shift"])
+        & (probing["__rj_bucket"] == filed["__i_rj_bucket"])
         & (filed[start] <= probing[point])
-        & (probing[point] < filed["__end"])
+        & (probing[point] < filed["__rj_end"])
     )
     return probing.join(filed, meets).select(*points.columns, *names)
 
@@ -307,6 +307,7 @@ def common_interval_join(
     ``tables`` holds (table, start column, end column). A NULL bound is open
     and does not limit the common interval. Column names other than the keys
     must differ between the tables. The common interval is added in two columns.
+    Rows that no table bounds on some side at all are left out.
     """
     if len(tables) < 2:
         raise ValueError("common_interval_join needs at least two tables")
@@ -317,6 +318,7 @@ def common_interval_join(
         joined = _common_pair(joined, starts, ends, other, keys, o_start, o_end, hot_rows)
         starts.append(o_start)
         ends.append(o_end)
+    joined = joined.filter(intervals_overlap(starts, ends))
     return joined.withColumns(
         {start_name: merged_interval_below(starts), end_name: merged_interval_above(ends)}
     )
@@ -345,9 +347,9 @@ def _common_pair(
     regular = hot.regular(left)
     if regular is not None:
         other = hot.regular(right).select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values)
-        meets = key_condition(regular, other, keys, "__r_") & intervals_overlap(
-            [*starts, r_start], [*ends, r_end]
-        )
+        # Open on all sides so far: a later table may still bound the interval.
+        common = intervals_overlap([*starts, r_start], [*ends, r_end])
+        meets = key_condition(regular, other, keys, "__r_") & F.coalesce(common, F.lit(True))
         regular = regular.join(other, meets).select(*columns)
     if hot.stats is None:
         return regular
