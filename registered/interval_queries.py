@@ -19,7 +19,9 @@ from spanmart.operators.flatten import (
     flatten_sequential_rows_mixed_datatypes,
     flatten_sequential_rows_no_value_cols,
 )
+from spanmart.operators.hotkeys import find_hot_keys, timeline
 from spanmart.operators.interval_joins import (
+    PAIR_ROWS,
     common_interval_join,
     extend_back,
     interval_overlap_join,
@@ -134,20 +136,27 @@ _MERGED = "o_custkey, interval_start, interval_end"
 _BOTH = f"{_MERGED}, left_o_orderstatus, o_orderpriority, right_o_orderstatus, shipment"
 
 
-def _timelines(spark, sf_dir):
+def _timelines(spark, sf_dir, hot):
     left = sequentialize_table(
         periods(spark, sf_dir), [KEY], START, END, ["o_orderkey"],
-        value_cols=["o_orderstatus", "o_orderpriority"],
+        value_cols=["o_orderstatus", "o_orderpriority"], hot_rows=hot,
     )
     right = sequentialize_table(
         shipments(spark, sf_dir), [KEY], "ship_from", "ship_to", ["shipment", "part"],
-        value_cols=["o_orderstatus", "shipment"],
+        value_cols=["o_orderstatus", "shipment"], hot_rows=hot,
     )
     return left, right
 
 
-def _merge(spark, sf_dir, **options):
-    left, right = _timelines(spark, sf_dir)
+def _merge(spark, sf_dir, hot_rows=PAIR_ROWS, **options):
+    sources = [
+        timeline(periods(spark, sf_dir), [KEY], START, END),
+        timeline(shipments(spark, sf_dir), [KEY], "ship_from", "ship_to"),
+    ]
+    # Counted once, on the sources, for all three operators.
+    hot = find_hot_keys(sources, [KEY], hot_rows)
+    options["hot_rows"] = hot
+    left, right = _timelines(spark, sf_dir, hot)
     return merge_sequential_intervals(
         left, right, [KEY], START, END, ["o_orderstatus", "o_orderpriority"],
         "ship_from", "ship_to", ["o_orderstatus", "shipment"], **options,
@@ -156,18 +165,18 @@ def _merge(spark, sf_dir, **options):
 
 @QUERIES.query(f"{_MERGE} SELECT {_BOTH} FROM merged WHERE in_left")
 def merge_intervals_left(spark, sf_dir):
-    return _merge(spark, sf_dir)
+    return _merge(spark, sf_dir, sequential=True)
 
 
 @QUERIES.query(f"{_MERGE} SELECT {_BOTH} FROM merged WHERE in_left OR in_right")
 def merge_intervals_outer(spark, sf_dir):
-    return _merge(spark, sf_dir, join_type="outer")
+    return _merge(spark, sf_dir, join_type="outer", sequential=True)
 
 
 @QUERIES.query(f"{_MERGE} SELECT {_BOTH} FROM merged WHERE in_left OR in_right")
 def merge_intervals_sliced(spark, sf_dir):
     """Same rows with the busier customers on the sliced path."""
-    return _merge(spark, sf_dir, join_type="outer", hot_rows=90)
+    return _merge(spark, sf_dir, join_type="outer", sequential=True, hot_rows=60)
 
 
 @QUERIES.query(f"""{_MERGE} SELECT {_MERGED}, left_o_orderstatus AS o_orderstatus,
@@ -182,6 +191,40 @@ def merge_intervals_common_right(spark, sf_dir):
     return _merge(spark, sf_dir, common="right")
 
 
+_RAW_MERGE = f"""WITH {PERIODS_SQL}, {SHIPMENTS_SQL}, points AS (
+  SELECT DISTINCT o_custkey, p FROM (
+    SELECT o_custkey, unnest([valid_from, valid_to]) AS p FROM periods
+    UNION ALL SELECT o_custkey, unnest([ship_from, ship_to]) FROM shipments)
+  WHERE p IS NOT NULL),
+pieces AS (
+  SELECT o_custkey, p AS a, lead(p) OVER (PARTITION BY o_custkey ORDER BY p) AS b FROM points)
+SELECT m.o_custkey, m.a AS interval_start, m.b AS interval_end, l.o_orderkey, r.shipment
+FROM pieces m
+LEFT JOIN periods l ON l.o_custkey = m.o_custkey AND l.valid_from < coalesce(m.b, {FAR})
+      AND coalesce(l.valid_to, {FAR}) > m.a
+LEFT JOIN shipments r ON r.o_custkey = m.o_custkey AND r.ship_from < coalesce(m.b, {FAR})
+      AND coalesce(r.ship_to, {FAR}) > m.a
+WHERE l.o_custkey IS NOT NULL OR r.o_custkey IS NOT NULL"""
+
+
+def _merge_raw(spark, sf_dir, **options):
+    return merge_sequential_intervals(
+        periods(spark, sf_dir), shipments(spark, sf_dir), [KEY], START, END, ["o_orderkey"],
+        "ship_from", "ship_to", ["shipment"], join_type="outer", **options,
+    )
+
+
+@QUERIES.query(_RAW_MERGE)
+def merge_overlapping(spark, sf_dir):
+    """Tables whose own rows overlap: every combination of a piece is kept."""
+    return _merge_raw(spark, sf_dir)
+
+
+@QUERIES.query(_RAW_MERGE)
+def merge_overlapping_sliced(spark, sf_dir):
+    return _merge_raw(spark, sf_dir, hot_rows=60)
+
+
 # ------------------------------------------------------------ flatten
 
 

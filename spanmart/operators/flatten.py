@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position
+from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position, timeline
 from spanmart.operators.ordinals import WINDOW_ROWS
 
 
@@ -86,24 +86,21 @@ def _flatten(
     end: str,
     out: list[str],
     keep_open_end: bool,
-    hot_rows: int | None,
+    hot_rows: int | None | HotKeys,
 ) -> DataFrame:
     df = df.select(*dict.fromkeys([*out, start, end]))
     # Keys alone are counted: when no key is hot, no (key, value) group is.
-    part = df.select(*keys, position(df, start).alias("__lo")).withColumn("__hi", F.col("__lo"))
-    hot = find_hot_keys([part], keys, hot_rows)
-    regular = hot.regular(df)
-    if regular is not None:
-        islands = (
-            _local_islands(regular, group, compare, start, end)
-            .groupBy(*group, *compare, "__island")
-            .agg(*_bounds(start, end), F.max(F.col(end).isNull()).alias("__open"))
-        )
-        regular = _finish(islands, out, start, end, keep_open_end)
-    if hot.stats is None:
+    hot = find_hot_keys([timeline(df, keys, start)], keys, hot_rows)
+    islands = (
+        _local_islands(hot.regular(df), group, compare, start, end)
+        .groupBy(*group, *compare, "__island")
+        .agg(*_bounds(start, end), F.max(F.col(end).isNull()).alias("__open"))
+    )
+    regular = _finish(islands, out, start, end, keep_open_end)
+    if not hot.found:
         return regular
     sliced = _flatten_sliced(hot, df, group, compare, start, end)
-    return both_paths(hot, regular, _finish(sliced, out, start, end, keep_open_end))
+    return both_paths(regular, _finish(sliced, out, start, end, keep_open_end))
 
 
 def _flatten_sliced(
@@ -167,7 +164,7 @@ def flatten_sequential_rows(
     exclude_cols: list[str] | None = None,
     keep_open_end: bool = False,
     sort: bool = False,
-    hot_rows: int | None = WINDOW_ROWS,
+    hot_rows: int | None | HotKeys = WINDOW_ROWS,
 ) -> DataFrame:
     """Merge a row into the one before it when they touch and all values agree.
 
@@ -190,7 +187,7 @@ def flatten_sequential_rows_mixed_datatypes(
     exclude_cols: list[str] | None = None,
     preset_filter: Column | None = None,
     keep_open_end: bool = False,
-    hot_rows: int | None = WINDOW_ROWS,
+    hot_rows: int | None | HotKeys = WINDOW_ROWS,
 ) -> DataFrame:
     """Merge touching rows of one key **and** value, whatever lies in between."""
     _need_keys(keys)
@@ -208,7 +205,7 @@ def flatten_sequential_rows_no_value_cols(
     end: str,
     keep_open_end: bool = False,
     sort: bool = False,
-    hot_rows: int | None = WINDOW_ROWS,
+    hot_rows: int | None | HotKeys = WINDOW_ROWS,
 ) -> DataFrame:
     """Islands of coverage per key; values are ignored."""
     _need_keys(keys)

@@ -6,10 +6,10 @@ key holds a third of the table. The interval operators therefore run one narrow
 counting job first and send the few hot keys down a path whose work is spread
 over slices of the key's own timeline. Every path gives the same rows.
 
-The list of hot keys comes to the driver only up to ``max_hot`` entries, which
-bounds what is broadcast. When more keys than that are hot, nothing is
-broadcast: all rows take the sliced path and key statistics are joined by
-shuffle.
+The list of hot keys comes to the driver only up to ``max_hot`` entries,
+largest first, which bounds what is broadcast. When more keys than that are
+hot, the others are told apart by a shuffle join; none of them can hold more
+than 1/max_hot of the rows.
 """
 
 from __future__ import annotations
@@ -53,37 +53,46 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], right_prefix:
 class HotKeys:
     """Hot keys with their row count and time range.
 
-    ``stats`` has columns ``__k_<key>``, ``__n``, ``__lo``, ``__hi``.
+    ``listed`` is a local table of the largest hot keys, at most ``max_hot``
+    rows; ``rest`` holds further hot keys, if any, and is never broadcast by
+    hint. Both have columns ``__k_<key>``, ``__n``, ``__lo``, ``__hi``.
     """
 
     keys: list[str]
-    stats: DataFrame | None
-    hot_rows: int
-    everything: bool = False
+    hot_rows: int = 0
+    listed: DataFrame | None = None
+    rest: DataFrame | None = None
 
-    def _hint(self, df: DataFrame) -> DataFrame:
-        # Bounded by max_hot rows unless every key is treated as hot.
-        return df if self.everything else F.broadcast(df)
+    @property
+    def found(self) -> bool:
+        return self.listed is not None
 
-    def regular(self, df: DataFrame) -> DataFrame | None:
-        """Rows of keys that fit one task, or None when there are none."""
-        if self.stats is None:
+    def _without(self, df: DataFrame, stats: DataFrame) -> DataFrame:
+        return df.join(stats, same_keys(df, stats, self.keys, "__k_"), "left_anti")
+
+    def _only(self, df: DataFrame, stats: DataFrame) -> DataFrame:
+        joined = df.join(stats, same_keys(df, stats, self.keys, "__k_"))
+        return joined.drop(*[f"__k_{k}" for k in self.keys])
+
+    def regular(self, df: DataFrame) -> DataFrame:
+        """Rows of keys that fit one task."""
+        if not self.found:
             return df
-        if self.everything:
-            return None
-        return df.join(
-            self._hint(self.stats), same_keys(df, self.stats, self.keys, "__k_"), "left_anti"
-        )
+        kept = self._without(df, F.broadcast(self.listed))
+        # What is left here has no key above 1/max_hot of all rows.
+        return kept if self.rest is None else self._without(kept, self.rest)
 
     def hot(self, df: DataFrame) -> DataFrame:
         """Rows of hot keys with the key statistics attached."""
-        return df.join(
-            self._hint(self.stats), same_keys(df, self.stats, self.keys, "__k_")
-        ).drop(*[f"__k_{k}" for k in self.keys])
+        largest = self._only(df, F.broadcast(self.listed))
+        if self.rest is None:
+            return largest
+        others = self._only(self._without(df, F.broadcast(self.listed)), self.rest)
+        return largest.unionByName(others)
 
     def small(self, df: DataFrame) -> DataFrame:
-        """Mark a one-row-per-hot-key table as broadcastable where that is proven."""
-        return self._hint(df)
+        """Mark a table with one row per hot key for broadcast where its size is proven."""
+        return F.broadcast(df) if self.rest is None else df
 
     def slice_of(self, pos: Column, nulls_first: bool) -> Column:
         """Slice number of a position: grows with the position along the key's timeline."""
@@ -100,16 +109,33 @@ class HotKeys:
         ).cast("long")
 
 
+def timeline(df: DataFrame, keys: list[str], start: str, end: str | None = None) -> DataFrame:
+    """Keys and time range of each row, as ``find_hot_keys`` wants them."""
+    lo = position(df, start)
+    hi = position(df, end) if end else lo
+    return df.select(*keys, lo.alias("__lo"), F.greatest(lo, hi).alias("__hi"))
+
+
 def find_hot_keys(
-    parts: list[DataFrame], keys: list[str], hot_rows: int | None, max_hot: int = MAX_HOT_KEYS
+    parts: list[DataFrame],
+    keys: list[str],
+    hot_rows: int | None | HotKeys,
+    max_hot: int = MAX_HOT_KEYS,
 ) -> HotKeys:
-    """Count rows per key over ``parts`` (columns: keys, ``__lo``, ``__hi``).
+    """Count rows per key over ``parts`` (see ``timeline``).
 
     One job: a scan of key and interval columns with map-side partial counts.
-    ``hot_rows=None`` skips it and declares that no key is hot.
+    ``hot_rows=None`` skips it and declares that no key is hot. A ``HotKeys``
+    from an earlier count is used as it is, which saves the job when several
+    operators work on the same keys; counts of an input stand in for counts of
+    what is derived from it.
     """
+    if isinstance(hot_rows, HotKeys):
+        if hot_rows.keys != list(keys):
+            raise ValueError(f"hot keys were counted by {hot_rows.keys}, not by {list(keys)}")
+        return hot_rows
     if hot_rows is None:
-        return HotKeys(keys, None, 0)
+        return HotKeys(list(keys))
     if hot_rows < 1 or max_hot < 1:
         raise ValueError("hot_rows and max_hot must be positive")
     named = [
@@ -119,18 +145,25 @@ def find_hot_keys(
         reduce(DataFrame.unionByName, named)
         .groupBy(*[f"__k_{k}" for k in keys])
         .agg(F.count(F.lit(1)).alias("__n"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+        .filter(F.col("__n") > hot_rows)
+    )
+    largest = stats.orderBy(F.col("__n").desc()).limit(max_hot + 1).collect()
+    if not largest:
+        return HotKeys(list(keys), hot_rows)
+    spark = stats.sparkSession
+    listed = spark.createDataFrame(largest[:max_hot], stats.schema)
+    if len(largest) <= max_hot:
+        return HotKeys(list(keys), hot_rows, listed)
+    rest = stats.join(
+        F.broadcast(listed.select([F.col(f"__k_{k}").alias(f"__l_{k}") for k in keys])),
+        reduce(
+            lambda a, b: a & b, (F.col(f"__k_{k}").eqNullSafe(F.col(f"__l_{k}")) for k in keys)
+        ),
+        "left_anti",
     )
-    found = stats.filter(F.col("__n") > hot_rows).limit(max_hot + 1).collect()
-    if not found:
-        return HotKeys(keys, None, hot_rows)
-    if len(found) > max_hot:
-        return HotKeys(keys, stats, hot_rows, everything=True)
-    local = stats.sparkSession.createDataFrame(found, stats.schema)
-    return HotKeys(keys, local, hot_rows)
+    return HotKeys(list(keys), hot_rows, listed, rest)
 
 
-def both_paths(hot: HotKeys, regular: DataFrame | None, sliced: DataFrame | None) -> DataFrame:
+def both_paths(regular: DataFrame, sliced: DataFrame | None) -> DataFrame:
     """Union of the two paths' results."""
-    if sliced is None:
-        return regular
-    return sliced if regular is None else regular.unionByName(sliced)
+    return regular if sliced is None else regular.unionByName(sliced)

@@ -22,11 +22,12 @@ from spanmart.functions.predicates import (
     merged_interval_above,
     merged_interval_below,
 )
-from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position
+from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position, timeline
 from spanmart.operators.ordinals import WINDOW_ROWS, running_ordinal
 
-# A pairwise comparison inside one key stays cheap up to this many rows.
-PAIR_ROWS = 20_000
+# Up to this many rows, comparing a key's rows pairwise beats the extra shuffles
+# of the other way.
+PAIR_ROWS = 2_000
 
 # Bits by which bucket widths grow.
 _WIDTH_BITS = 2
@@ -129,12 +130,6 @@ def overlap_pairs(
     )
 
 
-def _timeline(df: DataFrame, keys: list[str], start: str, end: str | None = None) -> DataFrame:
-    lo = position(df, start)
-    hi = position(df, end) if end else lo
-    return df.select(*keys, lo.alias("__lo"), F.greatest(lo, hi).alias("__hi"))
-
-
 def _check_names(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
     if not keys:
         raise ValueError("interval joins need at least one key column")
@@ -162,7 +157,7 @@ def interval_overlap_join(
     r_end: str,
     how: str = "inner",
     far_future: object = None,
-    hot_rows: int | None = PAIR_ROWS,
+    hot_rows: int | None | HotKeys = PAIR_ROWS,
 ) -> DataFrame:
     """Rows with equal keys whose [start, end) overlap; a NULL end is open."""
     if how not in ("inner", "left"):
@@ -171,22 +166,21 @@ def interval_overlap_join(
     l_last = F.coalesce(F.col(l_end), far_future_for(left, l_end, far_future))
     r_last = F.coalesce(F.col(r_end), far_future_for(right, r_end, far_future))
     hot = find_hot_keys(
-        [_timeline(left, keys, l_start, l_end), _timeline(right, keys, r_start, r_end)],
+        [timeline(left, keys, l_start, l_end), timeline(right, keys, r_start, r_end)],
         keys,
         hot_rows,
     )
     regular = hot.regular(left)
     names = [*left.columns, *[c for c in right.columns if c not in keys]]
-    if regular is not None:
-        other = hot.regular(right).select(
-            *[F.col(k).alias(f"__r_{k}") for k in keys],
-            *[c for c in right.columns if c not in keys],
-        )
-        meets = key_condition(regular, other, keys, "__r_") & (
-            (F.col(l_start) < r_last) & (F.col(r_start) < l_last)
-        )
-        regular = regular.join(other, meets, how).select(*names)
-    if hot.stats is None:
+    other = hot.regular(right).select(
+        *[F.col(k).alias(f"__r_{k}") for k in keys],
+        *[c for c in right.columns if c not in keys],
+    )
+    meets = key_condition(regular, other, keys, "__r_") & (
+        (F.col(l_start) < r_last) & (F.col(r_start) < l_last)
+    )
+    regular = regular.join(other, meets, how).select(*names)
+    if not hot.found:
         return regular
     hot_left = hot.hot(left).select(*left.columns)
     # Reference semantics compare bounds pairwise, so an empty interval strictly
@@ -194,7 +188,7 @@ def interval_overlap_join(
     hot_right = hot.hot(right).select(*right.columns)
     pairs = _all_overlaps(hot_left, hot_right, keys, l_start, l_last, r_start, r_last, hot)
     sliced = _keep_left(hot_left, pairs, [*keys, l_start, l_end], how).select(*names)
-    return both_paths(hot, regular, sliced)
+    return both_paths(regular, sliced)
 
 
 def _all_overlaps(
@@ -239,7 +233,7 @@ def point_in_interval_join(
     start_default: object,
     how: str = "inner",
     far_future: object = None,
-    hot_rows: int | None = PAIR_ROWS,
+    hot_rows: int | None | HotKeys = PAIR_ROWS,
 ) -> DataFrame:
     """Rows with equal keys where ``point`` lies in [start, end).
 
@@ -251,19 +245,18 @@ def point_in_interval_join(
     first = F.coalesce(F.col(start), far_future_for(intervals, start, start_default))
     last = F.coalesce(F.col(end), far_future_for(intervals, end, far_future))
     hot = find_hot_keys(
-        [_timeline(points, keys, point), _timeline(intervals, keys, start, end)], keys, hot_rows
+        [timeline(points, keys, point), timeline(intervals, keys, start, end)], keys, hot_rows
     )
     regular = hot.regular(points)
     values = [c for c in intervals.columns if c not in keys]
-    if regular is not None:
-        other = hot.regular(intervals).select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values)
-        meets = (
-            key_condition(regular, other, keys, "__r_")
-            & (first <= F.col(point))
-            & (F.col(point) < last)
-        )
-        regular = regular.join(other, meets, how).select(*points.columns, *values)
-    if hot.stats is None:
+    other = hot.regular(intervals).select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values)
+    meets = (
+        key_condition(regular, other, keys, "__r_")
+        & (first <= F.col(point))
+        & (F.col(point) < last)
+    )
+    regular = regular.join(other, meets, how).select(*points.columns, *values)
+    if not hot.found:
         return regular
     hot_points = hot.hot(points).select(*points.columns)
     hot_intervals = (
@@ -272,7 +265,7 @@ def point_in_interval_join(
     pairs = range_join(hot_points, hot_intervals, keys, point, "__first", last, hot)
     pairs = pairs.select(*points.columns, *values)
     sliced = _keep_left(hot_points, pairs, [*keys, point], how).select(*points.columns, *values)
-    return both_paths(hot, regular, sliced)
+    return both_paths(regular, sliced)
 
 
 def extend_back(
@@ -282,7 +275,7 @@ def extend_back(
     primary_below: str,
     name: str,
     tie_break: list[str] | None = None,
-    hot_rows: int | None = WINDOW_ROWS,
+    hot_rows: int | None | HotKeys = WINDOW_ROWS,
 ) -> DataFrame:
     """Lower end of the common interval, the first one of each id pulled back.
 
@@ -300,7 +293,7 @@ def common_interval_join(
     keys: list[str],
     start_name: str = "interval_start",
     end_name: str = "interval_end",
-    hot_rows: int | None = PAIR_ROWS,
+    hot_rows: int | None | HotKeys = PAIR_ROWS,
 ) -> DataFrame:
     """Inner join of two or more interval tables on keys and common time.
 
@@ -332,7 +325,7 @@ def _common_pair(
     keys: list[str],
     r_start: str,
     r_end: str,
-    hot_rows: int | None,
+    hot_rows: int | None | HotKeys,
 ) -> DataFrame:
     values = [c for c in right.columns if c not in keys]
     columns = [*left.columns, *values]
@@ -340,18 +333,17 @@ def _common_pair(
         {"__a": merged_interval_below(starts), "__b": merged_interval_above(ends)}
     )
     hot = find_hot_keys(
-        [_timeline(spans, keys, "__a", "__b"), _timeline(right, keys, r_start, r_end)],
+        [timeline(spans, keys, "__a", "__b"), timeline(right, keys, r_start, r_end)],
         keys,
         hot_rows,
     )
     regular = hot.regular(left)
-    if regular is not None:
-        other = hot.regular(right).select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values)
-        # Open on all sides so far: a later table may still bound the interval.
-        common = intervals_overlap([*starts, r_start], [*ends, r_end])
-        meets = key_condition(regular, other, keys, "__r_") & F.coalesce(common, F.lit(True))
-        regular = regular.join(other, meets).select(*columns)
-    if hot.stats is None:
+    other = hot.regular(right).select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values)
+    # Open on all sides so far: a later table may still bound the interval.
+    common = intervals_overlap([*starts, r_start], [*ends, r_end])
+    meets = key_condition(regular, other, keys, "__r_") & F.coalesce(common, F.lit(True))
+    regular = regular.join(other, meets).select(*columns)
+    if not hot.found:
         return regular
     lowest, highest = _open_bounds(spans, "__a"), _open_bounds(spans, "__b")
     hot_left = hot.hot(spans).withColumns(
@@ -365,7 +357,7 @@ def _common_pair(
     pairs = overlap_pairs(
         hot_left, hot_right, keys, "__a", F.col("__b"), "__c", F.coalesce(F.col(r_end), high), hot
     )
-    return both_paths(hot, regular, pairs.select(*columns))
+    return both_paths(regular, pairs.select(*columns))
 
 
 def _open_bounds(df: DataFrame, col: str) -> tuple[Column, Column]:

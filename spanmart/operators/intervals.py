@@ -19,11 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmart.functions.predicates import all_not_null, any_not_null, far_future_for
-from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position, same_keys
+from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position, timeline
 from spanmart.operators.interval_joins import (
     PAIR_ROWS,
     _all_overlaps,
-    _timeline,
     key_condition,
     range_join,
 )
@@ -69,10 +68,12 @@ def _sliced_pieces(points: DataFrame, keys: list[str], hot: HotKeys) -> DataFram
     shifted by the sizes of earlier slices. Only one row per slice meets the
     other slices of its key.
     """
-    found = hot.hot(points).distinct()
-    found = found.withColumn(
-        "__slice", hot.slice_of(position(found, "__at"), nulls_first=False)
-    ).select(*keys, "__slice", "__at")
+    at = position(points, "__at")
+    found = (
+        hot.hot(points)
+        .select(*keys, hot.slice_of(at, nulls_first=False).alias("__slice"), "__at")
+        .distinct()
+    )
     in_slice = Window.partitionBy(*keys, "__slice").orderBy(F.col("__at").asc_nulls_last())
     numbered = found.select(
         *keys,
@@ -94,7 +95,7 @@ def _sliced_pieces(points: DataFrame, keys: list[str], hot: HotKeys) -> DataFram
         F.lead("__first").over(across).alias("__next_first"),
         F.lead(F.lit(True)).over(across).isNull().alias("__end_slice"),
     )
-    joined = numbered.join(offsets, same_keys(numbered, offsets, [*keys, "__slice"], "__o_"))
+    joined = numbered.join(offsets, key_condition(numbered, offsets, [*keys, "__slice"], "__o_"))
     return joined.select(
         *keys,
         "__from",
@@ -152,7 +153,7 @@ def sequentialize_table(
     flag_overlaps_column: str | None = None,
     far_future: object = None,
     sort: bool = False,
-    hot_rows: int | None = PAIR_ROWS,
+    hot_rows: int | None | HotKeys = PAIR_ROWS,
 ) -> DataFrame:
     """Break overlapping intervals into pieces, one row per key and piece.
 
@@ -184,14 +185,10 @@ def sequentialize_table(
         *(packed if value_cols else []),
     )
 
-    hot = find_hot_keys([_timeline(rows, keys, "__start", "__end")], keys, hot_rows)
-    regular = hot.regular(rows)
-    if regular is not None:
-        regular = choice.finish(_pick_by_key(regular, choice, far))
-    sliced = None
-    if hot.stats is not None:
-        sliced = choice.finish(_pick_by_tree(hot, rows, choice, far))
-    result = both_paths(hot, regular, sliced)
+    hot = find_hot_keys([timeline(rows, keys, "__start", "__end")], keys, hot_rows)
+    result = choice.finish(_pick_by_key(hot.regular(rows), choice, far))
+    if hot.found:
+        result = both_paths(result, choice.finish(_pick_by_tree(hot, rows, choice, far)))
     return result.orderBy(*keys, start, end) if sort else result
 
 
@@ -233,16 +230,19 @@ def _pick_by_tree(hot: HotKeys, rows: DataFrame, choice: _Choice, far: Column) -
     pieces = _sliced_pieces(_bounds(bounds, keys, "__start", "__end"), keys, hot)
     ranks = pieces.select(*keys, "__from", "__rank")
 
-    def with_rank(df: DataFrame, bound: str, name: str) -> DataFrame:
+    def with_rank(df: DataFrame, bound: str, name: str, open_ended: bool) -> DataFrame:
         numbered = ranks.select(
             *[F.col(k).alias(f"__b_{k}") for k in keys],
             F.col("__from").alias("__b_at"),
             F.col("__rank").alias(name),
         )
-        on = key_condition(df, numbered, keys, "__b_") & df[bound].eqNullSafe(numbered["__b_at"])
+        at = numbered["__b_at"]
+        same_bound = df[bound].eqNullSafe(at) if open_ended else df[bound] == at
+        on = key_condition(df, numbered, keys, "__b_") & same_bound
         return df.join(numbered, on).drop("__b_at", *[f"__b_{k}" for k in keys])
 
-    spans = with_rank(with_rank(spans, "__start", "__lo"), "__end", "__hi")
+    spans = with_rank(spans, "__start", "__lo", open_ended=False)
+    spans = with_rank(spans, "__end", "__hi", open_ended=True)
     payload = [c for c in ("__n", "__values", "__order") if c in spans.columns]
     nodes = (
         spans.withColumn("__node", F.explode(_covering_nodes()))
@@ -353,8 +353,9 @@ def merge_sequential_intervals(
     l_prefix: str = "left_",
     r_prefix: str = "right_",
     incremental: tuple[DataFrame, list[str], str] | None = None,
+    sequential: bool = False,
     far_future: object = None,
-    hot_rows: int | None = PAIR_ROWS,
+    hot_rows: int | None | HotKeys = PAIR_ROWS,
 ) -> DataFrame:
     """Merge two interval tables into their common pieces, with columns of both.
 
@@ -363,6 +364,10 @@ def merge_sequential_intervals(
     The result (keys, interval_start, interval_end, left and right columns) is
     not flattened again. ``incremental`` is (target, output timestamp columns,
     target mark) and keeps the rows newer than the target.
+
+    ``sequential=True`` declares that no two rows of one side overlap for a
+    key, as after ``sequentialize_table``. The merge is then one ordered pass
+    after a single shuffle, without joins; overlapping rows make the job fail.
     """
     _need_keys(keys)
     if join_type not in ("left", "outer"):
@@ -389,15 +394,11 @@ def merge_sequential_intervals(
     }
     far = far_future_for(left, l_end, far_future)
     hot = find_hot_keys(
-        [_timeline(df, keys, f"__{tag}_start", f"__{tag}_end") for tag, df in sides.items()],
+        [timeline(df, keys, f"__{tag}_start", f"__{tag}_end") for tag, df in sides.items()],
         keys,
         hot_rows,
     )
 
-    def points(parts: dict[str, DataFrame]) -> DataFrame:
-        found = [_bounds(df, keys, f"__{t}_start", f"__{t}_end") for t, df in parts.items()]
-        return reduce(DataFrame.unionByName, found).filter(F.col("__at").isNotNull())
-
     def shape(joined: DataFrame) -> DataFrame:
         if join_type == "outer":
             joined = joined.filter(F.col("__l_hit") | F.col("__r_hit"))
@@ -409,44 +410,161 @@ def merge_sequential_intervals(
             *[F.col(f"__r_{name}").alias(name) for name in r_names.values()],
         )
 
-    regular = sliced = None
-    if hot.stats is None or not hot.everything:
-        parts = {tag: hot.regular(df) for tag, df in sides.items()}
-        joined = _pieces(points(parts), keys).drop("__tail")
-        for tag, how in (("l", "inner" if join_type == "left" else "left"), ("r", "left")):
-            joined = _cover_by_key(joined, parts[tag], keys, tag, far, how)
-        regular = shape(joined)
-    if hot.stats is not None:
-        joined = _sliced_pieces(points(sides), keys, hot).drop("__tail", "__rank", "__count")
-        pieces = joined
-        for tag, how in (("l", "inner" if join_type == "left" else "left"), ("r", "left")):
-            side_rows = hot.hot(sides[tag]).select(*sides[tag].columns)
-            pairs = range_join(
-                pieces.select(*keys, "__from"),
-                side_rows,
-                keys,
-                "__from",
-                f"__{tag}_start",
-                F.coalesce(F.col(f"__{tag}_end"), far),
-                hot,
-            )
-            values = [c for c in pairs.columns if c not in {*keys, "__from"}]
-            pairs = pairs.select(
-                *[F.col(k).alias(f"__p_{k}") for k in [*keys, "__from"]],
-                *values,
-                F.lit(True).alias(f"__{tag}_hit"),
-            )
-            joined = joined.join(
-                pairs, key_condition(joined, pairs, [*keys, "__from"], "__p_"), how
-            ).drop(*[f"__p_{k}" for k in [*keys, "__from"]])
-        sliced = shape(joined)
-    merged = both_paths(hot, regular, sliced)
+    hows = {"l": "inner" if join_type == "left" else "left", "r": "left"}
+    if sequential:
+        merged = _merge_by_sweep(hot, sides, keys, far, keep_right=join_type == "outer")
+    else:
+        merged = _merge_by_key(hot, sides, keys, far, hows)
+        if hot.found:
+            merged = merged.unionByName(_merge_by_buckets(hot, sides, keys, far, hows))
+    merged = shape(merged)
     if incremental is not None:
         target, marks, merged_mark = incremental
         merged = newer_than(merged, target, marks, merged_mark)
     return merged
 
 
+def _all_points(sides: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    found = [_bounds(df, keys, f"__{tag}_start", f"__{tag}_end") for tag, df in sides.items()]
+    return reduce(DataFrame.unionByName, found).filter(F.col("__at").isNotNull())
+
+
+def _merge_by_key(
+    hot: HotKeys, sides: dict[str, DataFrame], keys: list[str], far: Column, hows: dict[str, str]
+) -> DataFrame:
+    parts = {tag: hot.regular(df) for tag, df in sides.items()}
+    joined = _pieces(_all_points(parts, keys), keys).drop("__tail")
+    for tag, how in hows.items():
+        joined = _cover_by_key(joined, parts[tag], keys, tag, far, how)
+    return joined
+
+
+def _merge_by_buckets(
+    hot: HotKeys, sides: dict[str, DataFrame], keys: list[str], far: Column, hows: dict[str, str]
+) -> DataFrame:
+    pieces = _sliced_pieces(_all_points(sides, keys), keys, hot).select(*keys, "__from", "__to")
+    joined = pieces
+    on = [*keys, "__from"]
+    for tag, how in hows.items():
+        # A piece lies inside a row or outside it, so its start decides.
+        pairs = range_join(
+            pieces.select(*on),
+            hot.hot(sides[tag]).select(*sides[tag].columns),
+            keys,
+            "__from",
+            f"__{tag}_start",
+            F.coalesce(F.col(f"__{tag}_end"), far),
+            hot,
+        )
+        values = [c for c in pairs.columns if c not in on]
+        pairs = pairs.select(
+            *[F.col(k).alias(f"__p_{k}") for k in on], *values, F.lit(True).alias(f"__{tag}_hit")
+        )
+        joined = joined.join(pairs, key_condition(joined, pairs, on, "__p_"), how).drop(
+            *[f"__p_{k}" for k in on]
+        )
+    return joined
+
+
+def _merge_by_sweep(
+    hot: HotKeys, sides: dict[str, DataFrame], keys: list[str], far: Column, keep_right: bool
+) -> DataFrame:
+    """Walk the bounds of a key in order, carrying the last row of each side."""
+    values = {
+        tag: [c for c in df.columns if c not in {*keys, f"__{tag}_start", f"__{tag}_end"}]
+        for tag, df in sides.items()
+    }
+
+    def events(tag: str) -> DataFrame:
+        df = sides[tag]
+        start, end = F.col(f"__{tag}_start"), F.col(f"__{tag}_end")
+        row = F.struct(F.coalesce(end, far).alias("end"), *values[tag])
+        opens = F.struct(start.alias("at"), F.when(start < F.coalesce(end, far), row).alias("row"))
+        closes = F.struct(end.alias("at"), F.lit(None).alias("row"))
+        bounds = df.select(*keys, F.explode(F.array(opens, closes)).alias("__event"))
+        return bounds.select(
+            *keys, F.col("__event.at").alias("__at"), F.col("__event.row").alias(f"__{tag}_row")
+        ).filter(F.col("__at").isNotNull())
+
+    both = events("l").unionByName(events("r"), allowMissingColumns=True)
+    tags = list(sides)
+
+    def walk(group: list[str]):
+        window = Window.partitionBy(*group).orderBy("__at")
+        here = window.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        earlier = window.rowsBetween(Window.unboundedPreceding, -1)
+        added = {"__to": F.lead("__at").over(window)}
+        for tag in tags:
+            row = F.col(f"__{tag}_row")
+            added[f"__{tag}_last"] = F.last(row, ignorenulls=True).over(here)
+            added[f"__{tag}_prev"] = F.last(row, ignorenulls=True).over(earlier)
+        return added
+
+    def finish(walked: DataFrame) -> DataFrame:
+        clash = reduce(
+            lambda a, b: a | b,
+            (
+                F.col(f"__{t}_row").isNotNull()
+                & F.coalesce(F.col(f"__{t}_prev.end") > F.col("__at"), F.lit(False))
+                for t in tags
+            ),
+        )
+        message = F.lit("rows of one side overlap; merge them with sequential=False")
+        active = {t: F.coalesce(F.col(f"__{t}_last.end") > F.col("__at"), F.lit(False)) for t in tags}
+        kept = (active["l"] | active["r"]) if keep_right else active["l"]
+        # Of the events at one instant the last one starts the piece.
+        starts_piece = F.coalesce(F.col("__to") > F.col("__at"), F.lit(True))
+        # The check comes first, so that every event passes it.
+        checked = walked.filter(
+            F.when(clash, F.raise_error(message).cast("boolean")).otherwise(starts_piece & kept)
+        )
+        return checked.select(
+            *keys,
+            F.col("__at").alias("__from"),
+            "__to",
+            *[active[t].alias(f"__{t}_hit") for t in tags],
+            *[
+                F.when(active[t], F.col(f"__{t}_last").getField(c)).alias(c)
+                for t in tags
+                for c in values[t]
+            ],
+        )
+
+    merged = finish(hot.regular(both).withColumns(walk(keys)))
+    if not hot.found:
+        return merged
+
+    sliced = hot.hot(both)
+    sliced = sliced.withColumn("__slice", hot.slice_of(position(sliced, "__at"), nulls_first=False))
+    sliced = sliced.select(*both.columns, "__slice")
+    newest = [
+        F.max_by(f"__{t}_row", F.when(F.col(f"__{t}_row").isNotNull(), F.col("__at"))).alias(t)
+        for t in tags
+    ]
+    summary = sliced.groupBy(*keys, "__slice").agg(F.min("__at").alias("__first"), *newest)
+    across = Window.partitionBy(*keys).orderBy("__slice")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    on = [*keys, "__slice"]
+    carried = summary.select(
+        *[F.col(k).alias(f"__c_{k}") for k in on],
+        F.lead("__first").over(across).alias("__next_first"),
+        *[F.last(t, ignorenulls=True).over(before).alias(f"__{t}_carried") for t in tags],
+    )
+    walked = sliced.withColumns(walk(on))
+    walked = walked.join(carried, key_condition(walked, carried, on, "__c_"))
+    walked = walked.withColumns(
+        {
+            "__to": F.coalesce("__to", "__next_first"),
+            **{
+                f"__{t}_{kind}": F.coalesce(f"__{t}_{kind}", f"__{t}_carried")
+                for t in tags
+                for kind in ("last", "prev")
+            },
+        }
+    )
+    return both_paths(merged, finish(walked))
+
+
 def _cover_by_key(
     pieces: DataFrame, rows: DataFrame, keys: list[str], tag: str, far: Column, how: str
 ) -> DataFrame:
@@ -492,13 +610,14 @@ def get_overlap_detail(
     order_cols: list[str],
     far_future: object = None,
     detail_end: object = DETAIL_END,
-    hot_rows: int | None = PAIR_ROWS,
+    hot_rows: int | None | HotKeys = PAIR_ROWS,
 ) -> DataFrame:
     """Every source row that takes part in an overlap, once per overlapping piece.
 
     Adds ``overlap_start`` and ``overlap_end``. Open ends are compared as
     ``detail_end`` here.
     """
+    hot = find_hot_keys([timeline(df, keys, start, end)], keys, hot_rows)
     flagged = sequentialize_table(
         df,
         keys,
@@ -508,37 +627,33 @@ def get_overlap_detail(
         value_cols=[],
         flag_overlaps_column="__overlapping",
         far_future=far_future,
-        hot_rows=hot_rows,
+        hot_rows=hot,
     )
     overlaps = flagged.filter("__overlapping").select(
         *keys, F.col(start).alias("overlap_start"), F.col(end).alias("overlap_end")
     )
     detail = far_future_for(df, end, detail_end)
-    hot = find_hot_keys([_timeline(df, keys, start, end)], keys, hot_rows)
     out = [*df.columns, "overlap_start", "overlap_end"]
     regular = hot.regular(df)
-    if regular is not None:
-        periods = hot.regular(overlaps).select(
-            *[F.col(k).alias(f"__o_{k}") for k in keys], "overlap_start", "overlap_end"
-        )
-        meets = (
-            key_condition(regular, periods, keys, "__o_")
-            & (F.col("overlap_start") < F.coalesce(F.col(end), detail))
-            & (F.coalesce(F.col("overlap_end"), detail) > F.col(start))
-        )
-        regular = regular.join(periods, meets).select(*out).filter(any_not_null(keys))
-    sliced = None
-    if hot.stats is not None:
-        rows = hot.hot(df).select(*df.columns)
-        periods = hot.hot(overlaps).select(*overlaps.columns)
-        sliced = _all_overlaps(
-            periods,
-            rows,
-            keys,
-            "overlap_start",
-            F.coalesce(F.col("overlap_end"), detail),
-            start,
-            F.coalesce(F.col(end), detail),
-            hot,
-        ).select(*out)
-    return both_paths(hot, regular, sliced)
+    periods = hot.regular(overlaps).select(
+        *[F.col(k).alias(f"__o_{k}") for k in keys], "overlap_start", "overlap_end"
+    )
+    meets = (
+        key_condition(regular, periods, keys, "__o_")
+        & (F.col("overlap_start") < F.coalesce(F.col(end), detail))
+        & (F.coalesce(F.col("overlap_end"), detail) > F.col(start))
+    )
+    regular = regular.join(periods, meets).select(*out).filter(any_not_null(keys))
+    if not hot.found:
+        return regular
+    sliced = _all_overlaps(
+        hot.hot(overlaps).select(*overlaps.columns),
+        hot.hot(df).select(*df.columns),
+        keys,
+        "overlap_start",
+        F.coalesce(F.col("overlap_end"), detail),
+        start,
+        F.coalesce(F.col(end), detail),
+        hot,
+    ).select(*out)
+    return both_paths(regular, sliced)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmart.operators.hotkeys import both_paths, find_hot_keys, position, same_keys
+from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position, timeline
 
 # A sort of this many narrow rows is comfortable for one task.
 WINDOW_ROWS = 2_000_000
@@ -16,7 +16,7 @@ def running_ordinal(
     keys: list[str],
     order_cols: list[str],
     name: str,
-    hot_rows: int | None = WINDOW_ROWS,
+    hot_rows: int | None | HotKeys = WINDOW_ROWS,
 ) -> DataFrame:
     """Number the rows of each key 1, 2, 3 … by ``order_cols`` (NULLs first).
 
@@ -27,27 +27,30 @@ def running_ordinal(
     if not keys or not order_cols:
         raise ValueError("running_ordinal needs keys and order columns")
     first = order_cols[0]
-    part = df.select(*keys, position(df, first).alias("__lo")).withColumn("__hi", F.col("__lo"))
-    hot = find_hot_keys([part], keys, hot_rows)
+    hot = find_hot_keys([timeline(df, keys, first)], keys, hot_rows)
     by_key = Window.partitionBy(*keys).orderBy(*order_cols)
-    regular = hot.regular(df)
-    if regular is not None:
-        regular = regular.withColumn(name, F.row_number().over(by_key).cast("long"))
-    if hot.stats is None:
+    regular = hot.regular(df).withColumn(name, F.row_number().over(by_key).cast("long"))
+    if not hot.found:
         return regular
 
-    rows = hot.hot(df).withColumn("__slice", hot.slice_of(position(df, first), nulls_first=True))
-    counts = rows.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__c"))
-    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(
+    # Keys may be NULL: a struct of them is never NULL and compares NULL-safe,
+    # so windows and the join below share one partitioning.
+    rows = hot.hot(df).withColumns(
+        {
+            "__key": F.struct(*keys),
+            "__slice": hot.slice_of(position(df, first), nulls_first=True),
+        }
+    )
+    counts = rows.groupBy("__key", "__slice").agg(F.count(F.lit(1)).alias("__c"))
+    before = Window.partitionBy("__key").orderBy("__slice").rowsBetween(
         Window.unboundedPreceding, -1
     )
     offsets = counts.select(
-        *[F.col(k).alias(f"__o_{k}") for k in [*keys, "__slice"]],
-        F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset"),
+        "__key", "__slice", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset")
     )
-    in_slice = Window.partitionBy(*keys, "__slice").orderBy(*order_cols)
+    in_slice = Window.partitionBy("__key", "__slice").orderBy(*order_cols)
     numbered = rows.withColumn("__local", F.row_number().over(in_slice))
-    sliced = numbered.join(
-        offsets, same_keys(numbered, offsets, [*keys, "__slice"], "__o_")
-    ).select(*df.columns, (F.col("__offset") + F.col("__local")).alias(name))
-    return both_paths(hot, regular, sliced)
+    sliced = numbered.join(offsets, ["__key", "__slice"]).select(
+        *df.columns, (F.col("__offset") + F.col("__local")).alias(name)
+    )
+    return both_paths(regular, sliced)

@@ -28,8 +28,8 @@ from spanmart.operators.intervals import (
 )
 from spanmart.operators.ordinals import running_ordinal
 
-# None: no key is counted; 1: keys with 2+ rows are hot; 1000: counted, none hot.
-PATHS = [None, 1, 1000]
+# 1000: keys are counted, none is hot; 1: keys with two rows or more are hot.
+PATHS = [1000, 1]
 
 
 def day(n):
@@ -225,6 +225,34 @@ def test_merge_matches_brute_force(spark, hot, join_type, seed):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("join_type", ["left", "outer"])
+@pytest.mark.parametrize("seed", [14, 15])
+def test_merge_by_sweep_equals_merge_by_join(spark, hot, join_type, seed):
+    sides = [
+        sequentialize_table(
+            table(spark, _random_rows(seed + i, n=25)), ["k"], "s", "e", ["r"], value_cols=["v", "r"]
+        ).unionByName(table(spark, [(1, "zero", 7, 7, -1), (2, "back", 9, 5, -1)]))
+        for i in (0, 100)
+    ]
+    args = (*sides, ["k"], "s", "e", ["v", "r"], "s", "e", ["v", "r"])
+    swept = merge_sequential_intervals(*args, join_type=join_type, sequential=True, hot_rows=hot)
+    joined = merge_sequential_intervals(*args, join_type=join_type, hot_rows=None)
+    assert swept.columns == joined.columns
+    assert swept.count() > 10
+    assert sorted(rows_of(swept), key=str) == sorted(rows_of(joined), key=str)
+
+
+def test_merge_by_sweep_refuses_overlaps(spark, hot):
+    left = table(spark, [(1, "A", 1, 9, 1), (1, "B", 5, 12, 2)])
+    right = table(spark, [(1, "C", 1, 2, 3)])
+    for sides in ((left, right), (right, left), (left.limit(1).unionAll(left.limit(1)), right)):
+        out = merge_sequential_intervals(
+            *sides, ["k"], "s", "e", ["v"], "s", "e", ["v"], sequential=True, hot_rows=hot
+        )
+        with pytest.raises(Exception, match="overlap"):
+            out.collect()
+
+
 def test_merge_common_columns(spark, hot):
     left = table(spark, [(1, "A", 1, 5, 1)])
     right = table(spark, [(1, "B", 1, 5, 2)])
@@ -452,13 +480,15 @@ def test_running_ordinal(spark, hot):
     assert rows_of(out, "r", "nth") == sorted(want)
 
 
-def test_many_hot_keys_fall_back_to_shuffled_statistics(spark, monkeypatch):
+def test_more_hot_keys_than_are_listed(spark, monkeypatch):
     from spanmart.operators import hotkeys
 
     real = hotkeys.find_hot_keys
 
     def one_hot_key_at_most(parts, keys, hot_rows, max_hot=1):
-        return real(parts, keys, hot_rows, max_hot)
+        found = real(parts, keys, hot_rows, max_hot)
+        assert hot_rows is None or found.rest is not None
+        return found
 
     for module in ("intervals", "flatten", "interval_joins", "ordinals"):
         monkeypatch.setattr(f"spanmart.operators.{module}.find_hot_keys", one_hot_key_at_most)
