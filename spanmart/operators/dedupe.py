@@ -27,18 +27,19 @@ def distinct_on(
         raise ValueError("distinct_on needs keys and order columns")
     pick = F.max_by if method == "MAX" else F.min_by
     order = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*order_cols)
+    orders_only = [o for o in order_cols if o not in value_cols]
     if not skip_nulls:
         # One aggregate for the whole row, so that ties cannot mix rows.
-        row = F.struct(*dict.fromkeys([*value_cols, *order_cols]))
+        row = F.struct(*value_cols, *orders_only)
         picked = df.groupBy(*keys).agg(pick(row, order).alias("__row"))
         return picked.select(
-            *keys, *[F.col("__row").getField(c).alias(c) for c in [*value_cols, *order_cols]]
+            *keys, *[F.col("__row").getField(c).alias(c) for c in [*value_cols, *orders_only]]
         )
     # A NULL order is ignored by max_by/min_by, which is how rows with a NULL
     # value are left out for that column only.
     values = [pick(F.col(v), F.when(F.col(v).isNotNull(), order)).alias(v) for v in value_cols]
-    orders = [pick(F.col(o), order).alias(o) for o in order_cols]
-    return df.groupBy(*keys).agg(*values, *orders).select(*keys, *value_cols, *order_cols)
+    orders = [pick(F.col(o), order).alias(o) for o in orders_only]
+    return df.groupBy(*keys).agg(*values, *orders)
 
 
 def keep_latest(

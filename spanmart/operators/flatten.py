@@ -108,11 +108,18 @@ def _flatten_sliced(
 ) -> DataFrame:
     """Islands of hot keys: first inside each slice, then across slice borders.
 
-    Only the first and the last island of a slice can touch a neighbour, so
-    the second step brings at most two rows per slice of a key together.
+    Copies of a row are combined before anything is brought together. After
+    that only the first and the last island of a slice can touch a neighbour,
+    so the second step brings at most two rows per slice of a key together.
     """
-    rows = hot.hot(df).withColumn("__slice", hot.slice_of(position(df, start), nulls_first=True))
-    rows = rows.select(*df.columns, "__slice")
+    distinct = (
+        hot.hot(df)
+        .groupBy(*dict.fromkeys([*group, *compare, start, end]), "__n", "__lo", "__hi")
+        .agg(F.count(F.lit(1)).alias("__copies"))
+    )
+    rows = distinct.select(
+        *df.columns, hot.slice_of(position(df, start), nulls_first=True).alias("__slice")
+    )
     in_slice = [*group, "__slice"]
     window = Window.partitionBy(*in_slice).orderBy(start, end, *compare)
     numbered = (
@@ -139,7 +146,7 @@ def _flatten_sliced(
         compare, F.lag("__last_end").over(across), F.col("__first_start"), _lagged(compare, across)
     )
     running = across.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
+    islands = (
         local.withColumn("__new", _new_island(joined))
         .withColumn("__whole", F.sum("__new").over(running))
         .groupBy(*group, *compare, "__side", "__whole")
@@ -148,6 +155,28 @@ def _flatten_sliced(
             F.max("__max").alias("__max"),
             F.max("__open").alias("__open"),
         )
+        .drop("__side", "__whole")
+    )
+    # A copy of an open or inverted row cannot join the copy before it.
+    reaches_itself = F.coalesce(F.col(end) >= F.col(start), F.lit(False))
+    extra = _repeat(distinct.filter(~reaches_itself), F.col("__copies") - 1).select(
+        *group,
+        *compare,
+        F.col(start).alias("__min"),
+        F.col(end).alias("__max"),
+        F.col(end).isNull().alias("__open"),
+    )
+    return islands.unionByName(extra)
+
+
+def _repeat(df: DataFrame, times: Column) -> DataFrame:
+    """Each row ``times`` times, generated in blocks spread over the cluster."""
+    block = 1 << 16
+    blocks = F.sequence(F.lit(1), F.ceil(times / F.lit(block)).cast("long"))
+    spread = df.filter(times > 0).withColumn("__block", F.explode(blocks))
+    size = F.least(F.lit(block).cast("long"), times - (F.col("__block") - 1) * block)
+    return spread.repartition("__block").withColumn(
+        "__copy", F.explode(F.sequence(F.lit(1).cast("long"), size))
     )
 
 

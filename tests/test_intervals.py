@@ -381,6 +381,8 @@ def _brute_flatten(rows, group, compare):
 @pytest.mark.parametrize("seed", [11, 12, 13])
 def test_flatten_matches_brute_force(spark, hot, seed):
     rows = _random_rows(seed, keys=2, n=50, span=120)
+    # Copies, also of open and inverted rows.
+    rows += rows[:10] * 2 + [(1, "A", 130, 129, 0), (1, "B", 131, None, 0)] * 3
     df = table(spark, rows)
     args = (["k"], "s", "e")
     plain = flatten_sequential_rows(df, *args, ["v"], hot_rows=hot)
