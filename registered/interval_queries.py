@@ -76,6 +76,30 @@ def sequentialize_hot_keys(spark, sf_dir):
     )
 
 
+_SKEWED_SQL = f"""{PERIODS_SQL}, skewed AS (
+  SELECT CASE WHEN o_orderstatus = 'F' THEN -1 ELSE o_custkey END AS account, o_orderkey,
+         o_orderpriority, valid_from, valid_to FROM periods)"""
+
+
+def _skewed(spark, sf_dir):
+    """One account holds a third of all periods; the rest stays with its customer."""
+    account = F.when(F.col("o_orderstatus") == "F", F.lit(-1)).otherwise(F.col("o_custkey"))
+    return periods(spark, sf_dir).select(
+        account.cast("long").alias("account"), "o_orderkey", "o_orderpriority", START, END
+    )
+
+
+@QUERIES.query(f"""WITH {_SKEWED_SQL}, {sequence_sql(
+    "seq", "skewed", "account", START, END, "o_orderkey", ["o_orderkey", "o_orderpriority"])}
+SELECT account, a AS valid_from, b AS valid_to, o_orderkey, o_orderpriority,
+       n > 1 AS is_overlapping FROM seq""")
+def sequentialize_skewed(spark, sf_dir):
+    return sequentialize_table(
+        _skewed(spark, sf_dir), ["account"], START, END, ["o_orderkey"],
+        flag_overlaps_column="is_overlapping",
+    )
+
+
 _FILTERED = PERIODS_SQL.replace("FROM orders", "FROM orders WHERE o_orderstatus <> 'P'")
 
 
@@ -273,6 +297,17 @@ def flatten_no_values(spark, sf_dir):
     return flatten_sequential_rows_no_value_cols(periods(spark, sf_dir), [KEY], START, END)
 
 
+@QUERIES.query(
+    _flatten_sql("account", "o_orderpriority")
+    .replace(PERIODS_SQL, _SKEWED_SQL)
+    .replace("FROM periods),\nislands", "FROM skewed),\nislands")
+)
+def flatten_skewed(spark, sf_dir):
+    return flatten_sequential_rows(
+        _skewed(spark, sf_dir), ["account"], START, END, ["o_orderpriority"], hot_rows=2000
+    )
+
+
 @QUERIES.query(_flatten_sql("o_orderpriority", "o_orderstatus"))
 def flatten_hot_keys(spark, sf_dir):
     """Five keys hold all rows; islands are found in slices and joined across them."""

@@ -304,11 +304,12 @@ def common_interval_join(
     """
     if len(tables) < 2:
         raise ValueError("common_interval_join needs at least two tables")
+    hot = find_hot_keys([timeline(df, keys, s, e) for df, s, e in tables], keys, hot_rows)
     joined, start, end = tables[0]
     starts, ends = [start], [end]
     for other, o_start, o_end in tables[1:]:
         _check_names(joined, other, keys)
-        joined = _common_pair(joined, starts, ends, other, keys, o_start, o_end, hot_rows)
+        joined = _common_pair(joined, starts, ends, other, keys, o_start, o_end, hot)
         starts.append(o_start)
         ends.append(o_end)
     joined = joined.filter(intervals_overlap(starts, ends))
@@ -325,18 +326,13 @@ def _common_pair(
     keys: list[str],
     r_start: str,
     r_end: str,
-    hot_rows: int | None | HotKeys,
+    hot: HotKeys,
 ) -> DataFrame:
     values = [c for c in right.columns if c not in keys]
     columns = [*left.columns, *values]
     spans = left.withColumns(
         {"__a": merged_interval_below(starts), "__b": merged_interval_above(ends)}
     )
-    hot = find_hot_keys(
-        [timeline(spans, keys, "__a", "__b"), timeline(right, keys, r_start, r_end)],
-        keys,
-        hot_rows,
-    )
     regular = hot.regular(left)
     other = hot.regular(right).select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values)
     # Open on all sides so far: a later table may still bound the interval.

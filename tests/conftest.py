@@ -3,7 +3,8 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [os.path.dirname(HERE), HERE]
 
 from spanmart.session import build_session  # noqa: E402
 
@@ -15,7 +16,9 @@ def spark(tmp_path_factory):
         "spanmart-tests",
         "local[4]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "2",
+            # Plans here are large and the rows few: compiling them would take most of the time.
+            "spark.sql.codegen.wholeStage": "false",
             "spark.ui.enabled": "false",
             "spark.sql.warehouse.dir": str(warehouse),
             "spark.driver.host": "127.0.0.1",

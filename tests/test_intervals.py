@@ -107,7 +107,7 @@ def _brute_sequentialize(rows):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_sequentialize_matches_brute_force(spark, hot, seed):
     rows = _random_rows(seed)
     df = table(spark, rows)
@@ -194,7 +194,7 @@ def test_merge_known_rows(spark, hot, join_type):
 
 
 @pytest.mark.parametrize("join_type", ["left", "outer"])
-@pytest.mark.parametrize("seed", [4, 5])
+@pytest.mark.parametrize("seed", [4])
 def test_merge_matches_brute_force(spark, hot, join_type, seed):
     far = 10_000
     lrows, rrows = _random_rows(seed, n=25), _random_rows(seed + 50, n=25)
@@ -226,7 +226,7 @@ def test_merge_matches_brute_force(spark, hot, join_type, seed):
 
 
 @pytest.mark.parametrize("join_type", ["left", "outer"])
-@pytest.mark.parametrize("seed", [14, 15])
+@pytest.mark.parametrize("seed", [14])
 def test_merge_by_sweep_equals_merge_by_join(spark, hot, join_type, seed):
     sides = [
         sequentialize_table(
@@ -288,7 +288,7 @@ def test_merge_incremental(spark):
 # ---------------------------------------------------------------- overlap detail
 
 
-@pytest.mark.parametrize("seed", [7, 8])
+@pytest.mark.parametrize("seed", [7])
 def test_overlap_detail_matches_brute_force(spark, hot, seed):
     far = 10_000
     rows = _random_rows(seed, n=40)
@@ -378,7 +378,7 @@ def _brute_flatten(rows, group, compare):
     return sorted(((*i[2], day(i[0]), day(i[1])) for i in islands), key=str)
 
 
-@pytest.mark.parametrize("seed", [11, 12, 13])
+@pytest.mark.parametrize("seed", [11, 12])
 def test_flatten_matches_brute_force(spark, hot, seed):
     rows = _random_rows(seed, keys=2, n=50, span=120)
     # Copies, also of open and inverted rows.
