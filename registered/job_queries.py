@@ -179,8 +179,9 @@ def mart_order_items(spark, sf_dir):
 
 @QUERIES.query(f"""{_SHOP} SELECT {_ORDER_COLUMNS}, CAST(order_cost AS DOUBLE) AS order_cost,
  CAST(order_items_subtotal AS DOUBLE) AS order_items_subtotal, count_food_items,
- count_drink_items, count_order_items, count_food_items > 0 AS is_food_order,
- count_drink_items > 0 AS is_drink_order,
+ count_drink_items, count_order_items,
+ CAST(count_food_items > 0 AS VARCHAR) AS is_food_order,
+ CAST(count_drink_items > 0 AS VARCHAR) AS is_drink_order,
  row_number() OVER (PARTITION BY customer_id ORDER BY order_date, o.order_id)
    AS customer_order_number
 FROM orders_s o LEFT JOIN item_summary s ON o.order_id = s.order_id""")
@@ -188,6 +189,10 @@ def mart_orders(spark, sf_dir):
     orders = shop.mart_orders(
         shop.stage_orders(_raw_orders(spark, sf_dir)), _order_items(spark, sf_dir)
     ).withColumn("order_date", _date("order_date"))
+    # Flags of orders without items are NULL; as text they compare alike everywhere.
+    orders = orders.withColumns(
+        {c: F.col(c).cast("string") for c in ("is_food_order", "is_drink_order")}
+    )
     return _doubles(orders, *_ORDER_MONEY, "order_cost", "order_items_subtotal")
 
 
@@ -299,7 +304,7 @@ def price_fact(spark, sf_dir):
     return usage.price_fact(prices)
 
 
-@QUERIES.query("""SELECT s_name AS id, CAST(s_acctbal / 10000 AS FLOAT) AS discount,
+@QUERIES.query("""SELECT s_name AS id, CAST(CAST(s_acctbal / 10000 AS FLOAT) AS DOUBLE) AS discount,
  strftime(first_ship, '%Y-%m-%d') AS valid_from, '9999-12-31' AS valid_to
 FROM supplier JOIN (SELECT l_suppkey, min(l_shipdate) AS first_ship FROM lineitem GROUP BY 1)
  ON l_suppkey = s_suppkey""")
@@ -314,7 +319,7 @@ def discount_fact(spark, sf_dir):
         "valid_from",
         F.lit("9999-12-31").cast("date").alias("valid_to"),
     )
-    dated = usage.discount_fact(discounts)
+    dated = _doubles(usage.discount_fact(discounts), "discount")
     return dated.withColumns({c: _date(c) for c in ("valid_from", "valid_to")})
 
 
@@ -431,12 +436,13 @@ def user_dim(spark, sf_dir):
 joined AS (
   SELECT coalesce(g, eg) AS grp, coalesce(eu, u) AS usr, d
   FROM members FULL JOIN everyone ON g = eg AND u = eu)
-SELECT grp AS "group", usr AS user_name, d AS is_direct_group,
+SELECT grp AS "group", usr AS user_name, CAST(d AS VARCHAR) AS is_direct_group,
  sha256(concat_ws('||', coalesce(grp, ''), coalesce(usr, ''), CAST(d AS VARCHAR))) AS group_user_id
 FROM joined WHERE (usr IS NOT NULL AND grp = 'users') OR grp <> 'users'""")
 def group_user_bridge(spark, sf_dir):
     users = load(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("user"))
-    return usage.group_user_bridge(_memberships(spark, sf_dir), users)
+    bridge = usage.group_user_bridge(_memberships(spark, sf_dir), users)
+    return bridge.withColumn("is_direct_group", F.col("is_direct_group").cast("string"))
 
 
 # ------------------------------------------------------------ run history

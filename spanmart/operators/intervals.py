@@ -196,12 +196,16 @@ def _pick_by_key(rows: DataFrame, choice: _Choice, far: Column) -> DataFrame:
     keys = choice.keys
     pieces = _pieces(_bounds(rows, keys, "__start", "__end"), keys).filter(~F.col("__tail"))
     covered = rows.select(
-        *[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in rows.columns if c not in keys]
+        *[F.col(k).alias(f"__r_{k}") for k in keys],
+        "__start",
+        F.coalesce(F.col("__end"), far).alias("__stop"),
+        *[c for c in rows.columns if c not in {*keys, "__start", "__end"}],
     )
+    # A piece lies inside a row or outside it, so its start decides.
     meets = (
         key_condition(pieces, covered, keys, "__r_")
-        & (F.greatest("__start", "__from") < F.coalesce(F.col("__end"), far))
-        & (F.greatest("__start", "__from") < F.coalesce(F.col("__to"), far))
+        & (F.col("__start") <= F.col("__from"))
+        & (F.col("__from") < F.col("__stop"))
     )
     return (
         pieces.join(covered, meets)
@@ -412,12 +416,12 @@ def merge_sequential_intervals(
 
     hows = {"l": "inner" if join_type == "left" else "left", "r": "left"}
     if sequential:
-        merged = _merge_by_sweep(hot, sides, keys, far, keep_right=join_type == "outer")
+        merged = shape(_merge_by_sweep(hot, sides, keys, far, keep_right=join_type == "outer"))
     else:
-        merged = _merge_by_key(hot, sides, keys, far, hows)
+        merged = shape(_merge_by_key(hot, sides, keys, far, hows))
         if hot.found:
-            merged = merged.unionByName(_merge_by_buckets(hot, sides, keys, far, hows))
-    merged = shape(merged)
+            sliced = shape(_merge_by_buckets(hot, sides, keys, far, hows))
+            merged = both_paths(merged, sliced)
     if incremental is not None:
         target, marks, merged_mark = incremental
         merged = newer_than(merged, target, marks, merged_mark)
@@ -569,16 +573,18 @@ def _cover_by_key(
     pieces: DataFrame, rows: DataFrame, keys: list[str], tag: str, far: Column, how: str
 ) -> DataFrame:
     """Join pieces with the rows of one side that cover them."""
-    start, end = F.col(f"__{tag}_start"), F.col(f"__{tag}_end")
+    start, stop = f"__{tag}_start", f"__{tag}_stop"
     side = rows.select(
         *[F.col(k).alias(f"__{tag}k_{k}") for k in keys],
-        *[c for c in rows.columns if c not in keys],
+        *[c for c in rows.columns if c not in {*keys, f"__{tag}_end"}],
+        F.coalesce(F.col(f"__{tag}_end"), far).alias(stop),
         F.lit(True).alias(f"__{tag}_hit"),
     )
+    # A piece lies inside a row or outside it, so its start decides.
     meets = (
         key_condition(pieces, side, keys, f"__{tag}k_")
-        & (start < F.coalesce(F.col("__to"), far))
-        & (F.coalesce(end, far) > F.col("__from"))
+        & (F.col(start) <= F.col("__from"))
+        & (F.col("__from") < F.col(stop))
     )
     return pieces.join(side, meets, how).drop(*[f"__{tag}k_{k}" for k in keys])
 

@@ -393,6 +393,17 @@ def test_flatten_matches_brute_force(spark, hot, seed):
     assert sorted(rows_of(cover), key=str) == _brute_flatten(rows, [0], [])
 
 
+def test_flatten_mixed_twice_changes_nothing(spark):
+    """Holds for closed rows that do not overlap."""
+    closed = sequentialize_table(
+        table(spark, _random_rows(77, open_share=0.0)), ["k"], "s", "e", ["r"], value_cols=["v"]
+    )
+    once = flatten_sequential_rows_mixed_datatypes(closed, ["k"], "s", "e")
+    twice = flatten_sequential_rows_mixed_datatypes(once, ["k"], "s", "e")
+    assert once.count() < closed.count()
+    assert rows_of(once) == rows_of(twice)
+
+
 # ---------------------------------------------------------------- joins
 
 
