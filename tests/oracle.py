@@ -39,9 +39,8 @@ def rows(names, data):
     return sorted(names), sorted(tuple(_plain(r[i]) for i in order) for r in data)
 
 
-def compare(spark, con, sf_dir, run, sql):
+def compare(df, con, sql):
     """None when both agree, else a short description of the difference."""
-    df = run(spark, sf_dir)
     got_names, got = rows(df.columns, [tuple(r) for r in df.collect()])
     cursor = con.execute(sql)
     names = [c[0] for c in cursor.description]
@@ -76,7 +75,7 @@ if __name__ == "__main__":
             continue
         began = time.time()
         try:
-            problem = compare(session, db, folder, fn, sql_of[query])
+            problem = compare(fn(session, folder), db, sql_of[query])
         except Exception as error:  # noqa: BLE001
             problem = f"{type(error).__name__}: {str(error)[:600]}"
         bad += problem is not None
