@@ -183,15 +183,15 @@ def interval_overlap_join(
     if not hot.found:
         return regular
     hot_left = hot.hot(left).select(*left.columns)
-    # Reference semantics compare bounds pairwise, so an empty interval strictly
-    # inside another one still overlaps it: it acts as a point.
+    # Bounds are compared pairwise, so an empty interval strictly inside another
+    # one still overlaps it: it acts as a point.
     hot_right = hot.hot(right).select(*right.columns)
-    pairs = _all_overlaps(hot_left, hot_right, keys, l_start, l_last, r_start, r_last, hot)
+    pairs = all_overlaps(hot_left, hot_right, keys, l_start, l_last, r_start, r_last, hot)
     sliced = _keep_left(hot_left, pairs, [*keys, l_start, l_end], how).select(*names)
     return both_paths(regular, sliced)
 
 
-def _all_overlaps(
+def all_overlaps(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
@@ -200,27 +200,28 @@ def _all_overlaps(
     r_start: str,
     r_last: Column,
     hot: HotKeys,
+    left_is_proper: bool = False,
 ) -> DataFrame:
     """Pairs with ``l_start < r_end and r_start < l_end``, empty intervals included.
 
     An interval with ``end <= start`` overlaps exactly the non-empty ones that
     strictly contain both of its bounds; two empty ones never overlap.
+    ``left_is_proper`` says that the left side has no empty interval.
     """
     out = [*left.columns, *[c for c in right.columns if c not in keys]]
-    proper = overlap_pairs(left, right, keys, l_start, l_last, r_start, r_last, hot)
-    l_empty = left.withColumn("__l_last", l_last).filter(F.col(l_start) >= F.col("__l_last"))
+    pairs = overlap_pairs(left, right, keys, l_start, l_last, r_start, r_last, hot).select(*out)
     r_empty = right.withColumn("__r_last", r_last).filter(F.col(r_start) >= F.col("__r_last"))
-    l_in_right = range_join(l_empty, right, keys, l_start, r_start, r_last, hot).filter(
-        F.col(r_start) < F.col("__l_last")
-    )
     r_in_left = range_join(r_empty, left, keys, r_start, l_start, l_last, hot).filter(
         F.col(l_start) < F.col("__r_last")
     )
-    return (
-        proper.select(*out)
-        .unionByName(l_in_right.select(*out))
-        .unionByName(r_in_left.select(*out))
+    pairs = pairs.unionByName(r_in_left.select(*out))
+    if left_is_proper:
+        return pairs
+    l_empty = left.withColumn("__l_last", l_last).filter(F.col(l_start) >= F.col("__l_last"))
+    l_in_right = range_join(l_empty, right, keys, l_start, r_start, r_last, hot).filter(
+        F.col(r_start) < F.col("__l_last")
     )
+    return pairs.unionByName(l_in_right.select(*out))
 
 
 def point_in_interval_join(

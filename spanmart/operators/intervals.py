@@ -22,7 +22,7 @@ from spanmart.functions.predicates import all_not_null, any_not_null, far_future
 from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position, timeline
 from spanmart.operators.interval_joins import (
     PAIR_ROWS,
-    _all_overlaps,
+    all_overlaps,
     key_condition,
     range_join,
 )
@@ -652,14 +652,31 @@ def get_overlap_detail(
     regular = regular.join(periods, meets).select(*out).filter(any_not_null(keys))
     if not hot.found:
         return regular
-    sliced = _all_overlaps(
-        hot.hot(overlaps).select(*overlaps.columns),
-        hot.hot(df).select(*df.columns),
+    far = far_future_for(df, end, far_future)
+    pieces = hot.hot(overlaps).select(*overlaps.columns)
+    rows = hot.hot(df).select(*df.columns)
+    proper = F.coalesce(F.col(start) < F.coalesce(F.col(end), far), F.lit(False))
+    # Pieces were cut at the bounds of proper rows, so a piece's start decides.
+    inside = range_join(
+        pieces,
+        rows.filter(proper),
+        keys,
+        "overlap_start",
+        start,
+        F.coalesce(F.col(end), detail),
+        hot,
+    )
+    # Rows that cut nothing (empty or inverted) are compared bound by bound.
+    across = all_overlaps(
+        pieces,
+        rows.filter(~proper),
         keys,
         "overlap_start",
         F.coalesce(F.col("overlap_end"), detail),
         start,
         F.coalesce(F.col(end), detail),
         hot,
-    ).select(*out)
+        left_is_proper=True,
+    )
+    sliced = inside.select(*out).unionByName(across.select(*out))
     return both_paths(regular, sliced)

@@ -289,3 +289,10 @@ def test_metrics(spark):
                 lambda: metrics.metric_query(df, [], [])):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_partitions_follow_the_shuffle_size():
+    from spanmart.session import partitions_for
+
+    assert partitions_for(1) == 200
+    assert partitions_for(100 * 10**12) == 745_059
