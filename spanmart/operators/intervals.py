@@ -230,8 +230,7 @@ def _pick_by_tree(hot: HotKeys, rows: DataFrame, choice: _Choice, far: Column) -
         .groupBy(*keys, "__start", "__end")
         .agg(*choice.aggregates(F.lit(1)) or [F.lit(1).alias("__one")])
     )
-    bounds = rows.select(*keys, "__start", "__end")
-    pieces = _sliced_pieces(_bounds(bounds, keys, "__start", "__end"), keys, hot)
+    pieces = _sliced_pieces(_bounds(rows, keys, "__start", "__end"), keys, hot)
     ranks = pieces.select(*keys, "__from", "__rank")
 
     def with_rank(df: DataFrame, bound: str, name: str, open_ended: bool) -> DataFrame:
@@ -245,11 +244,16 @@ def _pick_by_tree(hot: HotKeys, rows: DataFrame, choice: _Choice, far: Column) -
         on = key_condition(df, numbered, keys, "__b_") & same_bound
         return df.join(numbered, on).drop("__b_at", *[f"__b_{k}" for k in keys])
 
-    spans = with_rank(spans, "__start", "__lo", open_ended=False)
-    spans = with_rank(spans, "__end", "__hi", open_ended=True)
-    payload = [c for c in ("__n", "__values", "__order") if c in spans.columns]
+    # A row goes to many nodes, so only its bounds travel; the values of the
+    # winners are fetched once, at the end.
+    narrow = spans
+    if choice.values:
+        narrow = spans.withColumn("__values", F.struct("__start", "__end"))
+    ranked = with_rank(narrow, "__start", "__lo", open_ended=False)
+    ranked = with_rank(ranked, "__end", "__hi", open_ended=True)
+    payload = [c for c in ("__n", "__values", "__order") if c in ranked.columns]
     nodes = (
-        spans.withColumn("__node", F.explode(_covering_nodes()))
+        ranked.withColumn("__node", F.explode(_covering_nodes()))
         .select(
             *[F.col(k).alias(f"__n_{k}") for k in keys],
             F.col("__node.level").alias("__n_level"),
@@ -274,11 +278,24 @@ def _pick_by_tree(hot: HotKeys, rows: DataFrame, choice: _Choice, far: Column) -
         # An open end counts up to the far future only.
         & (~nodes["__n_open"] | (leaves["__from"] < far))
     )
-    return (
+    best = (
         leaves.join(nodes, meets)
         .groupBy(*keys, "__from", "__to")
         .agg(*choice.aggregates(F.col("__n")) or [F.lit(1).alias("__one")])
     )
+    if not choice.values:
+        return best
+    best = best.withColumnRenamed("__values", "__winner")
+    found = spans.select(
+        *[F.col(k).alias(f"__v_{k}") for k in keys], "__start", "__end", "__values"
+    )
+    # No winner where every order is NULL.
+    same = (
+        key_condition(best, found, keys, "__v_")
+        & (F.col("__winner.__start") == F.col("__start"))
+        & F.col("__winner.__end").eqNullSafe(F.col("__end"))
+    )
+    return best.join(found, same, "left")
 
 
 def _tree_height(count: Column) -> Column:
