@@ -17,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanmart.functions.predicates import all_not_null, any_not_null, far_future_for
 from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position, timeline
@@ -32,6 +33,8 @@ DETAIL_END = "9999-12-31"
 
 # Each level of the piece tree spans 2^2 = 4 nodes of the level below.
 _TREE_BITS = 2
+# Rows wider than this do not travel through the tree.
+WIDE_BYTES = 96
 
 
 def _need_keys(keys: list[str]) -> None:
@@ -244,10 +247,11 @@ def _pick_by_tree(hot: HotKeys, rows: DataFrame, choice: _Choice, far: Column) -
         on = key_condition(df, numbered, keys, "__b_") & same_bound
         return df.join(numbered, on).drop("__b_at", *[f"__b_{k}" for k in keys])
 
-    # A row goes to many nodes, so only its bounds travel; the values of the
-    # winners are fetched once, at the end.
+    # A row goes to many nodes. Wide rows send only their bounds there, and the
+    # values of the winners are fetched once, at the end.
+    fetch = bool(choice.values) and _width(rows, "__values") > WIDE_BYTES
     narrow = spans
-    if choice.values:
+    if fetch:
         narrow = spans.withColumn("__values", F.struct("__start", "__end"))
     ranked = with_rank(narrow, "__start", "__lo", open_ended=False)
     ranked = with_rank(ranked, "__end", "__hi", open_ended=True)
@@ -283,7 +287,7 @@ def _pick_by_tree(hot: HotKeys, rows: DataFrame, choice: _Choice, far: Column) -
         .groupBy(*keys, "__from", "__to")
         .agg(*choice.aggregates(F.col("__n")) or [F.lit(1).alias("__one")])
     )
-    if not choice.values:
+    if not fetch:
         return best
     best = best.withColumnRenamed("__values", "__winner")
     found = spans.select(
@@ -298,6 +302,19 @@ def _pick_by_tree(hot: HotKeys, rows: DataFrame, choice: _Choice, far: Column) -
     return best.join(found, same, "left")
 
 
+def _width(df: DataFrame, col: str) -> int:
+    """Rough bytes per value of a struct column, by type."""
+
+    def size(dtype: T.DataType) -> int:
+        if isinstance(dtype, T.StructType):
+            return sum(size(f.dataType) for f in dtype.fields)
+        if isinstance(dtype, (T.StringType, T.BinaryType)):
+            return 32
+        return 128 if isinstance(dtype, (T.ArrayType, T.MapType)) else 8
+
+    return size(df.schema[col].dataType)
+
+
 def _tree_height(count: Column) -> Column:
     """A level at which one node spans ``count`` leaves."""
     return F.ceil(F.length(F.bin(count)) / F.lit(_TREE_BITS)).cast("int")

@@ -117,6 +117,21 @@ def test_sequentialize_matches_brute_force(spark, hot, seed):
     assert sorted(rows_of(out, "k", "v", "s", "e", "r", "f"), key=str) == _brute_sequentialize(rows)
 
 
+def test_sequentialize_wide_rows(spark, hot):
+    rows = _random_rows(6)
+    df = table(spark, rows).withColumns({f"w{i}": F.concat("v", F.lit(i)) for i in range(4)})
+    out = sequentialize_table(
+        df, ["k"], "s", "e", ["r"], flag_overlaps_column="f", hot_rows=hot
+    )
+    assert out.columns == ["k", "s", "e", "v", "r", "w0", "w1", "w2", "w3", "f"]
+    assert out.filter("w3 <> concat(v, '3')").count() == 0
+    assert sorted(rows_of(out, "k", "v", "s", "e", "r", "f"), key=str) == _brute_sequentialize(rows)
+    unordered = sequentialize_table(
+        df.withColumn("r", F.lit(None).cast("int")), ["k"], "s", "e", ["r"], hot_rows=hot
+    )
+    assert unordered.count() == out.count() and unordered.filter("w0 is not null").count() == 0
+
+
 def test_sequentialize_options(spark, hot):
     df = table(spark, [(1, "A", 1, 10, 1), (1, "B", 5, 15, 2)])
     keys_only = sequentialize_table(df, ["k"], "s", "e", ["r"], value_cols=[], hot_rows=hot)
