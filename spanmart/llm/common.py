@@ -72,12 +72,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir."""
     context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        # Unset, as in tests: a session on one machine.
+        shared = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spanmart-checkpoint-")
     if not context.getCheckpointDir():
-        shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        # Without a shared folder this is a session on one machine, as in tests.
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spanmart-checkpoint-"))
+        context.setCheckpointDir(shared)
+    return shared
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -309,6 +309,7 @@ def decontaminated(
     read = plain.withColumn("text", F.coalesce(F.col(f"__{at}").cast("string"), F.lit("")))
     kept = ", ".join(f"__{i} {t}" for i, (_, t) in enumerate(docs.dtypes))
 
+    columns = plain.columns
     parts = shards(benchmark, shard_bytes)
 
     def finish(batch, found, automaton):
@@ -320,10 +321,10 @@ def decontaminated(
                 text = without(text, hits)
                 hits = automaton.scan(words_of(text))[0]
             texts.append(None if text == was else text.decode())
-        return {c: batch.column(c) for c in plain.columns} | {"cleaned": texts, "share": share}
+        return {c: batch.column(c) for c in columns} | {"cleaned": texts, "share": share}
 
     wide = _through(read, parts, window, f"{kept}, cleaned string, share double", finish)
     wide = wide.where(F.col("share") <= max_coverage)
-    columns = [F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)]
-    columns[at] = F.coalesce("cleaned", f"__{at}").alias("text")
-    return wide.select(*columns)
+    out = [F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)]
+    out[at] = F.coalesce("cleaned", f"__{at}").alias("text")
+    return wide.select(*out)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmart.llm import decontaminate, quality, sentencepiece, simhash
+from spanmart.llm import decontaminate, quality, secrets, sentencepiece, simhash
 from spanmart.llm.common import load
 
 
@@ -57,3 +57,8 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(load(spark, sf_dir, "documents"))
