@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmart.llm import decontaminate, quality, secrets, sentencepiece, simhash
+from spanmart.llm import decontaminate, pages, quality, secrets, sentencepiece, simhash
 from spanmart.llm.common import load
 
 
@@ -62,3 +62,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_texts(load(spark, sf_dir, "pages"))
