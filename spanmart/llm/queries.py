@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmart.llm import decontaminate, pages, quality, secrets, sentencepiece, simhash
+from spanmart.llm import decontaminate, disclosure, pages, quality, secret_scan, sentencepiece, simhash, tools
 from spanmart.llm.common import load
 
 
@@ -61,9 +61,19 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(load(spark, sf_dir, "documents"))
+    return secret_scan.scan(load(spark, sf_dir, "documents"))
 
 
 @query()
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.main_texts(load(spark, sf_dir, "pages"))
+
+
+@query()
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.report(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.linked(tools.as_messages(load(spark, sf_dir, "conversations")), tools.DERIVED)
