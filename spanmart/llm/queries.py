@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmart.llm import decontaminate, disclosure, pages, quality, secret_scan, sentencepiece, simhash, tools
+from spanmart.llm import decontaminate, disclosure, pages, quality, secret_scan, sentencepiece, simhash, suffixes, tools
 from spanmart.llm.common import load
 
 
@@ -77,3 +77,8 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.linked(tools.as_messages(load(spark, sf_dir, "conversations")), tools.DERIVED)
+
+
+@query()
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(load(spark, sf_dir, "documents"))
