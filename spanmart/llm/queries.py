@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanmart.llm import decontaminate, disclosure, pages, quality, secret_scan, sentencepiece, simhash, suffixes, tools
+from spanmart.llm import decontaminate, disclosure, pages, passages, quality, secret_scan, sentencepiece, simhash, suffixes, tools
 from spanmart.llm.common import load
 
 
@@ -82,3 +82,8 @@ def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.removed(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(load(spark, sf_dir, "documents"))
