@@ -13,11 +13,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmart.llm.common import NO_ID, documents, partitions
 
+CHUNKS = 3
 PACKED = "bucket int, chunk int, data binary"
 # Rows of one group of copies, of which the smallest id stands for all.
 TEXTS = "chunk int, doc_id long, text string"
@@ -28,12 +29,16 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
+def chunk_count(spark: SparkSession) -> int:
+    return CHUNKS * partitions(spark)
+
+
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """One row per distinct text with its smallest doc_id, dealt evenly into chunks.
 
     Copies are combined before and after the shuffle by text, however many there are.
     """
-    n = partitions(docs.sparkSession)
+    n = chunk_count(docs.sparkSession)
     one = docs.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
     return one.select(F.pmod(F.xxhash64("text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text")
 
