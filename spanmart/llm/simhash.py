@@ -86,6 +86,20 @@ def fuzzy_keys(distinct: DataFrame) -> DataFrame:
     return map_rows(distinct, run, "fingerprint long, key long")
 
 
+def segment_codes(distinct: DataFrame) -> DataFrame:
+    """(fingerprint, sub) with the codeword nearest to each segment, told apart by segment."""
+
+    def run(batch):
+        prints = batch.column("fingerprint").to_numpy(zero_copy_only=False)
+        codes = []
+        for i, (at, n) in enumerate(SEGMENTS):
+            part = ((prints.view(np.uint64) >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)
+            codes.append(np.int64(i) << golay.DATA | golay.nearest(part))
+        return {"fingerprint": np.tile(prints, len(SEGMENTS)), "sub": np.concatenate(codes)}
+
+    return map_rows(distinct, run, "fingerprint long, sub long")
+
+
 def _distance(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
@@ -217,9 +231,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILA
         return df.select(*[F.col(c).alias(c if c in ("key", "sub") else c + s) for c in df.columns if c != "size"])
 
     pairs = side(few, "1").join(side(few, "2"), "key").where("node1 < node2").drop("key")
-    subs = fuzzy_keys(many.select(F.col("fp").alias("fingerprint")).distinct()).select(
-        F.col("fingerprint").alias("fp"), F.col("key").alias("sub")
-    )
+    subs = segment_codes(many.select(F.col("fp").alias("fingerprint")).distinct()).withColumnRenamed("fingerprint", "fp")
     fine = many.join(subs, "fp").select("node", "fp", "n", "key", "sub")
     fine = fine.unionByName(many.select("node", "fp", "n", "key", F.lit(-1).cast("long").alias("sub")))
     hub = fine.groupBy("key", "sub").agg(F.min(F.struct("node", "fp", "n")).alias("hub"))
