@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmart.llm.common import NO_ID, documents, partitions
+from spanmart.llm.common import NO_ID, documents, partitions, with_library
 
 CHUNKS = 3
 PACKED = "bucket int, chunk int, data binary"
@@ -71,7 +71,7 @@ def per_chunk(texts: DataFrame, found: DataFrame | None, fn: Callable, schema: s
         return pa.Table.from_batches(list(pack(fn(key[0].as_py(), ids, bodies, []))), schema=arrow)
 
     if found is None:
-        return texts.groupBy("chunk").applyInArrow(alone, schema)
+        return with_library(texts).groupBy("chunk").applyInArrow(alone, schema)
 
     def both(key, left, right):
         if not left.num_rows:
@@ -81,7 +81,7 @@ def per_chunk(texts: DataFrame, found: DataFrame | None, fn: Callable, schema: s
         made = list(pack(fn(key[0].as_py(), ids, bodies, messages)))
         return pa.Table.from_batches(made, schema=arrow)
 
-    return texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(both, schema)
+    return with_library(texts).groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(both, schema)
 
 
 def per_bucket(sent: DataFrame, fn: Callable, schema: str = PACKED) -> DataFrame:
@@ -94,7 +94,7 @@ def per_bucket(sent: DataFrame, fn: Callable, schema: str = PACKED) -> DataFrame
         made = [pa.RecordBatch.from_pydict(c, schema=arrow) for c in fn(key[0].as_py(), messages)]
         return pa.Table.from_batches(made, schema=arrow)
 
-    return sent.groupBy("bucket").applyInArrow(run, schema)
+    return with_library(sent).groupBy("bucket").applyInArrow(run, schema)
 
 
 def by_bucket(values: np.ndarray, n: int) -> np.ndarray:

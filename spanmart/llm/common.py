@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,6 +38,16 @@ def binaries(column) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def with_library(df: DataFrame) -> DataFrame:
+    """Let Python workers find this library where the driver found it (a cluster gets it with --py-files)."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = df.sparkSession.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+    return df
+
+
 def map_rows(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str
 ) -> DataFrame:
@@ -53,7 +64,7 @@ def map_rows(
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return with_library(df).mapInArrow(run, schema)
 
 
 def slices(batch: pa.RecordBatch, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:

@@ -8,6 +8,8 @@ Built-in functions only.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,16 +88,17 @@ def _ordered(calls: DataFrame, uses: DataFrame, max_rounds: int) -> DataFrame:
     """(conv_id, call_id, at_turn, at_place, depth, cyclic): a call stands after all it uses.
 
     A call keeps its own place unless it uses a later one, then it moves behind that.  Only calls that
-    use later ones, and those that build on them, are moved, round by round; a chain of more
-    than ``max_rounds`` such moves, or a circle, is reported as cyclic and keeps its place.
+    use later ones, and those that build on them, are moved, round by round; a call
+    that still moves in the second half of the rounds stands in a circle, builds on one, or ends a
+    longer chain of such moves; it is reported as cyclic and keeps its place.
     """
     start = calls.select(
         "conv_id", "call_id", F.col("turn").alias("at_turn"), F.col("place").alias("at_place"), F.lit(0).alias("depth")
     )
     place = cut(start)
     edges = cut(uses)
-    moved = None
-    for _ in range(max_rounds):
+    restless = []
+    for done in range(max_rounds):
         other = place.select(
             F.col("conv_id"), F.col("call_id").alias("used"), F.struct("at_turn", "at_place", "depth").alias("theirs")
         )
@@ -107,13 +110,15 @@ def _ordered(calls: DataFrame, uses: DataFrame, max_rounds: int) -> DataFrame:
         moved = cut(behind)
         if moved.isEmpty():
             return place.withColumn("cyclic", F.lit(False))
+        if 2 * done >= max_rounds:
+            restless.append(moved.select("conv_id", "call_id"))
         place = cut(
             place.join(moved, ["conv_id", "call_id"], "left").select(
                 "conv_id", "call_id",
                 *[F.coalesce(f"new.{c}", c).alias(c) for c in ("at_turn", "at_place", "depth")],
             )
         )
-    circles = moved.select("conv_id", "call_id", F.lit(True).alias("cyclic"))
+    circles = reduce(DataFrame.unionByName, restless).distinct().withColumn("cyclic", F.lit(True))
     kept = start.join(circles, ["conv_id", "call_id"], "left")
     return place.join(kept.select("conv_id", "call_id", "cyclic", F.struct("at_turn", "at_place", "depth").alias("own")),
                       ["conv_id", "call_id"]).select(
