@@ -234,7 +234,7 @@ def _raw_usage(spark, sf_dir):
         F.lit("DBU").alias("usage_unit"),
         F.lit("AWS").alias("cloud"),
         F.when(kind == "view", F.create_map(F.lit("job/dag_id"), k))
-        .otherwise(F.create_map(F.lit("ktl:product"), kind, F.lit("job/dag_id"), kind))
+        .otherwise(F.create_map(F.lit("org:product"), kind, F.lit("job/dag_id"), kind))
         .alias("custom_tags"),
         F.struct(
             k.alias("cluster_id"),
@@ -246,10 +246,12 @@ def _raw_usage(spark, sf_dir):
     )
 
 
+# A tag of the owner, beside the platform's.
+OWN_TAGS = {"org:product": "tag_org_product"}
 _EMPTY_TAGS = ", ".join(
     f"CAST(NULL AS VARCHAR) AS {name}"
     for name in usage.USAGE_TAGS.values()
-    if name not in ("tag_job_dag_id", "tag_ktl_product")
+    if name not in ("tag_job_dag_id", "tag_org_product")
 )
 
 
@@ -260,7 +262,7 @@ _EMPTY_TAGS = ", ".join(
  CAST(CAST(value AS DECIMAL(20, 4)) AS DOUBLE) AS usage_quantity, 'DBU' AS usage_unit, 'AWS' AS cloud,
  CASE WHEN event_type = 'view' THEN json_extract_string(props, '$.k') ELSE event_type END
    AS tag_job_dag_id,
- CASE WHEN event_type <> 'view' THEN event_type END AS tag_ktl_product, {_EMPTY_TAGS},
+ CASE WHEN event_type <> 'view' THEN event_type END AS tag_org_product, {_EMPTY_TAGS},
  json_extract_string(props, '$.k') AS usage_metadata_cluster_id,
  CASE WHEN event_type = 'click' THEN json_extract_string(props, '$.k') END
    AS usage_metadata_job_id,
@@ -268,7 +270,7 @@ _EMPTY_TAGS = ", ".join(
  event_type AS usage_metadata_node_type
 FROM events WHERE event_type = 'view' OR event_type = 'click'""")
 def usage_fact(spark, sf_dir):
-    fact = usage.usage_fact(_raw_usage(spark, sf_dir), ["view", "click"])
+    fact = usage.usage_fact(_raw_usage(spark, sf_dir), ["view", "click"], OWN_TAGS)
     return fact.drop("custom_tags", "usage_metadata").withColumn("usage_date", _date("usage_date"))
 
 
@@ -555,6 +557,16 @@ def top_orders(spark, sf_dir):
     return top_n(orders, "o_totalprice", 500)
 
 
+@QUERIES.query("""SELECT o_custkey, o_orderpriority, min(o_totalprice) AS least, max(o_totalprice) AS most
+FROM orders GROUP BY ALL""")
+def metric_all_groups(spark, sf_dir):
+    return metric_query(
+        load(spark, sf_dir, "orders"),
+        ["o_custkey", "o_orderpriority"],
+        [metric("least", "min", "o_totalprice"), metric("most", "max", "o_totalprice")],
+    )
+
+
 @QUERIES.query("""SELECT o_orderpriority AS unique_id, o_orderkey AS invocation_id,
  round(o_totalprice) * 60 AS execution_time, last_order, last_customer
 FROM orders JOIN (SELECT o_orderpriority AS p, max(o_orderkey) AS last_order,

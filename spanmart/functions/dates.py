@@ -8,6 +8,8 @@ when clocks go back.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ REGIONAL_ZONES = {
 }
 
 SPINE_PARTS = ("second", "minute", "hour", "day", "week", "month", "year")
+_SECONDS = {"second": 1, "minute": 60, "hour": 3_600, "day": 86_400, "week": 604_800}
+_MONTHS = {"month": 1, "year": 12}
 
 
 def as_col(value: Column | str) -> Column:
@@ -88,15 +92,18 @@ def _spine(spark: SparkSession, name: str, part: str, start: str, end: str, step
         raise ValueError(f"date part must be one of {SPINE_PARTS}, got {part!r}")
     if step < 1:
         raise ValueError("granularity must be at least 1")
-    return spark.range(1).select(
-        F.explode(
-            F.sequence(
-                F.lit(start).cast("timestamp"),
-                F.lit(end).cast("timestamp"),
-                F.expr(f"INTERVAL {int(step)} {part}"),
-            )
-        ).alias(name)
-    )
+    # One row per step, made where it is needed: no array of all steps in one task.
+    first, last = (F.lit(x).cast("timestamp") for x in (start, end))
+    begun, ended = (datetime.fromisoformat(x) for x in (start, end))
+    if part.lower() in _MONTHS:
+        months = _MONTHS[part.lower()] * step
+        n = ((ended.year - begun.year) * 12 + ended.month - begun.month) // months + 1
+        value = F.timestamp_add("MONTH", (F.col("id") * months).cast("int"), first)
+    else:
+        width = _SECONDS[part.lower()] * step
+        n = int((ended - begun).total_seconds() // width) + 1
+        value = F.timestamp_micros(F.unix_micros(first) + F.col("id") * (width * 1_000_000))
+    return spark.range(max(n, 0)).select(value.alias(name)).where(F.col(name) <= last)
 
 
 def date_spine(

@@ -175,7 +175,9 @@ def _repeat(df: DataFrame, times: Column) -> DataFrame:
     blocks = F.sequence(F.lit(1), F.ceil(times / F.lit(block)).cast("long"))
     spread = df.filter(times > 0).withColumn("__block", F.explode(blocks))
     size = F.least(F.lit(block).cast("long"), times - (F.col("__block") - 1) * block)
-    return spread.repartition("__block").withColumn(
+    # By row and block: nearly every row has one block only.
+    keys = [name for name, kind in df.dtypes if not kind.startswith("map")]
+    return spread.repartition(*keys, "__block").withColumn(
         "__copy", F.explode(F.sequence(F.lit(1).cast("long"), size))
     )
 

@@ -357,11 +357,20 @@ def _common_pair(
     return both_paths(regular, pairs.select(*columns))
 
 
+_INTEGERS = {"byte": 7, "short": 15, "integer": 31, "long": 60}
+
+
 def _open_bounds(df: DataFrame, col: str) -> tuple[Column, Column]:
     """Stand-ins for an open start and an open end, beyond any real value."""
     kind = df.schema[col].dataType.typeName()
     if kind in ("date", "timestamp", "timestamp_ntz"):
         low, high = "0001-01-01", "9999-12-31 23:59:59.999999"
+    elif kind in _INTEGERS:
+        low, high = -(1 << _INTEGERS[kind]), (1 << _INTEGERS[kind]) - 1
+    elif kind == "decimal":
+        decimal = df.schema[col].dataType
+        high = "9" * (decimal.precision - decimal.scale) + "." + "9" * decimal.scale
+        return F.lit("-" + high).cast(decimal), F.lit(high).cast(decimal)
     else:
         low, high = -(1 << 60), 1 << 60
     return F.lit(low).cast(kind), F.lit(high).cast(kind)

@@ -56,12 +56,12 @@ def metric_query(
     metrics: list[Metric],
     filters: list[Column] | None = None,
     sorts: list[tuple[str, bool]] | None = None,
-    limit: int | None = DEFAULT_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Filter, group, aggregate, then sort and limit.
 
-    ``sorts`` holds (output column, descending). The limit is part of the
-    report; with a sort it runs as a per-partition top-k, not a full sort.
+    ``sorts`` holds (output column, descending). Without a limit all groups
+    are returned; with one and a sort it runs as a per-partition top-k, not a full sort.
     """
     if not metrics:
         raise ValueError("metric_query needs at least one metric")
@@ -73,7 +73,7 @@ def metric_query(
     return out if limit is None else out.limit(limit)
 
 
-def top_n(df: DataFrame, col: str, n: int = DEFAULT_LIMIT) -> DataFrame:
+def top_n(df: DataFrame, col: str, n: int) -> DataFrame:
     """The ``n`` rows with the highest ``col``."""
     return df.orderBy(F.col(col).desc()).limit(n)
 

@@ -18,7 +18,8 @@ def check_unique(df: DataFrame, col: str) -> DataFrame:
 
 
 def check_accepted_values(df: DataFrame, col: str, values: list) -> DataFrame:
-    """Values outside the list, with their count. NULL is not a value."""
+    """Values outside the list, with their count. NULL is not a value, in the list neither."""
+    values = [v for v in values if v is not None]
     outside = df.filter(F.col(col).isNotNull() & ~F.col(col).isin(*values))
     return outside.groupBy(col).agg(F.count(F.lit(1)).alias("n_records"))
 

@@ -9,7 +9,7 @@ from spanmart.functions.keys import composite_key, membership_id, row_id, surrog
 from spanmart.functions.predicates import equals_any
 from spanmart.functions.text import map_lookup, safe_cast, struct_field
 
-# Tag key → output column.
+# The platform's own tag key → output column; owners add theirs.
 USAGE_TAGS = {
     "job/dag_id": "tag_job_dag_id",
     "job/installation": "tag_job_installation",
@@ -19,11 +19,9 @@ USAGE_TAGS = {
     "user:ResourceSource": "tag_aws_user_resource_source",
     "user:ResourceId": "tag_aws_user_resource_id",
     "user:ResourceType": "tag_aws_user_resource_type",
-    "ktl:product": "tag_ktl_product",
-    "ktl:product-group": "tag_ktl_product_group",
-    "ktl:service": "tag_ktl_service",
 }
 USAGE_METADATA = ("cluster_id", "job_id", "warehouse_id", "instance_pool_id", "node_type")
+# The sources' columns.
 USAGE_COLUMNS = (
     "record_id",
     "account_id",
@@ -83,11 +81,14 @@ def stage_usage(usage: DataFrame, workspaces: list) -> DataFrame:
     return kept.withColumn("usage_quantity", F.col("usage_quantity").cast("double"))
 
 
-def usage_fact(usage: DataFrame, workspaces: list) -> DataFrame:
-    """Staged usage with its tags and compute metadata as columns."""
+def usage_fact(usage: DataFrame, workspaces: list, tags: dict[str, str] | None = None) -> DataFrame:
+    """Staged usage with its tags and compute metadata as columns.
+
+    ``tags`` maps the owner's tag keys to output columns, beside the platform's.
+    """
     return stage_usage(usage, workspaces).select(
         "*",
-        *[map_lookup("custom_tags", tag).alias(name) for tag, name in USAGE_TAGS.items()],
+        *[map_lookup("custom_tags", tag).alias(name) for tag, name in {**USAGE_TAGS, **(tags or {})}.items()],
         *[
             struct_field("usage_metadata", field).alias(f"usage_metadata_{field}")
             for field in USAGE_METADATA

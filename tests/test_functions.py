@@ -296,3 +296,22 @@ def test_partitions_follow_the_shuffle_size():
 
     assert partitions_for(1) == 200
     assert partitions_for(100 * 10**12) == 745_059
+
+
+def test_spines_are_made_in_parts(spark):
+    minutes = dates.date_spine(spark, "minute", "1970-01-01", "2099-12-31")
+    assert minutes.count() == 4_102_358_400 // 60 + 1
+    months = dates.date_spine(spark, "month", "2020-01-31", "2020-04-30")
+    assert [str(r[0])[:10] for r in months.orderBy("date_month").collect()] == ["2020-01-31", "2020-02-29", "2020-03-31", "2020-04-30"]
+    assert dates.date_spine(spark, "day", "2020-01-02", "2020-01-01").count() == 0
+
+
+def test_no_limit_unless_asked_for(spark):
+    df = spark.range(1000).withColumn("v", F.col("id"))
+    out = metrics.metric_query(df, ["id"], [metrics.metric("s", "sum", "v")], sorts=[("s", True)])
+    assert out.count() == 1000
+
+
+def test_a_null_in_the_list_accepts_nothing_else(spark):
+    df = spark.createDataFrame([("a",), ("b",), (None,)], "v string")
+    assert [tuple(r) for r in quality.check_accepted_values(df, "v", ["a", None]).collect()] == [("b", 1)]
