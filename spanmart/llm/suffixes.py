@@ -137,7 +137,10 @@ def send_anchors(n: int):
         start, stop = runs(h)
         many = w[start] != w[stop - 1] if len(start) else np.zeros(0, bool)
         out = h[start] & ~np.uint64(1) | many.astype(np.uint64)
-        yield from _packed(by_bucket(out, n), chunk, out.astype("<u8"), n)
+        # The smallest hashes of windows are small numbers: mixed again they fill all buckets evenly.
+        bucket = by_bucket(mixed((out & ~np.uint64(1)) * _C), n)
+        order = np.argsort(bucket, kind="stable")
+        yield from _packed(bucket[order], chunk, out[order].astype("<u8"), n)
 
     return fn
 
