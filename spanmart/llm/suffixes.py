@@ -25,7 +25,7 @@ SEED = 24
 BACK = LENGTH - SEED  # an anchor lies 0 to BACK bytes after the start of its string
 AROUND = BACK + LENGTH
 # An anchor in this many chunks has its strings dealt by their own hash, so no bucket gets all texts around it.
-WIDE_CHUNKS = 8
+WIDE_CHUNKS = 256
 PIECE = 1 << 20
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 ENTRY = np.dtype([("around", "V76"), ("doc", "<i8"), ("ask", "<u4")])
