@@ -224,23 +224,23 @@ def ask(n: int):
 
     def fn(chunk, ids, texts, messages):
         e = Entries(ids, texts, messages)
-        for bucket, rows in _questions(e, n):
-            order = np.argsort(bucket, kind="stable")
-            yield from _packed(bucket[order], chunk, rows[order], n)
+        bucket, rows = _questions(e, n)
+        order = np.argsort(bucket, kind="stable")
+        yield from _packed(bucket[order], chunk, rows[order], n)
 
     return fn
 
 
-def _questions(e: Entries, n: int):
-    """(bucket, rows) of what a chunk asks; rows carry the entry's number to be answered by."""
+def _questions(e: Entries, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and rows of what a chunk asks; rows carry the entry's number to be answered by."""
     rows = np.zeros(len(e.around), np.dtype(ENTRY.descr + [("number", "<u4")]))
     rows["around"], rows["doc"], rows["ask"] = e.around, e.least, e.ask
     rows["number"] = np.arange(len(rows))
     narrow = ~e.wide
-    yield by_bucket(mixed(e.hash[narrow] * _C), n), rows[narrow]
+    to, sent = by_bucket(mixed(e.hash[narrow] * _C), n), rows[narrow]
     wide = rows[e.wide]
     if not len(wide):
-        return
+        return to, sent
     data = np.frombuffer(np.ascontiguousarray(wide["around"]).tobytes(), np.uint8).reshape(len(wide), AROUND)
     # Strings by their own hash: every string goes to one bucket, with the others of its entry that go there.
     at = np.zeros((len(wide), BACK + 1), np.int64)
@@ -257,7 +257,7 @@ def _questions(e: Entries, n: int):
     start, _ = runs(pair[order])
     out = wide[r[order][start]]
     out["ask"] = np.bitwise_or.reduceat(np.uint32(1) << o[order].astype(np.uint32), start) if len(start) else 0
-    yield at[r, o][order][start], out
+    return np.concatenate([to, at[r, o][order][start]]), np.concatenate([sent, out])
 
 
 def longest_previous(doc: np.ndarray, beside: np.ndarray, least: int) -> np.ndarray:
