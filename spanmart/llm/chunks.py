@@ -43,6 +43,13 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return one.select(F.pmod(F.xxhash64("text"), F.lit(n)).cast("int").alias("chunk"), "doc_id", "text")
 
 
+def dealt_rows(docs: DataFrame) -> DataFrame:
+    """All rows, copies too, dealt evenly into chunks by id and text, so that the texts are shuffled once only."""
+    n = chunk_count(docs.sparkSession)
+    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")
+    return docs.select(chunk.alias("chunk"), "doc_id", "text")
+
+
 def _arrow(schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

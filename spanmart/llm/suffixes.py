@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanmart.llm.chunks import PACKED, by_bucket, distinct_texts, per_bucket, per_chunk, runs, with_keys
+from spanmart.llm.chunks import PACKED, by_bucket, dealt_rows, per_bucket, per_chunk, runs, with_keys
 from spanmart.llm.common import NO_ID, partitions
 
 LENGTH = 50
@@ -337,21 +337,47 @@ def judged(bytes_: np.ndarray, asked: np.ndarray, doc: np.ndarray) -> np.ndarray
     return seen
 
 
-def apply(chunk, ids, texts, told, answers):
-    """Removed stretches of every text of a chunk."""
-    e = Entries(ids, texts, told)
+def once(ids, texts: list[bytes]) -> tuple[np.ndarray, list[bytes], list[int]]:
+    """A chunk's distinct texts with their smallest ids, and the place among them of every row; ids are in order."""
+    place: dict[bytes, int] = {}
+    of = [place.setdefault(t, len(place)) for t in texts]
+    ids = np.asarray(ids)
+    return ids[np.unique(of, return_index=True)[1]] if of else ids, list(place), of
+
+
+def on_distinct(fn):
+    """Have a chunk's copies of a text looked at once."""
+
+    def run(chunk, ids, texts, messages):
+        ids, texts, _ = once(ids, texts)
+        yield from fn(chunk, ids, texts, messages)
+
+    return run
+
+
+def apply(ids, texts, told, answers):
+    """Removed stretches of every row of a chunk."""
+    least, distinct, of = once(ids, texts)
+    e = Entries(least, distinct, told)
     seen = np.zeros(len(e.around), np.uint32)
     for _, d in answers:
         part = np.frombuffer(d, np.dtype([("number", "<u4"), ("seen", "<u4")]))
         np.bitwise_or.at(seen, part["number"], part["seen"])
     mine = np.where(e.doc > e.least[e.entry], e.own, seen[e.entry] & e.own) if len(e.doc) else e.own
-    edge = np.searchsorted(e.which, np.arange(len(texts) + 1))
-    for i, t in enumerate(texts):
+    edge = np.searchsorted(e.which, np.arange(len(distinct) + 1))
+    found = []
+    for i, t in enumerate(distinct):
         a, b = edge[i], edge[i + 1]
-        yield i, t, marks(t, e.place[a:b], e.own[a:b], mine[a:b])
+        found.append(marks(t, e.place[a:b], e.own[a:b], mine[a:b]))
+    for i, k in enumerate(of):
+        # A later copy goes as a whole.
+        copied = ids[i] > least[k] and len(distinct[k]) >= LENGTH
+        yield i, distinct[k], [(0, len(distinct[k]))] if copied else found[k]
 
 
-FOUND = "doc_id long, text_sha256 string, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary"
+FOUND = (
+    "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans string, kept binary"
+)
 
 
 def removed(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
@@ -362,24 +388,23 @@ def removed(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     but not after each other; repeated rows give repeated rows; other columns are ignored.
     """
     n = partitions(docs.sparkSession)
-    rows = with_keys(docs)
-    texts = distinct_texts(rows)
-    told = per_bucket(per_chunk(texts, None, send_anchors(n), PACKED), shared_anchors)
-    answers = per_bucket(per_chunk(texts, told, ask(n), PACKED), answer)
+    texts = dealt_rows(with_keys(docs))
+    told = per_bucket(per_chunk(texts, None, on_distinct(send_anchors(n)), PACKED), shared_anchors)
+    answers = per_bucket(per_chunk(texts, told, on_distinct(ask(n)), PACKED), answer)
     back = told.withColumn("bucket", -F.col("bucket") - 1).unionByName(answers)
 
     def fn(chunk, ids, bodies, messages):
         shared = [(-b - 1, d) for b, d in messages if b < 0]
         out: dict[str, list] = {c.split()[0]: [] for c in FOUND.split(", ")}
-        for i, t, spans in apply(chunk, ids, bodies, shared, [m for m in messages if m[0] >= 0]):
+        for i, t, spans in apply(ids, bodies, shared, [m for m in messages if m[0] >= 0]):
             kept, at = [], 0
             for a, b in spans:
                 kept.append(t[at:a])
                 at = b
             kept.append(t[at:])
             rest = b"".join(kept)
-            out["doc_id"].append(int(ids[i]))
-            out["text_sha256"].append(hashlib.sha256(t).hexdigest())
+            out["doc_id"].append(int(ids[i]) if ids[i] != NO_ID else None)
+            out["n_bytes"].append(len(t))
             out["n_removed"].append(len(t) - len(rest))
             out["n_spans"].append(len(spans))
             out["kept_sha256"].append(hashlib.sha256(rest).hexdigest())
@@ -388,18 +413,4 @@ def removed(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
         yield out
 
     found = per_chunk(texts, back, fn, FOUND)
-    size = F.octet_length("text").cast("long")
-    each = rows.select("doc_id", size.alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
-    joined = each.join(found, ["doc_id", "text_sha256"], "left")
-    # A row that does not stand for its text is a later copy of all of it.
-    whole = F.col("n_removed").isNull() & (F.col("n_bytes") >= LENGTH)
-    empty = F.sha2(F.lit(""), 256)
-    return joined.select(
-        F.when(F.col("doc_id") != NO_ID, F.col("doc_id")).alias("doc_id"),
-        "n_bytes",
-        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0).cast("long"))).cast("long").alias("n_spans"),
-        F.when(whole, empty).otherwise(F.coalesce("kept_sha256", "text_sha256")).alias("kept_sha256"),
-        F.when(whole, F.concat(F.lit("0-"), "n_bytes")).otherwise(F.coalesce("spans", F.lit(""))).alias("spans"),
-        *(["kept"] if keep_bytes else []),
-    )
+    return found if keep_bytes else found.drop("kept")
