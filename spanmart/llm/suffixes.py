@@ -127,30 +127,56 @@ def _packed(bucket: np.ndarray, chunk: int, rows: np.ndarray, n: int):
             yield {"bucket": [b], "chunk": [chunk], "data": [rows[a : min(a + PIECE, edge[b + 1])].tobytes()]}
 
 
+def short(codes: np.ndarray) -> bytes:
+    """The low five bytes of every number."""
+    return np.ascontiguousarray(codes.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unshort(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """Anchors' hashes mixed again: the least ones of windows are small numbers, mixed they fill all buckets evenly."""
+    return mixed((hashes & ~np.uint64(1)) * _C)
+
+
+def codes_of(spread_: np.ndarray) -> np.ndarray:
+    """What is sent of a hash within its bucket: 39 bits above a free lowest one.
+
+    Hashes that agree in these only cause questions about bytes that differ.
+    """
+    return spread_ << np.uint64(1) & np.uint64((1 << 40) - 2)
+
+
 def send_anchors(n: int):
-    """Hashes of a chunk's anchors, each once; the lowest bit tells whether several of its texts hold it."""
+    """Codes of a chunk's anchors, each once; the lowest bit tells whether several of its texts hold it."""
 
     def fn(chunk, ids, texts, _):
         which, _, hashes, _ = _chunk_anchors(texts)
+        hashes = spread(hashes)
         order = np.lexsort((which, hashes))
         h, w = hashes[order], which[order]
         start, stop = runs(h)
         many = w[start] != w[stop - 1] if len(start) else np.zeros(0, bool)
-        out = h[start] & ~np.uint64(1) | many.astype(np.uint64)
-        # The smallest hashes of windows are small numbers: mixed again they fill all buckets evenly.
-        bucket = by_bucket(mixed((out & ~np.uint64(1)) * _C), n)
-        order = np.argsort(bucket, kind="stable")
-        yield from _packed(bucket[order], chunk, out[order].astype("<u8"), n)
+        out = codes_of(h[start]) | many.astype(np.uint64)
+        # Buckets are ranges of the hashes, so they are in order already.
+        edge = np.searchsorted(by_bucket(h[start], n), np.arange(n + 1))
+        for b in range(n):
+            for a in range(edge[b], edge[b + 1], PIECE):
+                yield {"bucket": [b], "chunk": [chunk], "data": [short(out[a : min(a + PIECE, edge[b + 1])])]}
 
     return fn
 
 
 def shared_anchors(bucket, messages):
-    """Back to each chunk: its hashes that several texts hold; the lowest bit tells of wide ones."""
-    sizes = [len(d) // 8 for _, d in messages]
+    """Back to each chunk: its codes that several texts hold; the lowest bit tells of wide ones."""
+    sizes = [len(d) // 5 for _, d in messages]
     if not sizes:
         return
-    all_h = np.concatenate([np.frombuffer(d, "<u8") for _, d in messages])
+    all_h = np.concatenate([unshort(d) for _, d in messages])
     plain = np.sort(all_h >> np.uint64(1))
     start, stop = runs(plain)
     times = stop - start
@@ -163,16 +189,18 @@ def shared_anchors(bucket, messages):
         keep = (count > 1) | (own & np.uint64(1) == 1)
         out = own[keep] & ~np.uint64(1) | (count[keep] >= WIDE_CHUNKS).astype(np.uint64)
         if len(out):
-            yield {"bucket": [bucket], "chunk": [chunk], "data": [np.sort(out).tobytes()]}
+            yield {"bucket": [bucket], "chunk": [chunk], "data": [short(np.sort(out))]}
 
 
 class Entries:
     """The shared anchors of a chunk and the distinct surroundings that it asks about."""
 
-    def __init__(self, ids, texts, messages):
+    def __init__(self, ids, texts, messages, n):
         which, place, hashes, own = _chunk_anchors(texts)
-        told = np.sort(np.concatenate([np.frombuffer(d, "<u8") for _, d in messages] or [np.zeros(0, "<u8")]))
-        key = hashes & ~np.uint64(1)
+        hashes = spread(hashes)
+        told = [unshort(d) | np.uint64(b) << np.uint64(40) for b, d in messages]
+        told = np.sort(np.concatenate(told or [np.zeros(0, np.uint64)]))
+        key = codes_of(hashes) | by_bucket(hashes, n).astype(np.uint64) << np.uint64(40)
         if len(told):
             spot = np.minimum(np.searchsorted(told, key), len(told) - 1)
             shared = told[spot] & ~np.uint64(1) == key
@@ -181,7 +209,7 @@ class Entries:
             shared = np.zeros(len(key), bool)
             wide = np.zeros(0, bool)
         self.which, self.place = which[shared], place[shared]
-        self.own, self.key = own[shared], key[shared]
+        self.own, hashes = own[shared], hashes[shared]
         self.doc = np.asarray(ids)[self.which] if len(self.which) else np.zeros(0, np.int64)
         bytes_ = around(texts, self.which, self.place)
         # One entry per surrounding and asked strings; the chunk's smallest document asks for it.
@@ -192,7 +220,7 @@ class Entries:
         self.entry[order] = np.cumsum(new) - 1
         first = order[new]
         self.around, self.ask, self.least = bytes_[first], self.own[first], self.doc[first]
-        self.hash, self.wide = self.key[first], wide[first]
+        self.hash, self.wide = hashes[first], wide[first]
 
 
 def _ranks(bytes_: np.ndarray) -> np.ndarray:
@@ -223,7 +251,7 @@ def ask(n: int):
     """Surroundings of shared anchors, to the bucket of the anchor or, for wide ones, of each string."""
 
     def fn(chunk, ids, texts, messages):
-        e = Entries(ids, texts, messages)
+        e = Entries(ids, texts, messages, n)
         bucket, rows = _questions(e, n)
         order = np.argsort(bucket, kind="stable")
         yield from _packed(bucket[order], chunk, rows[order], n)
@@ -237,7 +265,7 @@ def _questions(e: Entries, n: int) -> tuple[np.ndarray, np.ndarray]:
     rows["around"], rows["doc"], rows["ask"] = e.around, e.least, e.ask
     rows["number"] = np.arange(len(rows))
     narrow = ~e.wide
-    to, sent = by_bucket(mixed(e.hash[narrow] * _C), n), rows[narrow]
+    to, sent = by_bucket(e.hash[narrow], n), rows[narrow]
     wide = rows[e.wide]
     if not len(wide):
         return to, sent
@@ -355,10 +383,10 @@ def on_distinct(fn):
     return run
 
 
-def apply(ids, texts, told, answers):
+def apply(ids, texts, told, answers, n):
     """Removed stretches of every row of a chunk."""
     least, distinct, of = once(ids, texts)
-    e = Entries(least, distinct, told)
+    e = Entries(least, distinct, told, n)
     seen = np.zeros(len(e.around), np.uint32)
     for _, d in answers:
         part = np.frombuffer(d, np.dtype([("number", "<u4"), ("seen", "<u4")]))
@@ -396,7 +424,7 @@ def removed(docs: DataFrame, keep_bytes: bool = False) -> DataFrame:
     def fn(chunk, ids, bodies, messages):
         shared = [(-b - 1, d) for b, d in messages if b < 0]
         out: dict[str, list] = {c.split()[0]: [] for c in FOUND.split(", ")}
-        for i, t, spans in apply(ids, bodies, shared, [m for m in messages if m[0] >= 0]):
+        for i, t, spans in apply(ids, bodies, shared, [m for m in messages if m[0] >= 0], n):
             kept, at = [], 0
             for a, b in spans:
                 kept.append(t[at:a])
