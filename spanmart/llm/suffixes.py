@@ -213,7 +213,7 @@ class Entries:
         self.doc = np.asarray(ids)[self.which] if len(self.which) else np.zeros(0, np.int64)
         bytes_ = around(texts, self.which, self.place)
         # One entry per surrounding and asked strings; the chunk's smallest document asks for it.
-        order = np.lexsort((self.doc, self.own, _ranks(bytes_)))
+        order = np.lexsort((self.doc, self.own, _hashes(bytes_)))
         b, o = bytes_[order], self.own[order]
         new = np.r_[True, (b[1:] != b[:-1]) | (o[1:] != o[:-1])] if len(order) else np.zeros(0, bool)
         self.entry = np.empty(len(order), np.int64)
@@ -223,27 +223,37 @@ class Entries:
         self.hash, self.wide = hashes[first], wide[first]
 
 
-def _ranks(bytes_: np.ndarray) -> np.ndarray:
-    """Numbers in the order of fixed-width byte strings."""
-    if not len(bytes_):
-        return np.zeros(0, np.int64)
-    w = bytes_.view(np.uint8).reshape(len(bytes_), -1)
-    pad = -w.shape[1] % 8
-    if pad:
-        w = np.concatenate([w, np.zeros((len(w), pad), np.uint8)], axis=1)
-    return ranked([np.ascontiguousarray(w[:, k : k + 8]).view(">u8").ravel() for k in range(0, w.shape[1], 8)])
+def _hashes(bytes_: np.ndarray) -> np.ndarray:
+    """Hashes that bring equal surroundings together; whether they are equal is told by the bytes."""
+    padded = np.zeros((len(bytes_), -(-AROUND // 8) * 8), np.uint8)
+    padded[:, :AROUND] = np.frombuffer(bytes_.tobytes(), np.uint8).reshape(-1, AROUND)
+    h = np.zeros(len(bytes_), np.uint64)
+    for column in padded.view("<u8").T:
+        h = mixed((h + column) * _A)
+    return h
 
 
 def ranked(columns: list[np.ndarray]) -> np.ndarray:
-    """Dense ranks of rows by columns in turn; later columns are looked at only among equals."""
+    """Ranks of rows by columns in turn; later columns are looked at only among equals.
+
+    Equal rows have the place of the first of them as their rank, so rows that are alone keep theirs.
+    """
     rank = np.zeros(len(columns[0]), np.int64)
+    todo = np.arange(len(rank))
     for c in columns:
-        order = np.lexsort((c.astype(np.uint64), rank))
-        r, v = rank[order], c[order]
-        new = np.r_[False, (r[1:] != r[:-1]) | (v[1:] != v[:-1])]
-        # Ranks keep room: the place of the first equal, so that settled rows keep theirs.
-        first = np.maximum.accumulate(np.where(np.r_[True, new[1:]], np.arange(len(order)), 0))
-        rank[order] = first
+        if not len(todo):
+            break
+        order = np.lexsort((c[todo], rank[todo]))
+        todo = todo[order]
+        r, v = rank[todo], c[todo]
+        fresh = np.r_[True, r[1:] != r[:-1]]
+        new = fresh | np.r_[True, v[1:] != v[:-1]]
+        place = np.arange(len(todo))
+        of_rank = np.maximum.accumulate(np.where(fresh, place, 0))
+        of_value = np.maximum.accumulate(np.where(new, place, 0))
+        rank[todo] = r + of_value - of_rank
+        alone = new & np.r_[new[1:], True]
+        todo = todo[~alone]
     return rank
 
 
@@ -323,10 +333,11 @@ def answer(bucket, messages):
     sizes = [len(d) // kind.itemsize for _, d in messages]
     rows = np.concatenate([np.frombuffer(d, kind) for _, d in messages])
     bytes_ = np.ascontiguousarray(rows["around"])
-    group = _ranks(bytes_)
     # Equal surroundings are sorted once, for the smallest document and all strings that any asks for.
-    order = np.lexsort((rows["doc"], group))
-    start, stop = runs(group[order])
+    order = np.lexsort((rows["doc"], _hashes(bytes_)))
+    b = bytes_[order]
+    start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+    stop = np.r_[start[1:], len(b)]
     first = order[start]
     asked = np.bitwise_or.reduceat(rows["ask"][order], start)
     doc = rows["doc"][first]
