@@ -40,6 +40,8 @@ from spanmart.operators.quality import (
     source_freshness,
 )
 from spanmart.operators.unions import union_columns, union_territories
+from spanmart.sources.readers import values
+from spanmart.sources.sinks import write_view
 
 QUERIES = Registry()
 SALT = "test-salt"
@@ -458,6 +460,17 @@ def check_expression_rows(spark, sf_dir):
     return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+@QUERIES.query("""SELECT o_orderkey, o_orderpriority, days FROM orders
+JOIN (VALUES ('1-URGENT', 1), ('2-HIGH', 3), (NULL, 9)) AS promised(priority, days)
+  ON o_orderpriority = priority""")
+def literal_rows_join(spark, sf_dir):
+    """Orders, read through a view, joined with literal rows."""
+    write_view(load(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "literal_rows_orders")
+    promised = values(spark, [("1-URGENT", 1), ("2-HIGH", 3), (None, 9)], "priority string, days int")
+    orders = spark.table("literal_rows_orders")
+    return orders.join(promised, orders.o_orderpriority == promised.priority).drop("priority")
+
+
 @QUERIES.query("""SELECT 'orders' AS source, max(o_orderdate) AS max_loaded_at FROM orders
 UNION ALL SELECT 'lineitem', max(l_shipdate) FROM lineitem
 UNION ALL SELECT 'events', max(ts) FROM events""")

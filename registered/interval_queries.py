@@ -292,6 +292,18 @@ def flatten_mixed(spark, sf_dir):
     )
 
 
+@QUERIES.query(
+    _flatten_sql("o_custkey, o_orderstatus", None).replace(
+        "FROM periods)", "FROM periods WHERE o_orderpriority <> '5-LOW')"
+    )
+)
+def flatten_preset_filter(spark, sf_dir):
+    return flatten_sequential_rows_mixed_datatypes(
+        periods(spark, sf_dir), [KEY], START, END, ["o_orderstatus"],
+        preset_filter=F.col("o_orderpriority") != "5-LOW",
+    )
+
+
 @QUERIES.query(_flatten_sql("o_custkey", None))
 def flatten_no_values(spark, sf_dir):
     return flatten_sequential_rows_no_value_cols(periods(spark, sf_dir), [KEY], START, END)
@@ -446,6 +458,16 @@ def nth_item_hot_keys(spark, sf_dir):
     return numbered.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "nth_item")
 
 
+@QUERIES.query("""SELECT o_orderpriority, o_orderkey, row_number() OVER
+ (PARTITION BY o_orderpriority ORDER BY strftime(o_orderdate, '%Y-%m-%d'), o_orderkey) AS nth FROM orders""")
+def nth_order_by_text(spark, sf_dir):
+    """Dates held as text order rows as well as any other type."""
+    orders = load(spark, sf_dir, "orders").withColumn("day", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return running_ordinal(orders, ["o_orderpriority"], ["day", "o_orderkey"], "nth").select(
+        "o_orderpriority", "o_orderkey", "nth"
+    )
+
+
 @QUERIES.query("""SELECT o_orderkey, o_custkey, o_orderdate, o_totalprice FROM orders
 WHERE o_orderdate > (SELECT max(o_orderdate) FROM orders WHERE o_orderstatus = 'F'
                      AND o_orderdate < TIMESTAMP '1999-01-01')""")

@@ -109,15 +109,26 @@ class HotKeys:
         ).cast("long")
 
 
-def timeline(df: DataFrame, keys: list[str], start: str, end: str | None = None) -> DataFrame:
-    """Keys and time range of each row, as ``find_hot_keys`` wants them."""
+def _placeable(dtype: T.DataType) -> bool:
+    if isinstance(dtype, T.DecimalType):
+        return dtype.precision - dtype.scale <= 18
+    return isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType, T.NumericType))
+
+
+def timeline(df: DataFrame, keys: list[str], start: str, end: str | None = None) -> DataFrame | None:
+    """Keys and time range of each row, as ``find_hot_keys`` wants them.
+
+    None for types without a place on a number line, such as text: no key of theirs is sliced.
+    """
+    if not all(_placeable(df.schema[c].dataType) for c in (start, end) if c):
+        return None
     lo = position(df, start)
     hi = position(df, end) if end else lo
     return df.select(*keys, lo.alias("__lo"), F.greatest(lo, hi).alias("__hi"))
 
 
 def find_hot_keys(
-    parts: list[DataFrame],
+    parts: list[DataFrame | None],
     keys: list[str],
     hot_rows: int | None | HotKeys,
     max_hot: int = MAX_HOT_KEYS,
@@ -138,6 +149,8 @@ def find_hot_keys(
         return HotKeys(list(keys))
     if hot_rows < 1 or max_hot < 1:
         raise ValueError("hot_rows and max_hot must be positive")
+    if any(p is None for p in parts):
+        return HotKeys(list(keys))
     named = [
         p.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__lo", "__hi") for p in parts
     ]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,12 +40,15 @@ def append_incremental(
     allow_full_refresh: bool = False,
     prod: bool = True,
     fmt: str = "parquet",
+    keys: list[str] | None = None,
 ) -> DataFrame:
     """Append the rows newer than the target's newest mark; returns the target.
 
     A row is new when any timestamp in ``marks`` lies after ``max(merged_mark)``
-    of the target. An absent or empty target takes all rows. Running the same
-    append again adds nothing, so a failed job can simply be repeated.
+    of the target. An absent or empty target takes all rows. With ``keys``, rows
+    whose keys the target holds already are left out, so a job can be repeated
+    after a failure. Without them a repeated run adds nothing only if no mark
+    lies after the row's own ``merged_mark``. A full refresh must not read the target.
     """
     verify_full_refresh(full_refresh, allow_full_refresh, prod)
     spark = new.sparkSession
@@ -52,6 +56,10 @@ def append_incremental(
         write_table(new, target, fmt)
         return spark.table(target)
     fresh = newer_than(new, spark.table(target), marks, merged_mark)
+    if keys:
+        held = spark.table(target).select(*[F.col(k).alias(f"__t_{k}") for k in keys])
+        same = reduce(lambda a, b: a & b, (fresh[k].eqNullSafe(held[f"__t_{k}"]) for k in keys))
+        fresh = fresh.join(held, same, "left_anti")
     fresh.write.mode("append").format(fmt).saveAsTable(target)
     return spark.table(target)
 

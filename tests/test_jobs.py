@@ -69,6 +69,16 @@ def test_append_incremental(spark):
     assert sinks.append_incremental(rows(5), *args, full_refresh=True, prod=False).count() == 1
 
 
+def test_append_with_two_marks_can_be_repeated(spark):
+    rows = [(1, datetime(2024, 1, 1), datetime(2024, 1, 5)), (None, datetime(2024, 1, 2), datetime(2024, 1, 6))]
+    new = frame(spark, rows, "id int, l_ts timestamp, r_ts timestamp")
+    args = ("inc_two_marks", ["l_ts", "r_ts"], "l_ts")
+    for _ in range(3):
+        assert sinks.append_incremental(new, *args, keys=["id"]).count() == 2
+    more = frame(spark, [(2, datetime(2024, 1, 1), datetime(2024, 1, 9))], "id int, l_ts timestamp, r_ts timestamp")
+    assert sinks.append_incremental(new.unionByName(more), *args, keys=["id"]).count() == 3
+
+
 def test_append_to_empty_target(spark):
     df = frame(spark, [(1, datetime(2024, 1, 1))], "id int, at timestamp")
     sinks.write_table(df.limit(0), "inc_empty")
