@@ -379,3 +379,31 @@ def test_chains_are_best():
                     best[i] = max(best[i], best[j] + passages.SEED - gap + passages.GAP_COST * 2 * passages.SEED if min(dx, dy) >= passages.SEED else best[i])
         for chain in passages.chained(x, y):
             assert (np.diff(x[chain]) > 0).all() and (np.diff(y[chain]) > 0).all()
+
+
+def test_a_far_chain_hides_no_near_one():
+    rng = np.random.default_rng(12)
+    for _ in range(40):
+        x = np.unique(rng.integers(0, 900, 160))
+        y = np.where(rng.random(len(x)) < 0.7, x, rng.integers(0, 900, len(x)))
+        best = []
+        for i in range(len(x)):
+            score = 5.0
+            for j in range(i):
+                dx, dy = int(x[i] - x[j]), int(y[i] - y[j])
+                if 0 < dx <= passages.MAX_GAP and 0 < dy <= passages.MAX_GAP:
+                    score = max(score, best[j] + min(5, dx, dy) - 0.1 * (max(0, dx - 5) + max(0, dy - 5)))
+            best.append(score)
+        top = passages.chained(x, y)[0]
+        dx, dy = np.diff(x[top]), np.diff(y[top])
+        got = 5 + np.sum(np.minimum(5, np.minimum(dx, dy)) - 0.1 * (np.maximum(0, dx - 5) + np.maximum(0, dy - 5)))
+        assert got == pytest.approx(max(best))
+
+
+def test_passages_apart(spark):
+    rng = random.Random(21)
+    words = lambda k: " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(k))
+    one, two = words(200), words(200)
+    rows = [(1, f"{one} {words(60)} {two}"), (2, f"{words(30)} {one} {words(60)} {two} {words(30)}")]
+    found = by_id(passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found[2]["spans"] == "30-230,290-490"
