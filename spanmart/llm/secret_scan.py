@@ -17,18 +17,34 @@ from pyspark.sql import functions as F
 from spanmart.llm.common import cut, documents
 from spanmart.llm.spans import spans
 
-CANDIDATE = r"(?<![A-Za-z0-9_/+=.@-])[A-Za-z0-9_/+=-]{16,}"
+NAMES = r"(?i:secret|token|passw|pwd|api_?key|apikey|access_?key|private_?key|credential|auth|bearer)"
+# Formats that tell a secret wherever it stands: key blocks, signed tokens, issuers' prefixes.
+KNOWN = (
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----[A-Za-z0-9_/+=:,.\\\s-]*?-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9_])(?:eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}(?:\.[A-Za-z0-9_-]+)*"
+    r"|(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opusr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{30,}|glpat-[A-Za-z0-9_-]{16,}"
+    r"|xox[abeoprs]-[A-Za-z0-9-]{10,}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9_-]{20,}|AIza[A-Za-z0-9_-]{30,}"
+    r"|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_-]{16,}\.[A-Za-z0-9_-]{16,})"
+)
+# A value assigned to a telling name, of eight characters or more; its name is not part of it.
+ASSIGNED = NAMES + r"[A-Za-z0-9_-]{0,24}[\"'`]?\s?[=:]\s?[\"'`]?"
+# The cheap conditions stand first, so that few places look back for the name.
+VALUE = rf"(?<![A-Za-z0-9_/+-])(?=[A-Za-z0-9_/+-]{{8}})(?<=[=:]\s?[\"'`]?)(?<={ASSIGNED})[A-Za-z0-9_/+-]{{8,}}={{0,2}}"
+# Any other long string; '=' only pads its end, so a name before '=' is not part of it.
+LONG = r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{16,}={0,2}"
+CANDIDATE = f"{KNOWN}|{VALUE}|{LONG}"
 # Long strings of letters alone are words, not candidates.
-POSSIBLE = r"(?<![A-Za-z0-9_/+=.@-])[A-Za-z0-9_/+=-]{16}"
+POSSIBLE = r"[A-Za-z0-9_/+-]{16}|[=:]\s?[\"'`]?[A-Za-z0-9_/+-]{8}|-----BEGIN|eyJ|xox|SG\."
 BESIDE = 48
 FEATURES = [
     "n_chars", "digit_share", "upper_share", "sign_share", "hex_share", "transitions", "distinct_share",
-    "word_cover", "path_like", "named", "quoted", "assigned",
+    "word_cover", "path_like", "named", "quoted", "assigned", "known", "worded",
 ]
-NAMES = r"(?i)(?:secret|token|passw|pwd|api_?key|apikey|access_?key|private_?key|credential|auth|bearer)"
 SAMPLE = 20_000
 TREES, DEPTH, SEED = 20, 5, 17
 THRESHOLD = 0.5
+# Words of plain case and short numbers between signs: what reads as words.
+WORDED = r"^(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})(?:[_/+=-]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))*[_/+=-]*$"
 MASK = "[SECRET]"
 
 
@@ -87,9 +103,11 @@ def features(found: DataFrame) -> DataFrame:
         "distinct_share": characters / F.length(v),
         "word_cover": 1 - words / F.length(v),
         "path_like": v.contains("/") & ~v.rlike("[0-9]{3}"),
-        "named": F.substring(F.col("before"), -24, 24).rlike(NAMES),
+        "named": F.substring(F.col("before"), -32, 32).rlike(NAMES),
         "quoted": F.col("before").rlike("[\"'`]$"),
-        "assigned": F.col("before").rlike("[=:] ?[\"'`]?$"),
+        "assigned": F.col("before").rlike("[=:]\\s?[\"'`]?$"),
+        "known": v.rlike(f"^(?:{KNOWN})$"),
+        "worded": v.rlike(WORDED),
     }
     return found.withColumns({k: c.cast("double") for k, c in columns.items()})
 
@@ -97,13 +115,11 @@ def features(found: DataFrame) -> DataFrame:
 def assigned_labels(found: DataFrame) -> DataFrame:
     """Labelled findings from how they are written, for corpora without labels of their own.
 
-    A value of mixed characters that is assigned to a name such as ``token`` is a finding;
-    one that stands in running text, or is all digits, or reads as words, is a false positive.
+    A value that is assigned to a name such as ``token`` and does not read as words is a finding, and so
+    is one of a known format wherever it stands; others are false positives.
     """
-    secret = (
-        (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("digit_share") > 0.1)
-        & (F.col("digit_share") < 1) & (F.col("distinct_share") < 0.9)
-    )
+    written = (F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("worded") == 0)
+    secret = written | (F.col("known") == 1)
     return found.withColumn("is_secret", secret.cast("double"))
 
 

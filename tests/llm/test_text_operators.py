@@ -407,3 +407,21 @@ def test_passages_apart(spark):
     rows = [(1, f"{one} {words(60)} {two}"), (2, f"{words(30)} {one} {words(60)} {two} {words(30)}")]
     found = by_id(passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")))
     assert found[2]["spans"] == "30-230,290-490"
+
+
+def test_secrets_without_quotes(spark):
+    rng = random.Random(14)
+    mixed = lambda k: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(k - 2)) + "7q"
+    forms = [
+        lambda: f"export API_TOKEN={mixed(16)}", lambda: f"password: {mixed(10)}", lambda: f'api_key = "{mixed(16)}"',
+        lambda: f"login with ghp_{mixed(36)} today", lambda: f"send eyJ{mixed(20)}.{mixed(30)}.{mixed(24)} along",
+        lambda: f"-----BEGIN RSA PRIVATE KEY-----\n{mixed(60)}\n{mixed(40)}\n-----END RSA PRIVATE KEY-----",
+        lambda: f"postgres://reader@db1:5432/?auth_token={mixed(24)}",
+    ]
+    plain = [lambda: f"PAGE_NAME=part-{rng.randint(100, 999)}-of-the-long-list", lambda: f"see src/main/module_{rng.randint(10, 99)}/file"]
+    rows = [(i, f"some words {(forms + plain)[i % 9]()} and more") for i in range(270)]
+    out = by_id(secret_scan.masked(spark.createDataFrame(rows, "doc_id long, text string")))
+    left = [out[i]["text"] for i, _ in rows if ("[SECRET]" in out[i]["text"]) != (i % 9 < 7)]
+    assert not left
+    assert out[0]["text"] == "some words export API_TOKEN=[SECRET] and more"
+    assert out[4]["text"] == "some words send [SECRET] along and more" and "KEY" not in out[5]["text"]
