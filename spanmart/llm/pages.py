@@ -45,6 +45,8 @@ BOILER_NAMES = {
 }
 BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu"}
 BOILER_COST, CONTENT_COST = 8.0, 4.0
+# A class or id costs less than content and telling text together gain, a part of one less still: the cut decides.
+NAME_COST, PART_COST = 5.0, 4.5
 BESIDE, SAME, APART = 0.6, 1.2, 0.2
 SAMPLE_PAGES = 400
 FEATURES = 9
@@ -57,6 +59,7 @@ class Block:
     tags: tuple[str, ...]
     boiler: bool
     content: bool
+    named: float
     linked: float
     heading: bool
     features: np.ndarray = field(default=None)
@@ -65,7 +68,10 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, unseen elements left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # tag, number, whether it marks boilerplate
+    # Tag, number, whether it is boilerplate, what its class or id costs.
+    stack: list[tuple[str, int, bool, float]] = []
+    costs: dict[int, float] = {}  # by number
+    bodies: list[tuple[bool, int, tuple[int, ...]]] = []  # of main and article: whether main, number, all that hold it
     parts: list[str] = []
     linked = 0
     links = 0
@@ -77,11 +83,11 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal linked, heading
         text = " ".join(html.unescape("".join(parts)).split())
         if text:
-            tags = tuple(t for t, _, _ in stack)
+            tags = tuple(t for t, _, _, _ in stack)
             out.append(
                 Block(
-                    text, tuple(n for _, n, _ in stack), tags, any(b for _, _, b in stack),
-                    any(t in ("article", "main") for t in tags), min(1.0, linked / len(text)), heading,
+                    text, tuple(n for _, n, _, _ in stack), tags, any(b for _, _, b, _ in stack),
+                    any(t in ("article", "main") for t in tags), 0.0, min(1.0, linked / len(text)), heading,
                 )
             )
         parts.clear()
@@ -139,32 +145,61 @@ def blocks_of(page: str) -> list[Block]:
             if tag in ("li", "tr", "td") and stack and stack[-1][0] == tag:
                 stack.pop()
             count += 1
-            inside = any(t in ("article", "main") for t, _, _ in stack)
-            stack.append((tag, count, _boiler(tag, found[3], inside)))
+            inside = any(t in ("article", "main") for t, _, _, _ in stack)
+            boiler, cost = _boiler(tag, found[3], inside)
+            if tag in ("article", "main") and not boiler and not cost and not any(b for _, _, b, _ in stack):
+                bodies.append((tag == "main", count, tuple(n for _, n, _, _ in stack)))
+            stack.append((tag, count, boiler, cost))
+            costs[count] = cost
             links = 0
     close()
+    _named(out, costs, bodies)
     return out
 
 
-def _boiler(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element by itself marks what it holds as boilerplate."""
+def _named(blocks: list[Block], costs: dict[int, float], bodies: list[tuple[bool, int, tuple[int, ...]]]) -> None:
+    """Give blocks the cost of the names above them, but for names of holders of the page itself.
+
+    Such a holder has main, or the longest article, or most of the page's text in it: its name tells the layout.
+    """
+    size: dict[int, int] = {}
+    for b in blocks:
+        for n in b.path:
+            size[n] = size.get(n, 0) + len(b.text)
+    total = sum(len(b.text) for b in blocks)
+    whole = {n for n, k in size.items() if 2 * k > total}
+    for is_main, _, above in bodies:
+        if is_main:
+            whole.update(above)
+    articles = [(size.get(n, 0), -n, above) for is_main, n, above in bodies if not is_main]
+    if articles:
+        whole.update(max(articles)[2])
+    for b in blocks:
+        b.named = max((costs[n] for n in b.path if n not in whole), default=0.0)
+
+
+def _boiler(tag: str, attributes: str, inside: bool) -> tuple[bool, float]:
+    """Whether an element by itself marks what it holds as boilerplate, and the cost of its class or id."""
     if tag in BOILER_TAGS or tag == "header" and not inside:
-        return True
+        return True, 0.0
+    cost = 0.0
     if not attributes or tag in ("html", "body", "main"):
-        return False
+        return False, cost
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
+            tokens = set(value.split())
             words = set(re.split(r"[^a-z0-9]+", value))
             if words & BOILER_NAMES and not (tag == "article" and not words & {"comment", "comments", "reply"}):
-                return not (inside and words & BOILER_NAMES <= {"header"})
+                if not (inside and words & BOILER_NAMES <= {"header"}):
+                    cost = max(cost, NAME_COST if tokens & BOILER_NAMES else PART_COST)
         elif name == "role" and value in BOILER_ROLES:
-            return True
+            return True, cost
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return True, cost
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-    return False
+            return True, cost
+    return False, cost
 
 
 def described(block: Block) -> np.ndarray:
@@ -192,7 +227,8 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, rounds: int = 200) -> li
     x, y = [], []
     for r in rows:
         for b in blocks_of(r["html"]):
-            if b.boiler or b.content:
+            # A name inside the content tells neither label.
+            if b.boiler or bool(b.named) != b.content:
                 x.append(described(b))
                 y.append(float(b.content and not b.boiler))
     if not x or min(y) == max(y):
@@ -206,12 +242,16 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES, rounds: int = 200) -> li
     return w.tolist()
 
 
+def _marked(block: Block) -> bool:
+    return block.boiler or block.named > 0 and not block.content
+
+
 def labelled(blocks: list[Block], weights: np.ndarray) -> list[bool]:
     """True for the blocks of the main text."""
     costs = []
     for b in blocks:
         cost = -float(np.clip(described(b) @ weights, -3, 3))
-        cost += BOILER_COST if b.boiler else 0.0
+        cost += BOILER_COST if b.boiler else b.named
         cost -= CONTENT_COST if b.content else 0.0
         costs.append(cost)
     edges = []
@@ -221,7 +261,7 @@ def labelled(blocks: list[Block], weights: np.ndarray) -> list[bool]:
             before = blocks[i - 1]
             shared = sum(1 for p, q in zip(b.path, before.path, strict=False) if p == q)
             apart = len(b.path) + len(before.path) - 2 * shared
-            edges.append((i - 1, i, APART if b.boiler != before.boiler else BESIDE / (1 + apart)))
+            edges.append((i - 1, i, APART if _marked(b) != _marked(before) else BESIDE / (1 + apart)))
         if b.path in last:
             edges.append((last[b.path], i, SAME))
         last[b.path] = i

@@ -425,3 +425,18 @@ def test_secrets_without_quotes(spark):
     assert not left
     assert out[0]["text"] == "some words export API_TOKEN=[SECRET] and more"
     assert out[4]["text"] == "some words send [SECRET] along and more" and "KEY" not in out[5]["text"]
+
+
+def test_layout_names_do_not_drop_the_article():
+    prose = "The river rose in the night, and by morning, the lower streets stood under water. Nobody was hurt."
+    weights = np.array([-1.0, 1.0, -1.0, -2.0, 1.0, 1.0, 0.0, -1.0, 0.0])
+    side = "<div class='sidebar'><p>Menu</p></div><div class='site-footer'><p>All rights kept</p></div>"
+    for wrap in ("class='content-sidebar-wrap'", "class='has-sidebar'", "id='page-with-menu'", "class='search'"):
+        page = f"<body><div {wrap}><main><article><p>{prose}</p></article></main></div>{side}"
+        assert pages.extract(page, weights) == prose
+        page = f"<body><div {wrap}><p>{prose}</p><p>{prose}</p></div>{side}"
+        assert pages.extract(page, weights) == f"{prose}\n{prose}"
+    for name in ("search", "share", "related", "notice", "section-header notice"):
+        page = f"<body><article><p>{prose}</p><div class='{name}'><p>{prose}</p></div></article>{side}"
+        assert pages.extract(page, weights) == f"{prose}\n{prose}"
+    assert pages.extract(f"<body><article><p>{prose}</p></article><div class='comments'><p>{prose}</p></div>", weights) == prose
