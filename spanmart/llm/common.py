@@ -48,14 +48,18 @@ def with_library(df: DataFrame) -> DataFrame:
     return df
 
 
+def arrow_schema(schema: str) -> pa.Schema:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    return to_arrow_schema(_parse_datatype_string(schema))
+
+
 def map_rows(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str
 ) -> DataFrame:
     """Apply ``fn`` to each Arrow batch; it returns columns by name, or None for no rows."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    arrow = to_arrow_schema(_parse_datatype_string(schema))
+    arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

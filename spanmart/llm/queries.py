@@ -6,8 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from spanmart.llm import decontaminate, disclosure, pages, passages, quality, secret_scan, sentencepiece, simhash, suffixes, tools
+from spanmart.llm import (
+    decontaminate, disclosure, packing, pages, passages, quality, secret_scan, sentencepiece, simhash, suffixes, tools,
+)
 from spanmart.llm.common import load
 
 
@@ -35,6 +38,12 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query()
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece.encode_decode(load(spark, sf_dir, "documents"), piece_model())
@@ -87,3 +96,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(load(spark, sf_dir, "documents"), word_tokenizer()).withColumn(
+        "length", F.col("length").cast("long")
+    )
