@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmart.llm import (
-    decontaminate, disclosure, packing, pages, passages, quality, secret_scan, sentencepiece, simhash, suffixes, tools,
+    decontaminate, disclosure, packing, pages, passages, quality, secret_scan, sentencepiece, simhash, spellings, suffixes,
+    tools,
 )
 from spanmart.llm.common import load
 
@@ -103,3 +104,8 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(load(spark, sf_dir, "documents"), word_tokenizer()).withColumn(
         "length", F.col("length").cast("long")
     )
+
+
+@query()
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variants(load(spark, sf_dir, "documents"))
