@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmart.llm import (
-    decontaminate, disclosure, packing, pages, passages, quality, secret_scan, sentencepiece, simhash, spellings, suffixes,
+    conversations, decontaminate, disclosure, packing, pages, passages, quality, secret_scan, sentencepiece, simhash, spellings, suffixes,
     tools,
 )
 from spanmart.llm.common import load
@@ -109,3 +109,8 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.variants(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(load(spark, sf_dir, "conversations"))
