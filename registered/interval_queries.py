@@ -19,7 +19,7 @@ from spanmart.operators.flatten import (
     flatten_sequential_rows_mixed_datatypes,
     flatten_sequential_rows_no_value_cols,
 )
-from spanmart.operators.hotkeys import find_hot_keys, timeline
+from spanmart.operators.hotkeys import find_hot_keys
 from spanmart.operators.interval_joins import (
     PAIR_ROWS,
     common_interval_join,
@@ -173,10 +173,7 @@ def _timelines(spark, sf_dir, hot):
 
 
 def _merge(spark, sf_dir, hot_rows=PAIR_ROWS, **options):
-    sources = [
-        timeline(periods(spark, sf_dir), [KEY], START, END),
-        timeline(shipments(spark, sf_dir), [KEY], "ship_from", "ship_to"),
-    ]
+    sources = [periods(spark, sf_dir), shipments(spark, sf_dir)]
     # Counted once, on the sources, for all three operators.
     hot = find_hot_keys(sources, [KEY], hot_rows)
     options["hot_rows"] = hot

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position, timeline
+from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, place_of
 from spanmart.operators.ordinals import WINDOW_ROWS
 
 
@@ -90,7 +90,7 @@ def _flatten(
 ) -> DataFrame:
     df = df.select(*dict.fromkeys([*out, start, end]))
     # Keys alone are counted: when no key is hot, no (key, value) group is.
-    hot = find_hot_keys([timeline(df, keys, start)], keys, hot_rows)
+    hot = find_hot_keys([df], keys, hot_rows)
     islands = (
         _local_islands(hot.regular(df), group, compare, start, end)
         .groupBy(*group, *compare, "__island")
@@ -108,18 +108,20 @@ def _flatten_sliced(
 ) -> DataFrame:
     """Islands of hot keys: first inside each slice, then across slice borders.
 
+    Slices are cut evenly in the order of the rows, by start, end and values.
     Copies of a row are combined before anything is brought together. After
     that only the first and the last island of a slice can touch a neighbour,
     so the second step brings at most two rows per slice of a key together.
     """
+    order = [F.col(c) for c in (start, end, *compare)]
+    place = place_of(df, start)
+    cuts = hot.cuts(df, *order, place=place)
     distinct = (
-        hot.hot(df)
-        .groupBy(*dict.fromkeys([*group, *compare, start, end]), "__n", "__lo", "__hi")
+        cuts.on(df)
+        .groupBy(*dict.fromkeys([*group, *compare, start, end]), "__cut")
         .agg(F.count(F.lit(1)).alias("__copies"))
     )
-    rows = distinct.select(
-        *df.columns, hot.slice_of(position(df, start), nulls_first=True).alias("__slice")
-    )
+    rows = distinct.select(*df.columns, cuts.slice_of(*order, place=place).alias("__slice"))
     in_slice = [*group, "__slice"]
     window = Window.partitionBy(*in_slice).orderBy(start, end, *compare)
     numbered = (

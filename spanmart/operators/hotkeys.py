@@ -1,47 +1,72 @@
-"""Finding keys that hold too many rows for one task, and slicing them.
+"""Finding keys that hold too many rows for one task, and cutting them into even slices.
 
 Windows and interval joins keep one key's rows together. That is the cheapest
 plan (one shuffle) while every key is small, and the worst one when a single
 key holds a third of the table. The interval operators therefore run one narrow
 counting job first and send the few hot keys down a path whose work is spread
-over slices of the key's own timeline. Every path gives the same rows.
+over slices of the key's own order. Every path gives the same rows.
+
+Slices are cut at quantiles of the rows themselves, found on a sample: by any
+columns of any ordered type, so that many rows on one day, a far-away sentinel
+or dates held as text are cut as evenly as anything else. The cuts are values on
+the driver, sent to every task; the same row therefore always falls into the
+same slice, whatever is computed twice or again.
 
 The list of hot keys comes to the driver only up to ``max_hot`` entries,
-largest first, which bounds what is broadcast. When more keys than that are
-hot, the others are told apart by a shuffle join; none of them can hold more
-than 1/max_hot of the rows.
+largest first, and all their cuts up to ``MAX_CUTS``, which bounds what is
+broadcast. Keys beyond that list stay on the regular path; none of them can hold
+more than 1/max_hot of the rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_HOT_KEYS = 10_000
-# Slices per hot_rows rows: spare slices even out a timeline that is not uniform.
+MAX_HOT_KEYS = 100_000
+# Slices per hot_rows rows: what a slice holds is then well below what a task can take.
 SLICE_FACTOR = 4
-MAX_SLICES = 1 << 20
+# Cuts over all hot keys together, and rows sampled for each of them.
+MAX_CUTS = 1 << 14
+SAMPLED = 24
+# Buckets per cut, so that a bucket has few cuts.
+BUCKETS = 4
 
 
 def position(df: DataFrame, col: str) -> Column:
     """A column of any ordered type as a BIGINT that keeps the order.
 
-    Distinct values may share a position; slices and buckets only need order.
+    Distinct values may share a position; slices and bins only need order.
     """
     dtype = df.schema[col].dataType
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(col).cast("timestamp"))
     if isinstance(dtype, T.DateType):
         return F.unix_date(F.col(col)).cast("long")
+    if isinstance(dtype, T.IntegralType):
+        return F.col(col).cast("long")
     if isinstance(dtype, T.NumericType):
-        return F.floor(F.col(col)).cast("long")
+        # Beyond the range of a BIGINT all values share its ends.
+        edge = F.lit(float(1 << 62))
+        as_double = F.col(col).cast("double")
+        inside = F.floor(F.greatest(-edge, F.least(edge, F.nanvl(as_double, edge)))).cast("long")
+        return inside
     raise ValueError(f"{col} has type {dtype.simpleString()}, which cannot place it on a timeline")
 
 
+def place_of(df: DataFrame, col: str) -> Column | None:
+    """The position of a column, or None for types without a number line, such as text."""
+    dtype = df.schema[col].dataType
+    kinds = (T.TimestampType, T.TimestampNTZType, T.DateType, T.NumericType)
+    return position(df, col) if isinstance(dtype, kinds) else None
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str], right_prefix: str = "") -> Column:
     """NULL-safe equality on the keys, usable as a hash-join condition."""
     return reduce(
@@ -49,93 +74,241 @@ def same_keys(left: DataFrame, right: DataFrame, keys: list[str], right_prefix:
     )
 
 
-@dataclass(frozen=True)
-class HotKeys:
-    """Hot keys with their row count and time range.
+# Cuts are values in the plan. Written and read with all digits; even a coarser cut would only be less even.
+_FORMATS = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
+# Numbers of a search among up to 2^b - 1 cuts, by b.
+_STEPS = [[1 << k for k in reversed(range(b))] for b in range(32)]
+
+
+def _bucket(place: Column, lo: Column, hi: Column, width: Column) -> Column:
+    """One of ``width`` + 2 equal steps on the number line; missing places come first."""
+    return F.coalesce(F.width_bucket(place.cast("double"), lo, hi, width), F.lit(0)).cast("int")
+
 
-    ``listed`` is a local table of the largest hot keys, at most ``max_hot``
-    rows; ``rest`` holds further hot keys, if any, and is never broadcast by
-    hint. Both have columns ``__k_<key>``, ``__n``, ``__lo``, ``__hi``.
+def _constant(values: list, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), kind)
+
+
+@dataclass(frozen=True)
+class Cuts:
+    """Where hot keys are cut into slices.
+
+    The cuts are one constant array in the plan, ``whole``, key after key. ``table`` has a row per hot key
+    (``__k_<key>``) with what finds a slice: the key's first cut and their number, and how its number line
+    is divided into buckets. ``before`` and ``inside`` tell for each bucket how many cuts lie before it
+    and in it, so that a row is compared with the few cuts of its own bucket only. ``edges`` has each cut's
+    place; slices are divided into ``bins`` of equal width there.
     """
 
+    keys: list[str]
+    table: DataFrame
+    most: int
+    whole: Column
+    before: Column
+    inside: Column
+    edges: Column
+    bins: int = 1
+    bucketed: bool = True
+
+    def by_value(self) -> Cuts:
+        """The same slices, found by values alone: for columns of another type than the cuts."""
+        return replace(self, bins=1, bucketed=False)
+
+    @property
+    def cells(self) -> int:
+        """More than any cell number."""
+        return (self.most + 1) * self.bins
+
+    def on(self, df: DataFrame) -> DataFrame:
+        """Rows of hot keys, ready for ``slice_of``; the column ``__cut`` is added."""
+        small = F.broadcast(self.table)
+        joined = df.join(small, same_keys(df, small, self.keys, "__k_"))
+        return joined.drop(*[f"__k_{k}" for k in self.keys])
+
+    def slice_of(self, *order: Column, place: Column | None = None) -> Column:
+        """Slice of a row by the columns the cuts were made on, 0 first; NULLs come first.
+
+        ``place`` is the first column's position, if the cuts were made with one.
+        """
+        cut = F.col("__cut")
+        row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])
+        if place is None or not self.bucketed:
+            base, many = F.lit(0), cut["n"]
+        else:
+            bucket = cut["lut"] + _bucket(place, cut["lo"], cut["hi"], cut["width"])
+            base, many = F.get(self.before, bucket), F.get(self.inside, bucket)
+        first = cut["at"] + base - 1
+        found = F.aggregate(
+            F.get(_constant(_STEPS, "array<array<int>>"), _bits(many)),
+            F.lit(0),
+            lambda at, step: F.when(
+                (at + step <= many) & (F.get(self.whole, first + at + step) <= row), at + step
+            ).otherwise(at),
+        )
+        return F.coalesce(base + F.when(many > 0, found).otherwise(0), F.lit(0))
+
+    def cell_of(self, value: Column, place: Column | None) -> Column:
+        """Slice and bin in one number, growing with ``value``; ``place`` is its position."""
+        at = self.slice_of(value, place=place)
+        if self.bins == 1 or place is None:
+            return at.cast("long")
+        cut = F.col("__cut")
+        inside = (at > 0) & (at < cut["n"])
+        lower = F.when(inside, F.get(self.edges, cut["at"] + at - 1)).cast("double")
+        upper = F.when(inside, F.get(self.edges, cut["at"] + at)).cast("double")
+        share = (place.cast("double") - lower) / F.when(upper > lower, upper - lower)
+        inner = F.least(F.greatest(F.floor(share * self.bins), F.lit(0)), F.lit(self.bins - 1))
+        return at.cast("long") * self.bins + F.coalesce(inner, F.lit(0)).cast("long")
+
+    def last_cell(self) -> Column:
+        return ((F.col("__cut.n") + 1) * self.bins - 1).cast("long")
+
+
+def _bits(n: Column) -> Column:
+    return F.when(n > 0, F.length(F.bin(n))).otherwise(0)
+
+
+@dataclass(frozen=True)
+class HotKeys:
+    """Hot keys and how many rows each has, as a local table (``__k_<key>``, ``__n``)."""
+
     keys: list[str]
     hot_rows: int = 0
     listed: DataFrame | None = None
-    rest: DataFrame | None = None
+    total: int = 0
 
     @property
     def found(self) -> bool:
         return self.listed is not None
 
-    def _without(self, df: DataFrame, stats: DataFrame) -> DataFrame:
-        return df.join(stats, same_keys(df, stats, self.keys, "__k_"), "left_anti")
-
-    def _only(self, df: DataFrame, stats: DataFrame) -> DataFrame:
-        joined = df.join(stats, same_keys(df, stats, self.keys, "__k_"))
-        return joined.drop(*[f"__k_{k}" for k in self.keys])
-
     def regular(self, df: DataFrame) -> DataFrame:
         """Rows of keys that fit one task."""
         if not self.found:
             return df
-        kept = self._without(df, F.broadcast(self.listed))
-        # What is left here has no key above 1/max_hot of all rows.
-        return kept if self.rest is None else self._without(kept, self.rest)
+        small = F.broadcast(self.listed)
+        return df.join(small, same_keys(df, small, self.keys, "__k_"), "left_anti")
 
     def hot(self, df: DataFrame) -> DataFrame:
-        """Rows of hot keys with the key statistics attached."""
-        largest = self._only(df, F.broadcast(self.listed))
-        if self.rest is None:
-            return largest
-        others = self._only(self._without(df, F.broadcast(self.listed)), self.rest)
-        return largest.unionByName(others)
-
-    def small(self, df: DataFrame) -> DataFrame:
-        """Mark a table with one row per hot key for broadcast where its size is proven."""
-        return F.broadcast(df) if self.rest is None else df
-
-    def slice_of(self, pos: Column, nulls_first: bool) -> Column:
-        """Slice number of a position: grows with the position along the key's timeline."""
-        slices = F.least(
-            F.ceil(F.col("__n") / F.lit(self.hot_rows)) * F.lit(SLICE_FACTOR), F.lit(MAX_SLICES)
+        """Rows of hot keys."""
+        small = F.broadcast(self.listed)
+        return df.join(small, same_keys(df, small, self.keys, "__k_"), "left_semi")
+
+    def cuts(
+        self,
+        df: DataFrame,
+        *order: Column,
+        rows: int | None = None,
+        place: Column | None = None,
+        max_cuts: int = MAX_CUTS,
+    ) -> Cuts:
+        """Cut the hot keys at quantiles of ``order`` over the rows of ``df``, about ``rows`` rows to a slice.
+
+        One job over a sample of hot rows, a fixed number per cut. Beyond ``max_cuts`` slices grow; with a
+        ``place`` they are then divided into bins.
+        """
+        rows = rows or max(1, self.hot_rows // SLICE_FACTOR)
+        per_slice = max(rows, -(-self.total // max_cuts))
+        kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(self.keys)]
+        kept += [c.alias(f"c{i}") for i, c in enumerate(order)]
+        names = [f"k{i}" for i in range(len(self.keys))]
+        orders = [f"c{i}" for i in range(len(order))]
+        at = F.lit(None) if place is None else place
+        picked = self.hot(df)
+        share = min(1.0, SAMPLED / per_slice)
+        if share < 0.5:
+            picked = picked.sample(share, seed=7)
+        else:
+            share = 1.0
+        picked = picked.select(*kept, at.cast("long").alias("p"))
+        # Neighbouring cuts stand ``step`` sampled rows apart; the first and the last row are cuts as well.
+        step = max(1, round(per_slice * share))
+        last = F.size("seen") - 1
+        chosen = (
+            picked.groupBy(*names)
+            .agg(F.sort_array(F.collect_list(F.struct(*orders, "p"))).alias("seen"))
+            .select(
+                *names,
+                F.array_distinct(
+                    F.concat(
+                        F.transform(F.sequence(F.lit(0), last, F.lit(step)), lambda i: F.get("seen", i)),
+                        F.array(F.get("seen", last)),
+                    )
+                ).alias("cuts"),
+            )
+            .withColumns(
+                {
+                    # Far-away values share the outer buckets.
+                    "lo": F.get("cuts.p", F.floor(F.size("cuts") * 0.02).cast("int")).cast("double"),
+                    "hi": F.get("cuts.p", F.floor(F.size("cuts") * 0.98).cast("int")).cast("double"),
+                    "width": F.size("cuts") * BUCKETS if place is not None else F.lit(1),
+                }
+            )
+            .withColumn(
+                "buckets",
+                F.transform("cuts", lambda c: _bucket(c["p"], F.col("lo"), F.col("hi"), F.col("width"))),
+            )
         )
-        width = (F.col("__hi") - F.col("__lo")).cast("double")
-        share = (pos - F.col("__lo")).cast("double") / width
-        inner = F.when(F.coalesce(width, F.lit(0.0)) <= 0, F.lit(0)).otherwise(
-            F.greatest(F.lit(0), F.least(slices - 1, F.floor(share * slices)))
+        shape = ["lo", "hi", "width", "buckets"]
+        together = chosen.agg(F.collect_list(F.struct(*names, "cuts", *shape)).alias("all"))
+        # All in one order: a key's cuts stand together.
+        every = F.flatten(F.col("all.cuts"))
+        whole = F.transform(every, lambda c: F.struct(*[c[o].alias(o) for o in orders]))
+        row = together.select(
+            F.transform("all", lambda k: F.struct(*[k[n].alias(n) for n in [*names, *shape]])).alias("keys"),
+            F.to_json(whole, _FORMATS).alias("whole"),
+            F.to_json(F.transform(every, lambda c: c["p"])).alias("edges"),
+        ).first()
+        kind = together.schema["all"].dataType.elementType["cuts"].dataType.elementType
+        all_of = T.ArrayType(T.StructType([f for f in kind.fields if f.name != "p"]))
+        places, at, before, inside, most = [], 0, [], [], 0
+        for *key, lo, hi, width, buckets in row["keys"]:
+            places.append((*key, (at, len(buckets), len(before), lo, hi, width)))
+            counts = [0] * (width + 2)
+            for b in buckets:
+                counts[b] += 1
+            before += [0, *accumulate(counts)][:-1]
+            inside += counts
+            at, most = at + len(buckets), max(most, len(buckets))
+        # Keys that the sample missed have no cut.
+        known = {p[:-1] for p in places}
+        places += [
+            (*r[:-1], (0, 0, len(before), None, None, 1))
+            for r in self.listed.collect()
+            if tuple(r[:-1]) not in known
+        ]
+        before, inside = [*before, 0, 0, 0], [*inside, 0, 0, 0]
+        fields = [f for f in self.listed.schema.fields if f.name != "__n"]
+        found = T.StructType(
+            [T.StructField(n, T.IntegerType()) for n in ("at", "n", "lut")]
+            + [T.StructField(n, T.DoubleType()) for n in ("lo", "hi")]
+            + [T.StructField("width", T.LongType())]
+        )
+        return Cuts(
+            self.keys,
+            df.sparkSession.createDataFrame(places, T.StructType([*fields, T.StructField("__cut", found)])),
+            most,
+            F.from_json(F.lit(row["whole"] or "[]"), all_of, _FORMATS),
+            _constant(before, "array<int>"),
+            _constant(inside, "array<int>"),
+            F.from_json(F.lit(row["edges"] or "[]"), "array<bigint>"),
+            1 if place is None else -(-per_slice // rows),
         )
-        return (
-            F.when(pos.isNull(), F.lit(-1) if nulls_first else slices).otherwise(inner)
-        ).cast("long")
-
-
-def _placeable(dtype: T.DataType) -> bool:
-    if isinstance(dtype, T.DecimalType):
-        return dtype.precision - dtype.scale <= 18
-    return isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType, T.NumericType))
-
-
-def timeline(df: DataFrame, keys: list[str], start: str, end: str | None = None) -> DataFrame | None:
-    """Keys and time range of each row, as ``find_hot_keys`` wants them.
-
-    None for types without a place on a number line, such as text: no key of theirs is sliced.
-    """
-    if not all(_placeable(df.schema[c].dataType) for c in (start, end) if c):
-        return None
-    lo = position(df, start)
-    hi = position(df, end) if end else lo
-    return df.select(*keys, lo.alias("__lo"), F.greatest(lo, hi).alias("__hi"))
 
 
 def find_hot_keys(
-    parts: list[DataFrame | None],
+    parts: list[DataFrame],
     keys: list[str],
     hot_rows: int | None | HotKeys,
     max_hot: int = MAX_HOT_KEYS,
 ) -> HotKeys:
-    """Count rows per key over ``parts`` (see ``timeline``).
+    """Count rows per key over ``parts``.
 
-    One job: a scan of key and interval columns with map-side partial counts.
+    One job: a scan of the key columns with map-side partial counts.
     ``hot_rows=None`` skips it and declares that no key is hot. A ``HotKeys``
     from an earlier count is used as it is, which saves the job when several
     operators work on the same keys; counts of an input stand in for counts of
@@ -149,32 +322,18 @@ def find_hot_keys(
         return HotKeys(list(keys))
     if hot_rows < 1 or max_hot < 1:
         raise ValueError("hot_rows and max_hot must be positive")
-    if any(p is None for p in parts):
-        return HotKeys(list(keys))
-    named = [
-        p.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__lo", "__hi") for p in parts
-    ]
+    named = [p.select(*[F.col(k).alias(f"__k_{k}") for k in keys]) for p in parts]
     stats = (
         reduce(DataFrame.unionByName, named)
         .groupBy(*[f"__k_{k}" for k in keys])
-        .agg(F.count(F.lit(1)).alias("__n"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
+        .agg(F.count(F.lit(1)).alias("__n"))
         .filter(F.col("__n") > hot_rows)
     )
-    largest = stats.orderBy(F.col("__n").desc()).limit(max_hot + 1).collect()
+    largest = stats.orderBy(F.col("__n").desc()).limit(max_hot).collect()
     if not largest:
         return HotKeys(list(keys), hot_rows)
-    spark = stats.sparkSession
-    listed = spark.createDataFrame(largest[:max_hot], stats.schema)
-    if len(largest) <= max_hot:
-        return HotKeys(list(keys), hot_rows, listed)
-    rest = stats.join(
-        F.broadcast(listed.select([F.col(f"__k_{k}").alias(f"__l_{k}") for k in keys])),
-        reduce(
-            lambda a, b: a & b, (F.col(f"__k_{k}").eqNullSafe(F.col(f"__l_{k}")) for k in keys)
-        ),
-        "left_anti",
-    )
-    return HotKeys(list(keys), hot_rows, listed, rest)
+    listed = stats.sparkSession.createDataFrame(largest, stats.schema)
+    return HotKeys(list(keys), hot_rows, listed, sum(r["__n"] for r in largest))
 
 
 def both_paths(regular: DataFrame, sliced: DataFrame | None) -> DataFrame:

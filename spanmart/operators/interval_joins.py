@@ -2,18 +2,20 @@
 
 The plain plan is a hash- or sort-merge join on the keys with the time
 condition as a residual. It compares every pair of rows of one key, which is
-fine for small keys only. Hot keys go through buckets instead: an interval of
-length L is filed under the (at most two) buckets of the smallest width of
-4^n > L that it touches, a point looks into its bucket at each width the key
-uses, and the time condition is checked exactly on what meets there. The work
-then grows with the result, and is spread over many join keys.
+fine for small keys only. Hot keys are swept by start instead. Of rows that share
+some time, one starts last, and all others cover that start: so each table in
+turn gives the points, cut into even cells of its own starts, and every
+other table's intervals are filed under the cells they touch. A cell's rows
+meet by equality on key and cell, the time condition is checked exactly, and all
+tables of one turn share that partitioning. An interval has a copy for each cell
+it covers, whose points all lie inside it: copies follow the size of the result.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanmart.functions.predicates import (
@@ -22,129 +24,132 @@ from spanmart.functions.predicates import (
     merged_interval_above,
     merged_interval_below,
 )
-from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position, timeline
+from spanmart.operators.hotkeys import Cuts, HotKeys, both_paths, find_hot_keys, place_of
 from spanmart.operators.ordinals import WINDOW_ROWS, running_ordinal
 
 # Up to this many rows, comparing a key's rows pairwise beats the extra shuffles
 # of the other way.
 PAIR_ROWS = 2_000
 
-# Bits by which bucket widths grow.
-_WIDTH_BITS = 2
-# Wider than any timeline in microseconds; keeps shifts inside a BIGINT.
-_MAX_SHIFT = 62
-
 
 def key_condition(left: DataFrame, right: DataFrame, keys: list[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, (left[k] == right[prefix + k] for k in keys))
 
 
-def range_join(
+def stab_join(
     points: DataFrame,
-    intervals: DataFrame,
-    keys: list[str],
     point: str,
-    start: str,
-    end: Column,
-    hot: HotKeys,
+    others: list[tuple[DataFrame, Column, Column, bool, str]],
+    keys: list[str],
+    cuts: Cuts,
 ) -> DataFrame:
-    """Inner join where ``start <= point < end``, spread over buckets.
+    """Rows of hot keys with the intervals of every other table that cover their ``point``.
 
-    ``end`` is an expression on ``intervals`` that is never NULL. The result
-    has all columns of ``points`` and the non-key columns of ``intervals``;
-    non-key names must differ.
+    ``others`` holds (table, start, end, strict, how): ``start <= point < end``, or ``start < point`` where
+    strict; a NULL bound is open; ``how`` is 'inner' or 'left'. Columns other than the keys must differ
+    between the tables. The result has all columns of ``points`` and those of the others without the keys.
     """
-    names = [c for c in intervals.columns if c not in keys]
-    filed = intervals.withColumn("__rj_end", end).filter(F.col(start) < F.col("__rj_end"))
-    first = position(filed, start)
-    last = position(filed, "__rj_end")
-    # Bit length of the length: the smallest n with 2^n > length, so that the
-    # closed range [first, last] touches at most two buckets of that width.
-    bits = F.length(F.bin(F.greatest(last - first, F.lit(0))))
-    shift = F.least(
-        (F.ceil(bits / F.lit(_WIDTH_BITS)) * F.lit(_WIDTH_BITS)).cast("int"), F.lit(_MAX_SHIFT)
-    )
-    filed = filed.withColumns({"__rj_first": first, "__rj_last": last, "__rj_shift": shift})
-    buckets = F.array_distinct(
-        F.array(
-            F.expr("shiftright(__rj_first, __rj_shift)"),
-            F.expr("shiftright(__rj_last, __rj_shift)"),
+    names = list(points.columns)
+    kind = points.schema[point].dataType
+    others = [
+        (df.withColumns({"__start": start, "__end": end}), *rest) for df, start, end, *rest in others
+    ]
+    # Buckets and bins need one number line.
+    if any(df.schema[c].dataType != kind for df, *_ in others for c in ("__start", "__end")):
+        cuts = cuts.by_value()
+    joined = cuts.on(points).withColumn("__cell", cuts.cell_of(F.col(point), place_of(points, point)))
+    joined = joined.drop("__cut")
+    for df, strict, how in others:
+        values = [c for c in df.columns if c not in {*keys, "__start", "__end"}]
+        filed = cuts.on(df).filter(F.coalesce(F.col("__start") < F.col("__end"), F.lit(True)))
+        first = F.when(F.col("__start").isNull(), F.lit(0)).otherwise(
+            cuts.cell_of(F.col("__start"), place_of(filed, "__start"))
         )
-    )
-    filed = filed.withColumn("__rj_bucket", F.explode(buckets)).drop("__rj_first", "__rj_last")
-    filed = filed.select(
-        *[F.col(k).alias(f"__i_{k}") for k in keys],
-        *names,
-        "__rj_end",
-        F.col("__rj_shift").alias("__i_rj_shift"),
-        F.col("__rj_bucket").alias("__i_rj_bucket"),
-    )
+        last = F.when(F.col("__end").isNull(), cuts.last_cell()).otherwise(
+            cuts.cell_of(F.col("__end"), place_of(filed, "__end"))
+        )
+        filed = filed.select(
+            *[F.col(k).alias(f"__i_{k}") for k in keys],
+            *values,
+            "__start",
+            "__end",
+            F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("__i_cell"),
+        )
+        begun = F.col("__start") < F.col(point) if strict else F.col("__start") <= F.col(point)
+        meets = (
+            key_condition(joined, filed, keys, "__i_")
+            & (joined["__cell"] == filed["__i_cell"])
+            & (begun | F.col("__start").isNull())
+            & ((F.col(point) < F.col("__end")) | F.col("__end").isNull())
+        )
+        names += values
+        joined = joined.join(filed, meets, how).select(*names, "__cell")
+    return joined.select(*names)
 
-    widths = (
-        filed.groupBy(*[f"__i_{k}" for k in keys])
-        .agg(F.collect_set("__i_rj_shift").alias("__rj_shifts"))
-        .select(*[F.col(f"__i_{k}").alias(f"__w_{k}") for k in keys], "__rj_shifts")
-    )
-    probing = points.withColumn("__rj_point", position(points, point)).filter(F.col(point).isNotNull())
-    # One row of at most 32 widths per key.
-    probing = probing.join(hot.small(widths), key_condition(probing, widths, keys, "__w_"))
-    probing = probing.select(
-        *points.columns, "__rj_point", F.explode("__rj_shifts").alias("__rj_shift")
-    ).withColumn("__rj_bucket", F.expr("shiftright(__rj_point, __rj_shift)"))
 
-    meets = (
-        key_condition(probing, filed, keys, "__i_")
-        & (probing["__rj_shift"] == filed["__i_rj_shift"])
-        & (probing["__rj_bucket"] == filed["__i_rj_bucket"])
-        & (filed[start] <= probing[point])
-        & (probing[point] < filed["__rj_end"])
-    )
-    return probing.join(filed, meets).select(*points.columns, *names)
+def start_cuts(hot: HotKeys, df: DataFrame, start: str, rows: int | None = None) -> Cuts:
+    """Cells of even numbers of starts."""
+    known = df.filter(F.col(start).isNotNull())
+    return hot.cuts(known, F.col(start), rows=rows, place=place_of(df, start))
 
 
-def overlap_pairs(
+def _check_names(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
+    if not keys:
+        raise ValueError("interval joins need at least one key column")
+    shared = {c for c in left.columns if c in right.columns} - set(keys)
+    if shared:
+        raise ValueError(f"rename the columns both sides have: {sorted(shared)}")
+
+
+def _unmatched(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
     l_start: str,
-    l_end: Column,
+    l_last: Column,
     r_start: str,
-    r_end: Column,
+    r_last: Column,
     hot: HotKeys,
 ) -> DataFrame:
-    """Pairs of non-empty intervals that share some time, through buckets.
+    """Left rows of hot keys that no right row overlaps, without looking at pairs.
 
-    Two intervals overlap when exactly one of these holds: the right one
-    starts inside the left one, or the left one starts inside the right one
-    after its start. Non-key names must differ.
+    A partner starts before the row's end and ends after its start; so the furthest end among all right
+    rows that start before the row's end decides. That is a running maximum over narrow bounds, carried
+    from slice to slice.
     """
-    l_names = [c for c in left.columns if c not in keys]
-    r_names = [c for c in right.columns if c not in keys]
-    left = left.withColumn("__l_end", l_end).filter(F.col(l_start) < F.col("__l_end"))
-    right = right.withColumn("__r_end", r_end).filter(F.col(r_start) < F.col("__r_end"))
-    out = [*keys, *l_names, *r_names]
-    right_inside = range_join(right, left, keys, r_start, l_start, F.col("__l_end"), hot)
-    left_inside = range_join(left, right, keys, l_start, r_start, F.col("__r_end"), hot)
-    return right_inside.select(*out).unionByName(
-        left_inside.filter(F.col(r_start) < F.col(l_start)).select(*out)
+    plain = [F.col(k).alias(k) for k in keys]
+    ends = right.select(*plain, F.col(r_start).alias("__at"), r_last.alias("__reach")).filter(
+        F.col("__at").isNotNull()
     )
-
-
-def _check_names(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
-    if not keys:
-        raise ValueError("interval joins need at least one key column")
-    shared = {c for c in left.columns if c in right.columns} - set(keys)
-    if shared:
-        raise ValueError(f"rename the columns both sides have: {sorted(shared)}")
-
-
-def _keep_left(left: DataFrame, pairs: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Add the left rows without a partner; a match depends on ``on`` only."""
-    if how == "inner":
-        return pairs
-    matched = pairs.select(*[F.col(c).alias(f"__m_{c}") for c in on]).distinct()
-    same = reduce(lambda a, b: a & b, (left[c].eqNullSafe(matched[f"__m_{c}"]) for c in on))
-    return pairs.unionByName(left.join(matched, same, "left_anti"), allowMissingColumns=True)
+    asked = left.select(*plain, l_last.alias("__at")).filter(F.col("__at").isNotNull())
+    # Equal bounds are combined before the shuffle: a sentinel end is asked about once per key.
+    ends = ends.groupBy(*keys, "__at").agg(F.max("__reach").alias("__reach"))
+    asked = asked.distinct()
+    both = ends.withColumn("__asks", F.lit(False)).unionByName(
+        asked.withColumns({"__asks": F.lit(True), "__reach": F.lit(None)})
+    )
+    cuts = start_cuts(hot, right, r_start).by_value()
+    events = cuts.on(both).withColumn("__slice", cuts.slice_of(F.col("__at"))).drop("__cut")
+    # At one instant the question comes first: a partner starts strictly before the end.
+    in_slice = Window.partitionBy(*keys, "__slice").orderBy("__at", F.col("__asks").desc())
+    walked = events.withColumn("__seen", F.max("__reach").over(in_slice))
+    carried = events.groupBy(*keys, "__slice").agg(F.max("__reach").alias("__most"))
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    on = [*keys, "__slice"]
+    carried = carried.select(
+        *[F.col(c).alias(f"__c_{c}") for c in on], F.max("__most").over(before).alias("__earlier")
+    )
+    answers = walked.filter("__asks").join(carried, key_condition(walked, carried, on, "__c_"))
+    answers = answers.select(
+        *[F.col(k).alias(f"__q_{k}") for k in keys],
+        F.col("__at").alias("__q_at"),
+        F.greatest("__seen", "__earlier").alias("__furthest"),
+    )
+    rows = left.withColumn("__at", l_last)
+    same = key_condition(rows, answers, keys, "__q_") & (rows["__at"] == answers["__q_at"])
+    found = rows.join(answers, same, "left")
+    lonely = ~F.coalesce(F.col("__furthest") > F.col(l_start), F.lit(False))
+    return found.filter(lonely).select(*left.columns)
 
 
 def interval_overlap_join(
@@ -165,11 +170,7 @@ def interval_overlap_join(
     _check_names(left, right, keys)
     l_last = F.coalesce(F.col(l_end), far_future_for(left, l_end, far_future))
     r_last = F.coalesce(F.col(r_end), far_future_for(right, r_end, far_future))
-    hot = find_hot_keys(
-        [timeline(left, keys, l_start, l_end), timeline(right, keys, r_start, r_end)],
-        keys,
-        hot_rows,
-    )
+    hot = find_hot_keys([left, right], keys, hot_rows)
     regular = hot.regular(left)
     names = [*left.columns, *[c for c in right.columns if c not in keys]]
     other = hot.regular(right).select(
@@ -182,16 +183,15 @@ def interval_overlap_join(
     regular = regular.join(other, meets, how).select(*names)
     if not hot.found:
         return regular
-    hot_left = hot.hot(left).select(*left.columns)
-    # Bounds are compared pairwise, so an empty interval strictly inside another
-    # one still overlaps it: it acts as a point.
-    hot_right = hot.hot(right).select(*right.columns)
-    pairs = all_overlaps(hot_left, hot_right, keys, l_start, l_last, r_start, r_last, hot)
-    sliced = _keep_left(hot_left, pairs, [*keys, l_start, l_end], how).select(*names)
+    hot_left, hot_right = hot.hot(left), hot.hot(right)
+    sliced = overlap_pairs(left, right, keys, l_start, l_last, r_start, r_last, hot).select(*names)
+    if how == "left":
+        lonely = _unmatched(hot_left, hot_right, keys, l_start, l_last, r_start, r_last, hot)
+        sliced = sliced.unionByName(lonely, allowMissingColumns=True)
     return both_paths(regular, sliced)
 
 
-def all_overlaps(
+def overlap_pairs(
     left: DataFrame,
     right: DataFrame,
     keys: list[str],
@@ -200,28 +200,22 @@ def all_overlaps(
     r_start: str,
     r_last: Column,
     hot: HotKeys,
-    left_is_proper: bool = False,
 ) -> DataFrame:
-    """Pairs with ``l_start < r_end and r_start < l_end``, empty intervals included.
+    """Pairs of hot keys with ``l_start < r_last and r_start < l_last``.
 
-    An interval with ``end <= start`` overlaps exactly the non-empty ones that
-    strictly contain both of its bounds; two empty ones never overlap.
-    ``left_is_proper`` says that the left side has no empty interval.
+    Bounds are compared pairwise, so an empty interval strictly inside another one still overlaps it.
     """
-    out = [*left.columns, *[c for c in right.columns if c not in keys]]
-    pairs = overlap_pairs(left, right, keys, l_start, l_last, r_start, r_last, hot).select(*out)
-    r_empty = right.withColumn("__r_last", r_last).filter(F.col(r_start) >= F.col("__r_last"))
-    r_in_left = range_join(r_empty, left, keys, r_start, l_start, l_last, hot).filter(
-        F.col(l_start) < F.col("__r_last")
+    left, right = left.withColumn("__l_last", l_last), right.withColumn("__r_last", r_last)
+    by_right = stab_join(
+        right, r_start, [(left, F.col(l_start), F.col("__l_last"), False, "inner")], keys, start_cuts(hot, right, r_start)
+    )
+    by_left = stab_join(
+        left, l_start, [(right, F.col(r_start), F.col("__r_last"), True, "inner")], keys, start_cuts(hot, left, l_start)
     )
-    pairs = pairs.unionByName(r_in_left.select(*out))
-    if left_is_proper:
-        return pairs
-    l_empty = left.withColumn("__l_last", l_last).filter(F.col(l_start) >= F.col("__l_last"))
-    l_in_right = range_join(l_empty, right, keys, l_start, r_start, r_last, hot).filter(
-        F.col(r_start) < F.col("__l_last")
+    both = by_right.filter(F.col(l_start) < F.col("__r_last")).unionByName(
+        by_left.filter(F.col(r_start) < F.col("__l_last"))
     )
-    return pairs.unionByName(l_in_right.select(*out))
+    return both.drop("__l_last", "__r_last")
 
 
 def point_in_interval_join(
@@ -245,9 +239,7 @@ def point_in_interval_join(
     _check_names(points, intervals, keys)
     first = F.coalesce(F.col(start), far_future_for(intervals, start, start_default))
     last = F.coalesce(F.col(end), far_future_for(intervals, end, far_future))
-    hot = find_hot_keys(
-        [timeline(points, keys, point), timeline(intervals, keys, start, end)], keys, hot_rows
-    )
+    hot = find_hot_keys([points, intervals], keys, hot_rows)
     regular = hot.regular(points)
     values = [c for c in intervals.columns if c not in keys]
     other = hot.regular(intervals).select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values)
@@ -259,14 +251,10 @@ def point_in_interval_join(
     regular = regular.join(other, meets, how).select(*points.columns, *values)
     if not hot.found:
         return regular
-    hot_points = hot.hot(points).select(*points.columns)
-    hot_intervals = (
-        hot.hot(intervals).select(*intervals.columns).withColumn("__first", first)
-    )
-    pairs = range_join(hot_points, hot_intervals, keys, point, "__first", last, hot)
-    pairs = pairs.select(*points.columns, *values)
-    sliced = _keep_left(hot_points, pairs, [*keys, point], how).select(*points.columns, *values)
-    return both_paths(regular, sliced)
+    # A point has one place, so that the join itself keeps those without an interval.
+    cuts = start_cuts(hot, points, point)
+    sliced = stab_join(points, point, [(intervals, first, last, False, how)], keys, cuts)
+    return both_paths(regular, sliced.select(*points.columns, *values))
 
 
 def extend_back(
@@ -305,72 +293,43 @@ def common_interval_join(
     """
     if len(tables) < 2:
         raise ValueError("common_interval_join needs at least two tables")
-    hot = find_hot_keys([timeline(df, keys, s, e) for df, s, e in tables], keys, hot_rows)
+    hot = find_hot_keys([df for df, _, _ in tables], keys, hot_rows)
     joined, start, end = tables[0]
+    joined = hot.regular(joined)
     starts, ends = [start], [end]
     for other, o_start, o_end in tables[1:]:
         _check_names(joined, other, keys)
-        joined = _common_pair(joined, starts, ends, other, keys, o_start, o_end, hot)
-        starts.append(o_start)
-        ends.append(o_end)
+        values = [c for c in other.columns if c not in keys]
+        other = hot.regular(other).select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values)
+        starts, ends = [*starts, o_start], [*ends, o_end]
+        # Open on all sides so far: a later table may still bound the interval.
+        common = F.coalesce(intervals_overlap(starts, ends), F.lit(True))
+        meets = key_condition(joined, other, keys, "__r_") & common
+        joined = joined.join(other, meets).select(*joined.columns, *values)
+    if hot.found:
+        joined = both_paths(joined, _common_by_start(tables, keys, hot).select(*joined.columns))
     joined = joined.filter(intervals_overlap(starts, ends))
     return joined.withColumns(
         {start_name: merged_interval_below(starts), end_name: merged_interval_above(ends)}
     )
 
 
-def _common_pair(
-    left: DataFrame,
-    starts: list[str],
-    ends: list[str],
-    right: DataFrame,
-    keys: list[str],
-    r_start: str,
-    r_end: str,
-    hot: HotKeys,
+def _common_by_start(
+    tables: list[tuple[DataFrame, str, str]], keys: list[str], hot: HotKeys
 ) -> DataFrame:
-    values = [c for c in right.columns if c not in keys]
-    columns = [*left.columns, *values]
-    spans = left.withColumns(
-        {"__a": merged_interval_below(starts), "__b": merged_interval_above(ends)}
-    )
-    regular = hot.regular(left)
-    other = hot.regular(right).select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values)
-    # Open on all sides so far: a later table may still bound the interval.
-    common = intervals_overlap([*starts, r_start], [*ends, r_end])
-    meets = key_condition(regular, other, keys, "__r_") & F.coalesce(common, F.lit(True))
-    regular = regular.join(other, meets).select(*columns)
-    if not hot.found:
-        return regular
-    lowest, highest = _open_bounds(spans, "__a"), _open_bounds(spans, "__b")
-    hot_left = hot.hot(spans).withColumns(
-        {"__a": F.coalesce(F.col("__a"), lowest[0]), "__b": F.coalesce(F.col("__b"), highest[1])}
-    )
-    hot_left = hot_left.select(*left.columns, "__a", "__b")
-    low, high = _open_bounds(right, r_start)[0], _open_bounds(right, r_end)[1]
-    hot_right = hot.hot(right).select(
-        *right.columns, F.coalesce(F.col(r_start), low).alias("__c")
-    )
-    pairs = overlap_pairs(
-        hot_left, hot_right, keys, "__a", F.col("__b"), "__c", F.coalesce(F.col(r_end), high), hot
-    )
-    return both_paths(regular, pairs.select(*columns))
-
-
-_INTEGERS = {"byte": 7, "short": 15, "integer": 31, "long": 60}
-
-
-def _open_bounds(df: DataFrame, col: str) -> tuple[Column, Column]:
-    """Stand-ins for an open start and an open end, beyond any real value."""
-    kind = df.schema[col].dataType.typeName()
-    if kind in ("date", "timestamp", "timestamp_ntz"):
-        low, high = "0001-01-01", "9999-12-31 23:59:59.999999"
-    elif kind in _INTEGERS:
-        low, high = -(1 << _INTEGERS[kind]), (1 << _INTEGERS[kind]) - 1
-    elif kind == "decimal":
-        decimal = df.schema[col].dataType
-        high = "9" * (decimal.precision - decimal.scale) + "." + "9" * decimal.scale
-        return F.lit("-" + high).cast(decimal), F.lit(high).cast(decimal)
-    else:
-        low, high = -(1 << 60), 1 << 60
-    return F.lit(low).cast(kind), F.lit(high).cast(kind)
+    """Combinations of hot keys, each found at the table whose row starts last (the first one of equals).
+
+    Bounds are the tables' own: an open one is NULL and never stands for a value. A row that starts last
+    has a start, else no row of the combination has one and it is left out in any case.
+    """
+    turns = []
+    for i, (points, start, end) in enumerate(tables):
+        proper = F.col(end).isNull() | (F.col(start) < F.col(end))
+        points = points.filter(F.col(start).isNotNull() & proper)
+        others = [
+            (df, F.col(o_start), F.col(o_end), j < i, "inner")
+            for j, (df, o_start, o_end) in enumerate(tables)
+            if j != i
+        ]
+        turns.append(stab_join(points, start, others, keys, start_cuts(hot, points, start)))
+    return reduce(DataFrame.unionByName, turns)

@@ -7,7 +7,7 @@ these operators match keys by equality.
 Elementary intervals are the pieces between neighbouring bounds of one key;
 nothing changes inside a piece. Keys that fit a task are worked on after one
 shuffle by key. Keys with more rows than ``hot_rows`` are worked on in slices
-of their timeline (see ``hotkeys``).
+and cells of their timeline (see ``hotkeys``).
 """
 
 from __future__ import annotations
@@ -20,19 +20,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanmart.functions.predicates import all_not_null, any_not_null, far_future_for
-from spanmart.operators.hotkeys import HotKeys, both_paths, find_hot_keys, position, timeline
-from spanmart.operators.interval_joins import (
-    PAIR_ROWS,
-    all_overlaps,
-    key_condition,
-    range_join,
-)
+from spanmart.operators.hotkeys import Cuts, HotKeys, both_paths, find_hot_keys, place_of
+from spanmart.operators.interval_joins import PAIR_ROWS, key_condition, stab_join
 
 # "Beyond any date" for overlap detail, a fixed value.
 DETAIL_END = "9999-12-31"
 
-# Each level of the piece tree spans 2^2 = 4 nodes of the level below.
+# Each level of the cell tree spans 2^2 = 4 nodes of the level below.
 _TREE_BITS = 2
+# Bounds per cell, whose pieces and rows are compared pairwise.
+CELL_ROWS = 128
 # Rows wider than this do not travel through the tree.
 WIDE_BYTES = 96
 
@@ -64,49 +61,45 @@ def _pieces(points: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _sliced_pieces(points: DataFrame, keys: list[str], hot: HotKeys) -> DataFrame:
-    """Like ``_pieces`` for hot keys, plus ``__rank`` (0, 1, 2 … per key) and ``__count``.
+def _bound_cuts(points: DataFrame, hot: HotKeys, max_cuts: int | None = None) -> Cuts:
+    """Cells of even numbers of bounds."""
+    more = {} if max_cuts is None else {"max_cuts": max_cuts}
+    return hot.cuts(points, F.col("__at"), rows=CELL_ROWS, place=place_of(points, "__at"), **more)
 
-    Bounds are made distinct with a map-side step, numbered inside slices, and
-    shifted by the sizes of earlier slices. Only one row per slice meets the
-    other slices of its key.
+
+def _cell_pieces(points: DataFrame, keys: list[str], cuts: Cuts) -> tuple[DataFrame, DataFrame]:
+    """Pieces of hot keys with their cell, and the cells that have pieces.
+
+    Bounds (never NULL) are made distinct with a map-side step and paired inside cells; a cell's last bound
+    is paired with the first one of the next cell, of which one narrow row per cell is looked at.
     """
-    at = position(points, "__at")
-    found = (
-        hot.hot(points)
-        .select(*keys, hot.slice_of(at, nulls_first=False).alias("__slice"), "__at")
-        .distinct()
-    )
-    in_slice = Window.partitionBy(*keys, "__slice").orderBy(F.col("__at").asc_nulls_last())
-    numbered = found.select(
-        *keys,
-        "__slice",
+    celled = cuts.on(points).withColumn("__cell", cuts.cell_of(F.col("__at"), place_of(points, "__at")))
+    celled = celled.select(*keys, "__cell", "__at")
+    on = [*keys, "__cell"]
+    firsts = celled.groupBy(*on).agg(F.min("__at").alias("__first"))
+    slice_of = F.floor(F.col("__cell") / cuts.bins)
+    follow = lambda part, by: F.lead("__first").over(Window.partitionBy(*part).orderBy(by))
+    if cuts.bins == 1:
+        nexts = firsts.withColumn("__next_first", follow(keys, "__cell"))
+    else:
+        # Cells of a slice first, then one row per slice.
+        firsts = firsts.withColumn("__slice", slice_of)
+        heads = firsts.groupBy(*keys, "__slice").agg(F.min("__first").alias("__first"))
+        heads = heads.withColumn("__later", follow(keys, "__slice")).select(
+            *[F.col(c).alias(f"__h_{c}") for c in [*keys, "__slice"]], "__later"
+        )
+        nexts = firsts.withColumn("__inner", follow([*keys, "__slice"], "__cell"))
+        nexts = nexts.join(heads, key_condition(nexts, heads, [*keys, "__slice"], "__h_"))
+        nexts = nexts.withColumn("__next_first", F.coalesce("__inner", "__later"))
+    nexts = nexts.select(*[F.col(c).alias(f"__o_{c}") for c in on], "__next_first")
+    in_cell = Window.partitionBy(*on).orderBy("__at")
+    paired = celled.distinct().withColumn("__next", F.lead("__at").over(in_cell))
+    pieces = paired.join(nexts, key_condition(paired, nexts, on, "__o_")).select(
+        *on,
         F.col("__at").alias("__from"),
-        F.lead("__at").over(in_slice).alias("__next"),
-        F.lead(F.lit(True)).over(in_slice).isNull().alias("__edge"),
-        F.row_number().over(in_slice).alias("__local"),
-    )
-    sizes = found.groupBy(*keys, "__slice").agg(
-        F.count(F.lit(1)).alias("__c"), F.min("__at").alias("__first")
-    )
-    across = Window.partitionBy(*keys).orderBy("__slice")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(k).alias(f"__o_{k}") for k in [*keys, "__slice"]],
-        F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__offset"),
-        F.sum("__c").over(Window.partitionBy(*keys)).alias("__count"),
-        F.lead("__first").over(across).alias("__next_first"),
-        F.lead(F.lit(True)).over(across).isNull().alias("__end_slice"),
-    )
-    joined = numbered.join(offsets, key_condition(numbered, offsets, [*keys, "__slice"], "__o_"))
-    return joined.select(
-        *keys,
-        "__from",
-        F.when(F.col("__edge"), F.col("__next_first")).otherwise(F.col("__next")).alias("__to"),
-        (F.col("__edge") & F.col("__end_slice")).alias("__tail"),
-        (F.col("__offset") + F.col("__local") - 1).alias("__rank"),
-        "__count",
+        F.coalesce("__next", "__next_first").alias("__to"),
     )
+    return pieces, firsts.select(*on)
 
 
 # --------------------------------------------------------------------------
@@ -188,10 +181,10 @@ def sequentialize_table(
         *(packed if value_cols else []),
     )
 
-    hot = find_hot_keys([timeline(rows, keys, "__start", "__end")], keys, hot_rows)
+    hot = find_hot_keys([rows], keys, hot_rows)
     result = choice.finish(_pick_by_key(hot.regular(rows), choice, far))
     if hot.found:
-        result = both_paths(result, choice.finish(_pick_by_tree(hot, rows, choice, far)))
+        result = both_paths(result, choice.finish(_pick_by_cell(hot, rows, choice, far)))
     return result.orderBy(*keys, start, end) if sort else result
 
 
@@ -217,82 +210,84 @@ def _pick_by_key(rows: DataFrame, choice: _Choice, far: Column) -> DataFrame:
     )
 
 
-def _pick_by_tree(hot: HotKeys, rows: DataFrame, choice: _Choice, far: Column) -> DataFrame:
-    """Best row per piece without pairing rows with pieces.
+def _pick_by_cell(
+    hot: HotKeys, rows: DataFrame, choice: _Choice, far: Column, max_cuts: int | None = None
+) -> DataFrame:
+    """Best row per piece without pairing rows with pieces of a whole key.
 
-    Pieces of a key are the leaves of a tree in which a node spans four nodes
-    of the level below. A row's range of leaves splits into a few whole nodes
-    per level; the best row of a node is a plain aggregate, and the best row
-    of a leaf is the best among the nodes above it. Work is n log n even when
-    all rows of a key overlap, and is hashed by node, not by key.
+    A row meets the pieces of the two cells in which it starts and ends. The cells between
+    lie inside it, so all their pieces need to know is the best of such rows: a row's run of cells
+    splits into a few whole nodes per level of a tree over the cells, the best row of a node is a plain
+    aggregate, and a cell looks at the nodes above it. Work is n log n even when all rows of a key
+    overlap, and is hashed by cell and node, not by key.
     """
     keys = choice.keys
-    # Copies of one interval cover the same pieces: combine them before any join.
-    spans = (
-        hot.hot(rows)
-        .groupBy(*keys, "__start", "__end")
-        .agg(*choice.aggregates(F.lit(1)) or [F.lit(1).alias("__one")])
-    )
-    pieces = _sliced_pieces(_bounds(rows, keys, "__start", "__end"), keys, hot)
-    ranks = pieces.select(*keys, "__from", "__rank")
-
-    def with_rank(df: DataFrame, bound: str, name: str, open_ended: bool) -> DataFrame:
-        numbered = ranks.select(
-            *[F.col(k).alias(f"__b_{k}") for k in keys],
-            F.col("__from").alias("__b_at"),
-            F.col("__rank").alias(name),
-        )
-        at = numbered["__b_at"]
-        same_bound = df[bound].eqNullSafe(at) if open_ended else df[bound] == at
-        on = key_condition(df, numbered, keys, "__b_") & same_bound
-        return df.join(numbered, on).drop("__b_at", *[f"__b_{k}" for k in keys])
-
-    # A row goes to many nodes. Wide rows send only their bounds there, and the
+    # A row goes to several nodes. Wide rows send only their bounds there, and the
     # values of the winners are fetched once, at the end.
     fetch = bool(choice.values) and _width(rows, "__values") > WIDE_BYTES
-    narrow = spans
-    if fetch:
-        narrow = spans.withColumn("__values", F.struct("__start", "__end"))
-    ranked = with_rank(narrow, "__start", "__lo", open_ended=False)
-    ranked = with_rank(ranked, "__end", "__hi", open_ended=True)
-    payload = [c for c in ("__n", "__values", "__order") if c in ranked.columns]
-    nodes = (
-        ranked.withColumn("__node", F.explode(_covering_nodes()))
-        .select(
-            *[F.col(k).alias(f"__n_{k}") for k in keys],
-            F.col("__node.level").alias("__n_level"),
-            F.col("__node.id").alias("__n_id"),
-            F.col("__end").isNull().alias("__n_open"),
-            *payload,
-        )
-        .groupBy(*[f"__n_{k}" for k in keys], "__n_level", "__n_id", "__n_open")
-        .agg(*choice.aggregates(F.col("__n")) or [F.lit(1).alias("__one")])
+    points = _bounds(rows, keys, "__start", "__end").filter(F.col("__at").isNotNull())
+    cuts = _bound_cuts(points, hot, max_cuts)
+    pieces, cells = _cell_pieces(points, keys, cuts)
+
+    narrow = rows.withColumn("__values", F.struct("__start", "__end")) if fetch else rows
+    kind = points.schema["__at"].dataType
+    timed = narrow.withColumns(
+        {"__stop": F.coalesce(F.col("__end"), far), "__s": F.col("__start").cast(kind)}
+    ).withColumn("__e", F.col("__stop").cast(kind))
+    filed = cuts.on(timed).withColumns(
+        {
+            "__a": cuts.cell_of(F.col("__s"), place_of(timed, "__s")),
+            "__b": cuts.cell_of(F.col("__e"), place_of(timed, "__e")),
+        }
     )
-    leaves = (
-        pieces.filter(~F.col("__tail"))
-        .withColumn("__level", F.explode(F.sequence(F.lit(0), _tree_height(F.col("__count")))))
-        .withColumn(
-            "__id", F.expr(f"shiftright(__rank, cast({_TREE_BITS} * __level as int))")
-        )
+    payload = [c for c in ("__n", "__values", "__order") if c == "__n" or c in filed.columns]
+    payload = payload if choice.flag else [c for c in payload if c != "__n"]
+    counted = lambda df: df.agg(*choice.aggregates(F.lit(1)) or [F.lit(1).alias("__one")])
+    summed = lambda df: df.agg(*choice.aggregates(F.col("__n")) or [F.lit(1).alias("__one")])
+    renamed = [F.col(k).alias(f"__r_{k}") for k in keys]
+
+    # Copies of one interval are combined before any join.
+    local = filed.withColumn("__r_cell", F.explode(F.array_distinct(F.array("__a", "__b"))))
+    local = counted(local.groupBy(*renamed, "__r_cell", "__start", "__stop"))
+    whole = filed.filter(F.col("__b") - F.col("__a") > 1).withColumns(
+        {"__lo": F.col("__a") + 1, "__hi": F.col("__b")}
     )
-    meets = (
-        key_condition(leaves, nodes, keys, "__n_")
-        & (leaves["__level"] == nodes["__n_level"])
-        & (leaves["__id"] == nodes["__n_id"])
-        # An open end counts up to the far future only.
-        & (~nodes["__n_open"] | (leaves["__from"] < far))
+    nodes = counted(
+        whole.withColumn("__node", F.explode(_covering_nodes()))
+        .withColumns({"__n_level": F.col("__node.level"), "__n_id": F.col("__node.id")})
+        .groupBy(*[F.col(k).alias(f"__n_{k}") for k in keys], "__n_level", "__n_id")
     )
-    best = (
-        leaves.join(nodes, meets)
-        .groupBy(*keys, "__from", "__to")
-        .agg(*choice.aggregates(F.col("__n")) or [F.lit(1).alias("__one")])
+    height = -(-max(cuts.cells, 1).bit_length() // _TREE_BITS)
+    levels = cells.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(height)))).withColumn(
+        "__id", F.expr(f"shiftright(__cell, cast({_TREE_BITS} * __level as int))")
+    )
+    above = (
+        key_condition(levels, nodes, keys, "__n_")
+        & (levels["__level"] == nodes["__n_level"])
+        & (levels["__id"] == nodes["__n_id"])
+    )
+    spanning = summed(
+        levels.join(nodes, above).groupBy(*renamed, F.col("__cell").alias("__r_cell"))
+    )
+    covered = local.unionByName(spanning, allowMissingColumns=True)
+    meets = (
+        key_condition(pieces, covered, keys, "__r_")
+        & (pieces["__cell"] == covered["__r_cell"])
+        & (
+            covered["__start"].isNull()
+            | ((covered["__start"] <= pieces["__from"]) & (pieces["__from"] < covered["__stop"]))
+        )
     )
+    best = summed(
+        pieces.join(covered, meets)
+        .select(*keys, "__cell", "__from", "__to", *payload)
+        .groupBy(*keys, "__cell", "__from", "__to")
+    ).drop("__cell")
     if not fetch:
         return best
     best = best.withColumnRenamed("__values", "__winner")
-    found = spans.select(
-        *[F.col(k).alias(f"__v_{k}") for k in keys], "__start", "__end", "__values"
-    )
+    found = counted(hot.hot(rows).groupBy(*[F.col(k).alias(f"__v_{k}") for k in keys], "__start", "__end"))
+    found = found.select(*[f"__v_{k}" for k in keys], "__start", "__end", "__values")
     # No winner where every order is NULL.
     same = (
         key_condition(best, found, keys, "__v_")
@@ -431,11 +426,7 @@ def merge_sequential_intervals(
         "r": side(right, r_start, r_end, r_names, "r"),
     }
     far = far_future_for(left, l_end, far_future)
-    hot = find_hot_keys(
-        [timeline(df, keys, f"__{tag}_start", f"__{tag}_end") for tag, df in sides.items()],
-        keys,
-        hot_rows,
-    )
+    hot = find_hot_keys(list(sides.values()), keys, hot_rows)
 
     def shape(joined: DataFrame) -> DataFrame:
         if join_type == "outer":
@@ -480,28 +471,21 @@ def _merge_by_key(
 def _merge_by_buckets(
     hot: HotKeys, sides: dict[str, DataFrame], keys: list[str], far: Column, hows: dict[str, str]
 ) -> DataFrame:
-    pieces = _sliced_pieces(_all_points(sides, keys), keys, hot).select(*keys, "__from", "__to")
-    joined = pieces
-    on = [*keys, "__from"]
-    for tag, how in hows.items():
-        # A piece lies inside a row or outside it, so its start decides.
-        pairs = range_join(
-            pieces.select(*on),
-            hot.hot(sides[tag]).select(*sides[tag].columns),
-            keys,
-            "__from",
-            f"__{tag}_start",
+    points = _all_points(sides, keys)
+    cuts = _bound_cuts(points, hot)
+    pieces = _cell_pieces(points, keys, cuts)[0].drop("__cell")
+    # A piece lies inside a row or outside it, so its start decides.
+    others = [
+        (
+            sides[tag].withColumn(f"__{tag}_hit", F.lit(True)),
+            F.col(f"__{tag}_start"),
             F.coalesce(F.col(f"__{tag}_end"), far),
-            hot,
-        )
-        values = [c for c in pairs.columns if c not in on]
-        pairs = pairs.select(
-            *[F.col(k).alias(f"__p_{k}") for k in on], *values, F.lit(True).alias(f"__{tag}_hit")
+            False,
+            how,
         )
-        joined = joined.join(pairs, key_condition(joined, pairs, on, "__p_"), how).drop(
-            *[f"__p_{k}" for k in on]
-        )
-    return joined
+        for tag, how in hows.items()
+    ]
+    return stab_join(pieces, "__from", others, keys, cuts)
 
 
 def _merge_by_sweep(
@@ -572,8 +556,9 @@ def _merge_by_sweep(
     if not hot.found:
         return merged
 
-    sliced = hot.hot(both)
-    sliced = sliced.withColumn("__slice", hot.slice_of(position(sliced, "__at"), nulls_first=False))
+    place = place_of(both, "__at")
+    cuts = hot.cuts(both, F.col("__at"), place=place)
+    sliced = cuts.on(both).withColumn("__slice", cuts.slice_of(F.col("__at"), place=place))
     sliced = sliced.select(*both.columns, "__slice")
     newest = [
         F.max_by(f"__{t}_row", F.when(F.col(f"__{t}_row").isNotNull(), F.col("__at"))).alias(t)
@@ -657,7 +642,7 @@ def get_overlap_detail(
     Adds ``overlap_start`` and ``overlap_end``. Open ends are compared as
     ``detail_end`` here.
     """
-    hot = find_hot_keys([timeline(df, keys, start, end)], keys, hot_rows)
+    hot = find_hot_keys([df], keys, hot_rows)
     flagged = sequentialize_table(
         df,
         keys,
@@ -687,30 +672,22 @@ def get_overlap_detail(
     if not hot.found:
         return regular
     far = far_future_for(df, end, far_future)
-    pieces = hot.hot(overlaps).select(*overlaps.columns)
-    rows = hot.hot(df).select(*df.columns)
     proper = F.coalesce(F.col(start) < F.coalesce(F.col(end), far), F.lit(False))
+    points = _bounds(df.filter(proper), keys, start, end).filter(F.col("__at").isNotNull())
+    cuts = _bound_cuts(points, hot)
+    last = F.coalesce(F.col(end), detail)
     # Pieces were cut at the bounds of proper rows, so a piece's start decides.
-    inside = range_join(
-        pieces,
-        rows.filter(proper),
-        keys,
-        "overlap_start",
-        start,
-        F.coalesce(F.col(end), detail),
-        hot,
-    )
+    rows = df.filter(proper)
+    inside = stab_join(overlaps, "overlap_start", [(rows, F.col(start), last, False, "inner")], keys, cuts)
     # Rows that cut nothing (empty or inverted) are compared bound by bound.
-    across = all_overlaps(
-        pieces,
-        rows.filter(~proper),
-        keys,
-        "overlap_start",
-        F.coalesce(F.col("overlap_end"), detail),
-        start,
-        F.coalesce(F.col(end), detail),
-        hot,
-        left_is_proper=True,
+    rows = df.filter(~proper).withColumn("__last", last)
+    period = (overlaps, F.col("overlap_start"), F.coalesce(F.col("overlap_end"), detail), False, "inner")
+    across = stab_join(rows.filter(F.col(start).isNotNull()), start, [period], keys, cuts).filter(
+        F.col("overlap_start") < F.col("__last")
     )
-    sliced = inside.select(*out).unionByName(across.select(*out))
+    # One of them may still be longer than nothing where open ends count as later here.
+    longer = stab_join(
+        overlaps, "overlap_start", [(rows, F.col(start), F.col("__last"), True, "inner")], keys, cuts
+    ).filter(F.coalesce(F.col("overlap_end"), detail) > F.col(start))
+    sliced = reduce(DataFrame.unionByName, [part.select(*out) for part in (inside, across, longer)])
     return both_paths(regular, sliced)
