@@ -100,6 +100,24 @@ def sequentialize_skewed(spark, sf_dir):
     )
 
 
+_SENTINEL_SQL = f"""{PERIODS_SQL}, closed AS (
+  SELECT o_orderstatus, o_orderkey, o_custkey, valid_from,
+         coalesce(valid_to, TIMESTAMP '9999-12-31') AS valid_to FROM periods)"""
+
+
+@QUERIES.query(f"""WITH {_SENTINEL_SQL}, {sequence_sql(
+    "seq", "closed", "o_orderstatus", START, END, "o_orderkey", ["o_orderkey", "o_custkey"])}
+SELECT o_orderstatus, a AS valid_from, b AS valid_to, o_orderkey, o_custkey,
+       n > 1 AS is_overlapping FROM seq""")
+def sequentialize_sentinel_end(spark, sf_dir):
+    """Open ends written as a date far away: the timeline is cut where the rows are, not by its width."""
+    closed = F.coalesce(END, F.lit("9999-12-31").cast("timestamp_ntz"))
+    return sequentialize_table(
+        _by_status(spark, sf_dir).withColumn(END, closed), ["o_orderstatus"], START, END,
+        ["o_orderkey"], flag_overlaps_column="is_overlapping", hot_rows=1000,
+    )
+
+
 _FILTERED = PERIODS_SQL.replace("FROM orders", "FROM orders WHERE o_orderstatus <> 'P'")
 
 
@@ -246,6 +264,19 @@ def merge_overlapping_sliced(spark, sf_dir):
     return _merge_raw(spark, sf_dir, hot_rows=60)
 
 
+@QUERIES.query(f"""{_MERGE} SELECT {_BOTH} FROM merged WHERE (in_left OR in_right)
+AND interval_start > (SELECT max(o_orderdate) FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01')""")
+def merge_incremental(spark, sf_dir):
+    """The pieces that a table which ends in 1996 does not have yet."""
+    held = load(spark, sf_dir, "orders").filter(
+        F.col("o_orderdate") < F.lit("1997-01-01").cast("timestamp_ntz")
+    )
+    return _merge(
+        spark, sf_dir, join_type="outer", sequential=True,
+        incremental=(held, ["interval_start"], "o_orderdate"),
+    )
+
+
 # ------------------------------------------------------------ flatten
 
 
@@ -375,18 +406,57 @@ def interval_join_n_sliced(spark, sf_dir):
     return _join_n(spark, sf_dir, hot_rows=50)
 
 
-@QUERIES.query(f"""WITH {PERIODS_SQL}, {SHIPMENTS_SQL}
+@QUERIES.query(f"""WITH {PERIODS_SQL}, {SHIPMENTS_SQL}, a AS (
+  SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN epoch_ns(valid_from) END AS from_ns,
+         epoch_ns(valid_to) AS to_ns FROM periods),
+b AS (
+  SELECT o_custkey, shipment, epoch_ns(ship_from) AS ship_from_ns,
+         CASE WHEN part % 2 = 0 THEN epoch_ns(ship_to) END AS ship_to_ns FROM shipments)
+SELECT a.o_custkey, o_orderkey, from_ns, to_ns, shipment, ship_from_ns, ship_to_ns,
+       greatest(from_ns, ship_from_ns) AS interval_start, least(to_ns, ship_to_ns) AS interval_end
+FROM a JOIN b ON a.o_custkey = b.o_custkey
+WHERE greatest(from_ns, ship_from_ns) < least(to_ns, ship_to_ns)""")
+def interval_join_nanoseconds(spark, sf_dir):
+    """Bounds as epoch nanoseconds, beyond 2^60, many of them open; busier customers on the hot path."""
+    nanos = lambda c: F.unix_micros(F.col(c).cast("timestamp")) * 1000
+    left = periods(spark, sf_dir).select(
+        KEY, "o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, nanos(START)).alias("from_ns"),
+        nanos(END).alias("to_ns"),
+    )
+    right = shipments(spark, sf_dir).select(
+        KEY, "shipment", nanos("ship_from").alias("ship_from_ns"),
+        F.when(F.col("part") % 2 == 0, nanos("ship_to")).alias("ship_to_ns"),
+    )
+    return common_interval_join(
+        [(left, "from_ns", "to_ns"), (right, "ship_from_ns", "ship_to_ns")], [KEY], hot_rows=50
+    )
+
+
+_OVERLAP_LEFT = f"""WITH {PERIODS_SQL}, {SHIPMENTS_SQL}
 SELECT p.o_custkey, p.o_orderkey, p.valid_from, p.valid_to, s.shipment, s.ship_from, s.ship_to
 FROM periods p LEFT JOIN shipments s ON p.o_custkey = s.o_custkey
- AND p.valid_from < coalesce(s.ship_to, {FAR}) AND s.ship_from < coalesce(p.valid_to, {FAR})""")
-def overlap_join_left(spark, sf_dir):
+ AND p.valid_from < coalesce(s.ship_to, {FAR}) AND s.ship_from < coalesce(p.valid_to, {FAR})"""
+
+
+def _overlap_left(spark, sf_dir, **options):
     return interval_overlap_join(
         periods(spark, sf_dir).select(KEY, "o_orderkey", START, END),
         shipments(spark, sf_dir).drop("o_orderstatus", "part"),
-        [KEY], START, END, "ship_from", "ship_to", "left",
+        [KEY], START, END, "ship_from", "ship_to", "left", **options,
     )
 
 
+@QUERIES.query(_OVERLAP_LEFT)
+def overlap_join_left(spark, sf_dir):
+    return _overlap_left(spark, sf_dir)
+
+
+@QUERIES.query(_OVERLAP_LEFT)
+def overlap_join_left_sliced(spark, sf_dir):
+    """Same rows with the busier customers found by their later start."""
+    return _overlap_left(spark, sf_dir, hot_rows=50)
+
+
 _POINT = f"""WITH {PERIODS_SQL}, {SHIPMENTS_SQL}
 SELECT s.o_custkey, s.shipment, s.ship_from, p.o_orderkey, p.valid_from, p.valid_to
 FROM shipments s LEFT JOIN periods p ON p.o_custkey = s.o_custkey
@@ -455,6 +525,16 @@ def nth_item_hot_keys(spark, sf_dir):
     return numbered.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "nth_item")
 
 
+@QUERIES.query("""SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, row_number() OVER
+ (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS nth_item FROM lineitem""")
+def nth_item_tied(spark, sf_dir):
+    """All items on one day: slices are cut by the columns behind it."""
+    items = load(spark, sf_dir, "lineitem").withColumn("day", F.lit("2024-01-01").cast("date"))
+    order = ["day", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    numbered = running_ordinal(items, ["l_returnflag"], order, "nth_item", hot_rows=2000)
+    return numbered.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "nth_item")
+
+
 @QUERIES.query("""SELECT o_orderpriority, o_orderkey, row_number() OVER
  (PARTITION BY o_orderpriority ORDER BY strftime(o_orderdate, '%Y-%m-%d'), o_orderkey) AS nth FROM orders""")
 def nth_order_by_text(spark, sf_dir):

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from registered.common import Registry, load
 from spanmart.operators.dedupe import keep_latest
 from spanmart.operators.metrics import enrich_run_results, metric, metric_query, time_dimension, top_n
+from spanmart.operators.quality import contract_failures
 from spanmart.plans import runs, shop, usage
 
 QUERIES = Registry()
@@ -594,3 +596,53 @@ def latest_artifacts(spark, sf_dir):
         "value",
     )
     return runs.latest_artifacts({"models": models})["models"]
+
+
+_ARTIFACT_SQL = " UNION ALL ".join(
+    f"""SELECT '{name}' AS artifact, CAST(user_id AS VARCHAR) AS unique_id, ts,
+ {"event_type" if k % 2 else "CAST(NULL AS VARCHAR)"} AS name, {"value" if k % 3 else "CAST(NULL AS DOUBLE)"} AS value
+ FROM events WHERE event_id % 8 = {k}"""
+    for k, name in enumerate(runs.LATEST_ARTIFACTS)
+)
+
+
+@QUERIES.query(f"""SELECT artifact, unique_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS generated_at, name, value FROM (
+ SELECT *, row_number() OVER (PARTITION BY artifact, unique_id ORDER BY ts DESC) AS n FROM ({_ARTIFACT_SQL})) WHERE n = 1""")
+def latest_artifacts_all(spark, sf_dir):
+    """All eight artifact tables in one pass; they have different columns."""
+    events = load(spark, sf_dir, "events")
+    tables = {}
+    for k, name in enumerate(runs.LATEST_ARTIFACTS):
+        columns = [
+            F.col("user_id").cast("string").alias("unique_id"),
+            F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("generated_at"),
+            *([F.col("event_type").alias("name")] if k % 2 else []),
+            *(["value"] if k % 3 else []),
+        ]
+        tables[name] = events.filter(F.col("event_id") % 8 == k).select(*columns)
+    return runs.all_latest_artifacts(tables)
+
+
+@QUERIES.query("""SELECT * FROM (VALUES
+ ('o_note', 'missing', 'string', NULL, NULL), ('o_totalprice', 'type', 'decimal(12,2)', 'double', NULL),
+ ('o_orderpriority', 'unexpected', NULL, 'string', NULL))
+ t(column_name, problem, expected_type, actual_type, n_rows)
+UNION ALL
+SELECT 'o_custkey', 'null', 'bigint', 'bigint', count(*) FROM orders WHERE o_orderkey % 7 = 0 HAVING count(*) > 0""")
+def contract(spark, sf_dir):
+    """Where orders break their contract, in shape and in rows."""
+    orders = load(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("o_custkey"),
+        "o_totalprice",
+        "o_orderpriority",
+    )
+    agreed = T.StructType(
+        [
+            T.StructField("o_orderkey", T.LongType(), False),
+            T.StructField("o_custkey", T.LongType(), False),
+            T.StructField("o_totalprice", T.DecimalType(12, 2)),
+            T.StructField("o_note", T.StringType()),
+        ]
+    )
+    return contract_failures(orders, agreed)

@@ -615,11 +615,26 @@ def newer_than(
 
     An empty target lets all rows through.
     """
-    if not marks:
-        raise ValueError("newer_than needs at least one timestamp column")
     newest = target.agg(F.max(merged_mark)).scalar()
-    fresh = reduce(lambda a, b: a | b, (F.col(m) > newest for m in marks))
-    return df.filter(newest.isNull() | fresh)
+    return df.filter(newest.isNull() | _after(marks, newest))
+
+
+def newest_mark(target: DataFrame, mark: str) -> Column | None:
+    """The newest mark of a stored table as a constant; None for an empty table."""
+    kind = target.schema[mark].dataType
+    newest = target.agg(F.max(mark).cast("string")).first()[0]
+    return None if newest is None else F.lit(newest).cast(kind)
+
+
+def newer_than_value(df: DataFrame, marks: list[str], newest: Column | None) -> DataFrame:
+    """Rows where some timestamp in ``marks`` lies after a known mark; all rows without one."""
+    return df if newest is None else df.filter(_after(marks, newest))
+
+
+def _after(marks: list[str], newest: Column) -> Column:
+    if not marks:
+        raise ValueError("an incremental run needs at least one timestamp column")
+    return reduce(lambda a, b: a | b, (F.col(m) > newest for m in marks))
 
 
 # --------------------------------------------------------------------------

@@ -59,6 +59,33 @@ def check_contract(df: DataFrame, contract: T.StructType) -> DataFrame:
     )
 
 
+def contract_failures(df: DataFrame, contract: T.StructType) -> DataFrame:
+    """Differences from the contract, and how many rows lack a value it requires.
+
+    A field of the contract that is not nullable must have a value in every row; all of them are counted in
+    one pass. ``n_rows`` is NULL for differences of the schema.
+    """
+    shape = check_contract(df, contract).withColumn("n_rows", F.lit(None).cast("long"))
+    needed = [f for f in contract.fields if not f.nullable and f.name in df.columns]
+    if not needed:
+        return shape
+    counts = df.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(f.name).alias("column_name"),
+                    F.lit("null").alias("problem"),
+                    F.lit(f.dataType.simpleString()).alias("expected_type"),
+                    F.lit(df.schema[f.name].dataType.simpleString()).alias("actual_type"),
+                    F.count_if(F.col(f.name).isNull()).alias("n_rows"),
+                )
+                for f in needed
+            ]
+        ).alias("found")
+    )
+    return shape.unionByName(counts.select(F.inline("found")).filter(F.col("n_rows") > 0))
+
+
 def source_freshness(df: DataFrame, loaded_at: str, source: str | None = None) -> DataFrame:
     """Newest load time of a source."""
     newest = df.agg(F.max(loaded_at).alias("max_loaded_at"))

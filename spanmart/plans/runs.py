@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanmart.functions.dates import duration_seconds, run_id_timestamp
@@ -17,6 +19,7 @@ from spanmart.operators.metrics import (
     metric_query,
     time_dimension,
 )
+from spanmart.sources.sinks import Published, republish
 
 # Fixed values.
 LATEST_ARTIFACTS = (
@@ -62,6 +65,31 @@ def latest_artifacts(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return {name: keep_latest(df) for name, df in tables.items()}
 
 
+def all_latest_artifacts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Newest row per artifact table and ``unique_id``, all tables in one pass.
+
+    Columns are aligned by name and are NULL where a table lacks them; ``artifact`` names the table.
+    """
+    if not tables:
+        raise ValueError("all_latest_artifacts needs at least one table")
+    unknown = set(tables) - set(LATEST_ARTIFACTS)
+    if unknown:
+        raise ValueError(f"not artifact tables: {sorted(unknown)}")
+    tagged = [tables[n].withColumn("artifact", F.lit(n)) for n in LATEST_ARTIFACTS if n in tables]
+    every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    return keep_latest(every, ["artifact", "unique_id"])
+
+
+def republish_history(
+    spark: SparkSession, tables: dict[str, DataFrame], schema: str | None, **options
+) -> list[Published]:
+    """Publish the run-history tables for consumers; all of ``REPUBLISHED`` are needed, in that order."""
+    missing, unknown = set(REPUBLISHED) - set(tables), set(tables) - set(REPUBLISHED)
+    if missing or unknown:
+        raise ValueError(f"missing tables: {sorted(missing)}; not run history: {sorted(unknown)}")
+    return republish(spark, {name: tables[name] for name in REPUBLISHED}, schema, **options)
+
+
 def invocations(raw: DataFrame) -> DataFrame:
     """Invocations with their variables as a map, the run id and the run's timestamp."""
     others = star_except(raw, ["invocation_vars"]).columns

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanmart.operators.intervals import newer_than
+from spanmart.operators.intervals import newer_than_value, newest_mark
 
 
 def _exists(spark: SparkSession, name: str) -> bool:
@@ -16,8 +17,30 @@ def _exists(spark: SparkSession, name: str) -> bool:
 
 
 def write_table(df: DataFrame, name: str, fmt: str = "parquet") -> None:
-    """Create the table or replace its contents."""
-    df.write.mode("overwrite").option("overwriteSchema", True).format(fmt).saveAsTable(name)
+    """Create the table or replace it, as one step for its readers.
+
+    Rows are written to a table beside the target, which takes the target's name when it is whole. A job
+    may so read the table it replaces, and one that fails in the middle leaves the old rows.
+    """
+    spark = df.sparkSession
+    mark = uuid.uuid4().hex[:12]
+    staged, old = f"{name}__new_{mark}", f"{name}__old_{mark}"
+    try:
+        df.write.format(fmt).saveAsTable(staged)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        raise
+    if not _exists(spark, name):
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+        return
+    spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    try:
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    except BaseException:
+        spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+        raise
+    spark.sql(f"DROP TABLE {old}")
 
 
 def write_view(df: DataFrame, name: str) -> None:
@@ -48,14 +71,15 @@ def append_incremental(
     of the target. An absent or empty target takes all rows. With ``keys``, rows
     whose keys the target holds already are left out, so a job can be repeated
     after a failure. Without them a repeated run adds nothing only if no mark
-    lies after the row's own ``merged_mark``. A full refresh must not read the target.
+    lies after the row's own ``merged_mark``. A full refresh may read the target. The newest mark is read
+    first and becomes a value in the plan, so that the scan of the new rows skips what lies before it.
     """
     verify_full_refresh(full_refresh, allow_full_refresh, prod)
     spark = new.sparkSession
     if full_refresh or not _exists(spark, target):
         write_table(new, target, fmt)
         return spark.table(target)
-    fresh = newer_than(new, spark.table(target), marks, merged_mark)
+    fresh = newer_than_value(new, marks, newest_mark(spark.table(target), merged_mark))
     if keys:
         held = spark.table(target).select(*[F.col(k).alias(f"__t_{k}") for k in keys])
         same = reduce(lambda a, b: a & b, (fresh[k].eqNullSafe(held[f"__t_{k}"]) for k in keys))

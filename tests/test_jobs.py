@@ -1,6 +1,6 @@
 """Sources, sinks and complete jobs on known rows."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
@@ -289,3 +289,53 @@ def test_latest_artifacts(spark):
     assert all(rows_of(x, "n") == [(2,)] for x in latest.values())
     with pytest.raises(ValueError):
         runs.latest_artifacts({"other": df})
+
+
+def test_a_table_may_be_replaced_by_a_query_over_itself(spark):
+    sinks.write_table(spark.range(5).toDF("id"), "swapped")
+    sinks.write_table(spark.table("swapped").selectExpr("id * 2 AS id", "'x' AS v"), "swapped")
+    assert rows_of(spark.table("swapped")) == [(0, "x"), (2, "x"), (4, "x"), (6, "x"), (8, "x")]
+
+
+def test_a_failed_rebuild_leaves_the_old_rows(spark):
+    sinks.write_table(spark.range(3).toDF("id"), "steady")
+    broken = spark.range(40).select(F.when(F.col("id") > 30, F.raise_error(F.lit("no"))).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        sinks.write_table(broken, "steady")
+    assert rows_of(spark.table("steady")) == [(0,), (1,), (2,)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("steady__")]
+
+
+def test_the_mark_reaches_the_scan_and_a_second_run_adds_nothing(spark, tmp_path):
+    from spanmart.operators.intervals import newer_than_value, newest_mark
+
+    rows = [(n, datetime(2024, 1, 1) + timedelta(hours=n, microseconds=n)) for n in range(50)]
+    spark.createDataFrame(rows, "id int, at timestamp").write.parquet(str(tmp_path / "new"))
+    new = spark.read.parquet(str(tmp_path / "new"))
+    sinks.write_table(new.filter("id < 20"), "marked")
+    for _ in range(2):
+        done = sinks.append_incremental(new, "marked", ["at"], "at")
+        assert rows_of(done, "id") == [(n,) for n in range(50)]
+    held = new.filter("id < 20")
+    fresh = newer_than_value(new, ["at"], newest_mark(held, "at"))
+    assert "GreaterThan(at,2024-01-01" in fresh._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(fresh, "id") == [(n,) for n in range(20, 50)]
+
+
+def test_history_is_republished_whole(spark):
+    df = spark.createDataFrame([(1,)], "id int")
+    with pytest.raises(ValueError, match="missing"):
+        runs.republish_history(spark, {"metadata": df}, None)
+    done = runs.republish_history(spark, dict.fromkeys(runs.REPUBLISHED, df), "history", default_schema="history")
+    assert [d.name.split(".")[1] for d in done] == [f"share_{n}" for n in runs.REPUBLISHED]
+
+
+def test_artifact_tables_in_one_pass(spark):
+    a = spark.createDataFrame([("x", "2024-01-01", 1), ("x", "2024-01-02", 2)], "unique_id string, generated_at string, n int")
+    b = spark.createDataFrame([("x", "2024-01-03", "v")], "unique_id string, generated_at string, s string")
+    found = runs.all_latest_artifacts({"tests": b, "models": a})
+    assert rows_of(found, "artifact", "unique_id", "generated_at", "n", "s") == [
+        ("models", "x", "2024-01-02", 2, None), ("tests", "x", "2024-01-03", None, "v"),
+    ]
+    with pytest.raises(ValueError, match="not artifact"):
+        runs.all_latest_artifacts({"nope": a})
