@@ -191,9 +191,11 @@ def _timelines(spark, sf_dir, hot):
 
 
 def _merge(spark, sf_dir, hot_rows=PAIR_ROWS, **options):
-    sources = [periods(spark, sf_dir), shipments(spark, sf_dir)]
+    left, right = periods(spark, sf_dir), shipments(spark, sf_dir)
     # Counted once, on the sources, for all three operators.
-    hot = find_hot_keys(sources, [KEY], hot_rows)
+    hot = find_hot_keys([left, right], [KEY], hot_rows).with_bounds(
+        (left, START, END), (right, "ship_from", "ship_to")
+    )
     options["hot_rows"] = hot
     left, right = _timelines(spark, sf_dir, hot)
     return merge_sequential_intervals(

@@ -121,7 +121,7 @@ def _flatten_sliced(
         .groupBy(*dict.fromkeys([*group, *compare, start, end]), "__cut")
         .agg(F.count(F.lit(1)).alias("__copies"))
     )
-    rows = distinct.select(*df.columns, cuts.slice_of(*order, place=place).alias("__slice"))
+    rows = cuts.placed(distinct, "__slice", *order, place=place).select(*df.columns, "__slice")
     in_slice = [*group, "__slice"]
     window = Window.partitionBy(*in_slice).orderBy(start, end, *compare)
     numbered = (

@@ -37,6 +37,8 @@ MAX_CUTS = 1 << 14
 SAMPLED = 24
 # Buckets per cut, so that a bucket has few cuts.
 BUCKETS = 4
+# Bins per slice, where the work wants small cells.
+BINS = 16
 
 
 def position(df: DataFrame, col: str) -> Column:
@@ -125,45 +127,55 @@ class Cuts:
         return (self.most + 1) * self.bins
 
     def on(self, df: DataFrame) -> DataFrame:
-        """Rows of hot keys, ready for ``slice_of``; the column ``__cut`` is added."""
+        """Rows of hot keys, ready for ``placed``; the column ``__cut`` is added."""
         small = F.broadcast(self.table)
         joined = df.join(small, same_keys(df, small, self.keys, "__k_"))
         return joined.drop(*[f"__k_{k}" for k in self.keys])
 
-    def slice_of(self, *order: Column, place: Column | None = None) -> Column:
-        """Slice of a row by the columns the cuts were made on, 0 first; NULLs come first.
+    def placed(self, df: DataFrame, name: str, *order: Column, place: Column | None = None) -> DataFrame:
+        """Add the slice of rows from ``on``, by the columns the cuts were made on; 0 is the first, NULLs come first.
 
         ``place`` is the first column's position, if the cuts were made with one.
         """
         cut = F.col("__cut")
         row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])
+        # What is used more than once is a column of its own, so that the plan stays small.
         if place is None or not self.bucketed:
-            base, many = F.lit(0), cut["n"]
+            df = df.withColumns({"__base": F.lit(0), "__many": cut["n"]})
         else:
             bucket = cut["lut"] + _bucket(place, cut["lo"], cut["hi"], cut["width"])
-            base, many = F.get(self.before, bucket), F.get(self.inside, bucket)
-        first = cut["at"] + base - 1
+            df = df.withColumn("__bucket", bucket).withColumns(
+                {"__base": F.get(self.before, F.col("__bucket")), "__many": F.get(self.inside, F.col("__bucket"))}
+            )
+        base, many = F.col("__base"), F.col("__many")
         found = F.aggregate(
             F.get(_constant(_STEPS, "array<array<int>>"), _bits(many)),
             F.lit(0),
             lambda at, step: F.when(
-                (at + step <= many) & (F.get(self.whole, first + at + step) <= row), at + step
+                (at + step <= many) & (F.get(self.whole, cut["at"] + base - 1 + at + step) <= row), at + step
             ).otherwise(at),
         )
-        return F.coalesce(base + F.when(many > 0, found).otherwise(0), F.lit(0))
+        at = F.coalesce(base + F.when(many > 0, found).otherwise(0), F.lit(0))
+        return df.withColumn(name, at).drop("__bucket", "__base", "__many")
 
-    def cell_of(self, value: Column, place: Column | None) -> Column:
-        """Slice and bin in one number, growing with ``value``; ``place`` is its position."""
-        at = self.slice_of(value, place=place)
+    def celled(self, df: DataFrame, name: str, value: Column, place: Column | None) -> DataFrame:
+        """Add slice and bin in one number, growing with ``value``; ``place`` is its position."""
+        at, cut = F.col("__at_slice"), F.col("__cut")
+        df = self.placed(df, "__at_slice", value, place=place)
         if self.bins == 1 or place is None:
-            return at.cast("long")
-        cut = F.col("__cut")
+            return df.withColumn(name, at.cast("long")).drop("__at_slice")
         inside = (at > 0) & (at < cut["n"])
-        lower = F.when(inside, F.get(self.edges, cut["at"] + at - 1)).cast("double")
-        upper = F.when(inside, F.get(self.edges, cut["at"] + at)).cast("double")
+        df = df.withColumns(
+            {
+                "__lower": F.when(inside, F.get(self.edges, cut["at"] + at - 1)).cast("double"),
+                "__upper": F.when(inside, F.get(self.edges, cut["at"] + at)).cast("double"),
+            }
+        )
+        lower, upper = F.col("__lower"), F.col("__upper")
         share = (place.cast("double") - lower) / F.when(upper > lower, upper - lower)
         inner = F.least(F.greatest(F.floor(share * self.bins), F.lit(0)), F.lit(self.bins - 1))
-        return at.cast("long") * self.bins + F.coalesce(inner, F.lit(0)).cast("long")
+        cell = at.cast("long") * self.bins + F.coalesce(inner, F.lit(0)).cast("long")
+        return df.withColumn(name, cell).drop("__at_slice", "__lower", "__upper")
 
     def last_cell(self) -> Column:
         return ((F.col("__cut.n") + 1) * self.bins - 1).cast("long")
@@ -181,6 +193,16 @@ class HotKeys:
     hot_rows: int = 0
     listed: DataFrame | None = None
     total: int = 0
+    bounds: DataFrame | None = None
+
+    def with_bounds(self, *tables: tuple[DataFrame, str, str]) -> HotKeys:
+        """Sample cuts of time from these (table, start, end) in place of what is derived from them.
+
+        Spares running a derivation for its sample; how even slices are is all that depends on it.
+        """
+        at = lambda df, s, e: df.select(*self.keys, F.explode(F.array(s, e)).alias("__at"))
+        every = reduce(DataFrame.unionByName, (at(*t) for t in tables))
+        return replace(self, bounds=every.filter(F.col("__at").isNotNull()))
 
     @property
     def found(self) -> bool:
@@ -204,15 +226,17 @@ class HotKeys:
         *order: Column,
         rows: int | None = None,
         place: Column | None = None,
+        bins: int = 1,
         max_cuts: int = MAX_CUTS,
     ) -> Cuts:
         """Cut the hot keys at quantiles of ``order`` over the rows of ``df``, about ``rows`` rows to a slice.
 
-        One job over a sample of hot rows, a fixed number per cut. Beyond ``max_cuts`` slices grow; with a
-        ``place`` they are then divided into bins.
+        One job over a sample of hot rows, a fixed number per cut. Slices of ``bins`` times as many rows are
+        divided into bins, where there is a ``place``, which keeps the cuts few. Beyond ``max_cuts`` slices
+        grow, and their bins become more.
         """
         rows = rows or max(1, self.hot_rows // SLICE_FACTOR)
-        per_slice = max(rows, -(-self.total // max_cuts))
+        per_slice = max(rows if place is None else rows * bins, -(-self.total // max_cuts))
         kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(self.keys)]
         kept += [c.alias(f"c{i}") for i, c in enumerate(order)]
         names = [f"k{i}" for i in range(len(self.keys))]

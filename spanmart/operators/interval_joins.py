@@ -24,7 +24,7 @@ from spanmart.functions.predicates import (
     merged_interval_above,
     merged_interval_below,
 )
-from spanmart.operators.hotkeys import Cuts, HotKeys, both_paths, find_hot_keys, place_of
+from spanmart.operators.hotkeys import BINS, Cuts, HotKeys, both_paths, find_hot_keys, place_of
 from spanmart.operators.ordinals import WINDOW_ROWS, running_ordinal
 
 # Up to this many rows, comparing a key's rows pairwise beats the extra shuffles
@@ -57,23 +57,21 @@ def stab_join(
     # Buckets and bins need one number line.
     if any(df.schema[c].dataType != kind for df, *_ in others for c in ("__start", "__end")):
         cuts = cuts.by_value()
-    joined = cuts.on(points).withColumn("__cell", cuts.cell_of(F.col(point), place_of(points, point)))
-    joined = joined.drop("__cut")
+    joined = cuts.celled(cuts.on(points), "__cell", F.col(point), place_of(points, point)).drop("__cut")
     for df, strict, how in others:
         values = [c for c in df.columns if c not in {*keys, "__start", "__end"}]
         filed = cuts.on(df).filter(F.coalesce(F.col("__start") < F.col("__end"), F.lit(True)))
-        first = F.when(F.col("__start").isNull(), F.lit(0)).otherwise(
-            cuts.cell_of(F.col("__start"), place_of(filed, "__start"))
-        )
-        last = F.when(F.col("__end").isNull(), cuts.last_cell()).otherwise(
-            cuts.cell_of(F.col("__end"), place_of(filed, "__end"))
-        )
+        for bound, cell in (("__start", "__first"), ("__end", "__last")):
+            filed = cuts.celled(filed, cell, F.col(bound), place_of(filed, bound))
+        first = F.when(F.col("__start").isNull(), F.lit(0)).otherwise(F.col("__first"))
+        last = F.when(F.col("__end").isNull(), cuts.last_cell()).otherwise(F.col("__last"))
         filed = filed.select(
             *[F.col(k).alias(f"__i_{k}") for k in keys],
             *values,
             "__start",
             "__end",
-            F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("__i_cell"),
+            # Never empty; an outer explode infers no filter, which would evaluate the cells again below.
+            F.explode_outer(F.sequence(first.cast("long"), last.cast("long"))).alias("__i_cell"),
         )
         begun = F.col("__start") < F.col(point) if strict else F.col("__start") <= F.col(point)
         meets = (
@@ -90,7 +88,7 @@ def stab_join(
 def start_cuts(hot: HotKeys, df: DataFrame, start: str, rows: int | None = None) -> Cuts:
     """Cells of even numbers of starts."""
     known = df.filter(F.col(start).isNotNull())
-    return hot.cuts(known, F.col(start), rows=rows, place=place_of(df, start))
+    return hot.cuts(known, F.col(start), rows=rows, place=place_of(df, start), bins=BINS)
 
 
 def _check_names(left: DataFrame, right: DataFrame, keys: list[str]) -> None:
@@ -129,7 +127,7 @@ def _unmatched(
         asked.withColumns({"__asks": F.lit(True), "__reach": F.lit(None)})
     )
     cuts = start_cuts(hot, right, r_start).by_value()
-    events = cuts.on(both).withColumn("__slice", cuts.slice_of(F.col("__at"))).drop("__cut")
+    events = cuts.placed(cuts.on(both), "__slice", F.col("__at")).drop("__cut")
     # At one instant the question comes first: a partner starts strictly before the end.
     in_slice = Window.partitionBy(*keys, "__slice").orderBy("__at", F.col("__asks").desc())
     walked = events.withColumn("__seen", F.max("__reach").over(in_slice))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanmart.functions.predicates import all_not_null, any_not_null, far_future_for
-from spanmart.operators.hotkeys import Cuts, HotKeys, both_paths, find_hot_keys, place_of
+from spanmart.operators.hotkeys import BINS, Cuts, HotKeys, both_paths, find_hot_keys, place_of
 from spanmart.operators.interval_joins import PAIR_ROWS, key_condition, stab_join
 
 # "Beyond any date" for overlap detail, a fixed value.
@@ -64,7 +64,15 @@ def _pieces(points: DataFrame, keys: list[str]) -> DataFrame:
 def _bound_cuts(points: DataFrame, hot: HotKeys, max_cuts: int | None = None) -> Cuts:
     """Cells of even numbers of bounds."""
     more = {} if max_cuts is None else {"max_cuts": max_cuts}
-    return hot.cuts(points, F.col("__at"), rows=CELL_ROWS, place=place_of(points, "__at"), **more)
+    points = _sampled_bounds(points, hot)
+    place = place_of(points, "__at")
+    return hot.cuts(points, F.col("__at"), rows=CELL_ROWS, place=place, bins=BINS, **more)
+
+
+def _sampled_bounds(points: DataFrame, hot: HotKeys) -> DataFrame:
+    """The bounds to cut by: those of the sources, if they are known and of the same type."""
+    known = hot.bounds is not None and hot.bounds.schema["__at"].dataType == points.schema["__at"].dataType
+    return hot.bounds if known else points
 
 
 def _cell_pieces(points: DataFrame, keys: list[str], cuts: Cuts) -> tuple[DataFrame, DataFrame]:
@@ -73,7 +81,7 @@ def _cell_pieces(points: DataFrame, keys: list[str], cuts: Cuts) -> tuple[DataFr
     Bounds (never NULL) are made distinct with a map-side step and paired inside cells; a cell's last bound
     is paired with the first one of the next cell, of which one narrow row per cell is looked at.
     """
-    celled = cuts.on(points).withColumn("__cell", cuts.cell_of(F.col("__at"), place_of(points, "__at")))
+    celled = cuts.celled(cuts.on(points), "__cell", F.col("__at"), place_of(points, "__at"))
     celled = celled.select(*keys, "__cell", "__at")
     on = [*keys, "__cell"]
     firsts = celled.groupBy(*on).agg(F.min("__at").alias("__first"))
@@ -225,35 +233,34 @@ def _pick_by_cell(
     # A row goes to several nodes. Wide rows send only their bounds there, and the
     # values of the winners are fetched once, at the end.
     fetch = bool(choice.values) and _width(rows, "__values") > WIDE_BYTES
-    points = _bounds(rows, keys, "__start", "__end").filter(F.col("__at").isNotNull())
-    cuts = _bound_cuts(points, hot, max_cuts)
+    bounds = lambda df: _bounds(df, keys, "__start", "__end").filter(F.col("__at").isNotNull())
+    cuts = _bound_cuts(bounds(rows), hot, max_cuts)
+    counted = lambda df: df.agg(*choice.aggregates(F.lit(1)) or [F.lit(1).alias("__one")])
+    summed = lambda df: df.agg(*choice.aggregates(F.col("__n")) or [F.lit(1).alias("__one")])
+    # Copies of one interval cover the same pieces: they are combined first, and map-side.
+    spans = counted(hot.hot(rows).groupBy(*keys, "__start", "__end"))
+    points = bounds(spans)
     pieces, cells = _cell_pieces(points, keys, cuts)
 
-    narrow = rows.withColumn("__values", F.struct("__start", "__end")) if fetch else rows
+    narrow = spans.withColumn("__values", F.struct("__start", "__end")) if fetch else spans
     kind = points.schema["__at"].dataType
     timed = narrow.withColumns(
         {"__stop": F.coalesce(F.col("__end"), far), "__s": F.col("__start").cast(kind)}
     ).withColumn("__e", F.col("__stop").cast(kind))
-    filed = cuts.on(timed).withColumns(
-        {
-            "__a": cuts.cell_of(F.col("__s"), place_of(timed, "__s")),
-            "__b": cuts.cell_of(F.col("__e"), place_of(timed, "__e")),
-        }
-    )
+    filed = cuts.on(timed)
+    for bound, cell in (("__s", "__a"), ("__e", "__b")):
+        filed = cuts.celled(filed, cell, F.col(bound), place_of(timed, bound))
     payload = [c for c in ("__n", "__values", "__order") if c == "__n" or c in filed.columns]
     payload = payload if choice.flag else [c for c in payload if c != "__n"]
-    counted = lambda df: df.agg(*choice.aggregates(F.lit(1)) or [F.lit(1).alias("__one")])
-    summed = lambda df: df.agg(*choice.aggregates(F.col("__n")) or [F.lit(1).alias("__one")])
     renamed = [F.col(k).alias(f"__r_{k}") for k in keys]
 
-    # Copies of one interval are combined before any join.
-    local = filed.withColumn("__r_cell", F.explode(F.array_distinct(F.array("__a", "__b"))))
-    local = counted(local.groupBy(*renamed, "__r_cell", "__start", "__stop"))
-    whole = filed.filter(F.col("__b") - F.col("__a") > 1).withColumns(
-        {"__lo": F.col("__a") + 1, "__hi": F.col("__b")}
-    )
-    nodes = counted(
-        whole.withColumn("__node", F.explode(_covering_nodes()))
+    # An outer explode infers no filter, which would evaluate the cells again below.
+    local = filed.withColumn("__r_cell", F.explode_outer(F.array_distinct(F.array("__a", "__b"))))
+    local = local.select(*renamed, "__r_cell", "__start", "__stop", *payload)
+    between = filed.withColumns({"__lo": F.col("__a") + 1, "__hi": F.greatest("__b", F.col("__a") + 1)})
+    nodes = summed(
+        between.withColumn("__node", F.explode_outer(_covering_nodes()))
+        .filter(F.col("__node").isNotNull())
         .withColumns({"__n_level": F.col("__node.level"), "__n_id": F.col("__node.id")})
         .groupBy(*[F.col(k).alias(f"__n_{k}") for k in keys], "__n_level", "__n_id")
     )
@@ -286,8 +293,7 @@ def _pick_by_cell(
     if not fetch:
         return best
     best = best.withColumnRenamed("__values", "__winner")
-    found = counted(hot.hot(rows).groupBy(*[F.col(k).alias(f"__v_{k}") for k in keys], "__start", "__end"))
-    found = found.select(*[f"__v_{k}" for k in keys], "__start", "__end", "__values")
+    found = spans.select(*[F.col(k).alias(f"__v_{k}") for k in keys], "__start", "__end", "__values")
     # No winner where every order is NULL.
     same = (
         key_condition(best, found, keys, "__v_")
@@ -557,8 +563,8 @@ def _merge_by_sweep(
         return merged
 
     place = place_of(both, "__at")
-    cuts = hot.cuts(both, F.col("__at"), place=place)
-    sliced = cuts.on(both).withColumn("__slice", cuts.slice_of(F.col("__at"), place=place))
+    cuts = hot.cuts(_sampled_bounds(both, hot), F.col("__at"), place=place)
+    sliced = cuts.placed(cuts.on(both), "__slice", F.col("__at"), place=place)
     sliced = sliced.select(*both.columns, "__slice")
     newest = [
         F.max_by(f"__{t}_row", F.when(F.col(f"__{t}_row").isNotNull(), F.col("__at"))).alias(t)

@@ -50,8 +50,7 @@ def running_ordinal(
     cuts = hot.cuts(df, *order, place=place)
     # Keys may be NULL: a struct of them is never NULL and compares NULL-safe,
     # so windows and the join below share one partitioning.
-    rows = cuts.on(df)
-    rows = rows.withColumns({"__key": F.struct(*keys), "__slice": cuts.slice_of(*order, place=place)})
+    rows = cuts.placed(cuts.on(df), "__slice", *order, place=place).withColumn("__key", F.struct(*keys))
     counts = rows.groupBy("__key", "__slice").agg(F.count(F.lit(1)).alias("__c"))
     before = Window.partitionBy("__key").orderBy("__slice").rowsBetween(
         Window.unboundedPreceding, -1

@@ -1,6 +1,7 @@
 """Every registered query gives the same rows as its SQL in DuckDB."""
 
 import os
+import sys
 
 import pytest
 from oracle import compare, connect
@@ -12,6 +13,14 @@ FOLDER = "/root/testdata/sf0.001"
 TABLE_QUERIES = {n: q for m in entry.TABLE_MODULES for n, q in m.QUERIES.items()}
 SQL = {n: q.sql for n, q in TABLE_QUERIES.items()}
 
+SHUFFLES = {
+    "sequentialize_hot_keys": 24,
+    "interval_join_n_sliced": 40,
+    "overlap_detail_sliced": 100,
+    "point_in_interval_sliced": 12,
+    "overlap_join_left_sliced": 28,
+}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are not here")
 
 
@@ -72,5 +81,28 @@ def test_sweep_merge_has_no_join_of_its_own(spark):
     assert swept.count("SortMergeJoin") < joined.count("SortMergeJoin")
 
 
+def test_sliced_paths_plan_few_shuffles():
+    """On a table large enough for the hot paths; plans before reuse and adaptive changes."""
+    import subprocess
+
+    # A session of its own: the shared one compiles nothing and has two partitions.
+    code = f"""
+import sys
+sys.path[:0] = [{os.path.dirname(os.path.abspath(entry.__file__))!r}]
+import __spark_entry__ as entry
+from spanmart.session import build_session
+spark = build_session("plans", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "4",
+    "spark.sql.autoBroadcastJoinThreshold": "-1"}})
+for name, most in {SHUFFLES!r}.items():
+    df = entry.queries()[name](spark, "/root/testdata/sf0.01")
+    found = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    print("PLAN", name, found, most, found <= most)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600)
+    lines = [x for x in done.stdout.splitlines() if "PLAN" in x]
+    assert len(lines) == len(SHUFFLES), done.stderr[-2000:]
+    assert all(x.endswith("True") for x in lines), lines
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns[:3] == ["o_custkey", "valid_from", "valid_to"]

@@ -23,7 +23,7 @@ from spanmart.operators.ordinals import running_ordinal, tie_break
 
 
 def sizes(df, cuts, *order, place=None):
-    found = cuts.on(df).groupBy("k", cuts.slice_of(*order, place=place).alias("s")).count()
+    found = cuts.placed(cuts.on(df), "s", *order, place=place).groupBy("k", "s").count()
     return [r["count"] for r in found.collect()]
 
 
@@ -70,9 +70,9 @@ def test_slices_grow_with_the_order_and_nulls_come_first(spark):
     order = [F.col("x"), F.col("y")]
     place = place_of(df, "x")
     cuts = hot.cuts(df, *order, place=place)
-    placed = cuts.on(df).select("k", "x", "y", cuts.slice_of(*order, place=place).alias("s")).collect()
-    by_value = cuts.by_value()
-    assert placed == by_value.on(df).select("k", "x", "y", by_value.slice_of(*order, place=place).alias("s")).collect()
+    slices = lambda c: c.placed(c.on(df), "s", *order, place=place).select("k", "x", "y", "s").collect()
+    placed = slices(cuts)
+    assert placed == slices(cuts.by_value())
     assert len(placed) == 900
     low = lambda v: (v is not None, v if v is not None else 0)
     for key in (1, 2, None):
