@@ -32,6 +32,8 @@ from pyspark.sql import types as T
 MAX_HOT_KEYS = 100_000
 # Slices per hot_rows rows: what a slice holds is then well below what a task can take.
 SLICE_FACTOR = 4
+# Slices of fewer rows cost more than they spread.
+LEAST_SLICE = 64
 # Cuts over all hot keys together, and rows sampled for each of them.
 MAX_CUTS = 1 << 14
 SAMPLED = 24
@@ -235,7 +237,7 @@ class HotKeys:
         divided into bins, where there is a ``place``, which keeps the cuts few. Beyond ``max_cuts`` slices
         grow, and their bins become more.
         """
-        rows = rows or max(1, self.hot_rows // SLICE_FACTOR)
+        rows = rows or max(LEAST_SLICE, self.hot_rows // SLICE_FACTOR)
         per_slice = max(rows if place is None else rows * bins, -(-self.total // max_cuts))
         kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(self.keys)]
         kept += [c.alias(f"c{i}") for i, c in enumerate(order)]

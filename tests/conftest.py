@@ -6,8 +6,12 @@ import pytest
 HERE = os.path.dirname(os.path.abspath(__file__))
 sys.path[:0] = [os.path.dirname(HERE), HERE]
 
+from spanmart.operators import hotkeys  # noqa: E402
 from spanmart.session import build_session  # noqa: E402
 
+# Small tables are to be cut into many slices.
+hotkeys.LEAST_SLICE = 1
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
