@@ -18,11 +18,22 @@ from spanmart.llm.common import cut
 CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string>>>"
 RESULT = "struct<tool_call_id:string,content:string>"
 KINDS = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "array": "ARRAY", "object": "OBJECT"}
-MAX_ROUNDS = 64
+# Where a message without a turn stands: after all others.
+NO_TURN = (1 << 63) - 1
+# Rounds whose placed calls are kept as tables of their own before they are written as one.
+UNITED = 8
 
 Schemas = dict[str, dict[str, dict]]
 
 
+def _at(turn: Column) -> Column:
+    return F.coalesce(turn, F.lit(NO_TURN))
+
+
+def _told(turn: str) -> Column:
+    return F.nullif(F.col(turn), F.lit(NO_TURN)).alias(turn)
+
+
 def calls_of(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, place, call_id, name, arguments) of every call."""
     parsed = F.from_json("text", CALLS)
@@ -41,7 +52,7 @@ def results_of(messages: DataFrame) -> DataFrame:
     found = messages.where((F.col("role") == "tool") & F.col("text").contains("tool_call_id")).select(
         "conv_id", "turn", parsed.alias("r")
     )
-    first = F.min(F.struct(F.col("turn").alias("turn"), F.col("r.content").alias("content"))).alias("first")
+    first = F.min(F.struct(_at(F.col("turn")).alias("turn"), F.col("r.content").alias("content"))).alias("first")
     return (
         found.groupBy("conv_id", F.col("r.tool_call_id").alias("call_id"))
         .agg(first, F.count("*").alias("n_results"))
@@ -84,51 +95,72 @@ def faults(name: Column, arguments: Column, schemas: Schemas) -> Column:
     return F.when(value.isNull() | ~shape.startswith("OBJECT"), F.array(F.lit("arguments are no object"))).otherwise(checks)
 
 
-def _ordered(calls: DataFrame, uses: DataFrame, max_rounds: int) -> DataFrame:
+def _ordered(calls: DataFrame, uses: DataFrame) -> DataFrame:
     """(conv_id, call_id, at_turn, at_place, depth, cyclic): a call stands after all it uses.
 
-    A call keeps its own place unless it uses a later one, then it moves behind that.  Only calls that
-    use later ones, and those that build on them, are moved, round by round; a call
-    that still moves in the second half of the rounds stands in a circle, builds on one, or ends a
-    longer chain of such moves; it is reported as cyclic and keeps its place.
+    A call keeps its own place unless it uses a later one, then it moves behind that.  In each round a
+    use of a placed call is settled, and a use of a call with a single open use is replaced by
+    that one, twice as far away; so chains of any length take a logarithmic number of rounds, and only calls
+    that use several open ones wait for each of them.  No use is ever split in two.  A use that
+    leads back to its call, or over more steps than there are calls, goes round in a circle.  The rounds
+    end when nothing is open, or nothing changes; what then is still open stands in a circle or builds on
+    one, has no order, is reported as cyclic and keeps its place.
     """
-    start = calls.select(
-        "conv_id", "call_id", F.col("turn").alias("at_turn"), F.col("place").alias("at_place"), F.lit(0).alias("depth")
-    )
-    place = cut(start)
-    edges = cut(uses)
-    restless = []
-    for done in range(max_rounds):
-        other = place.select(
-            F.col("conv_id"), F.col("call_id").alias("used"), F.struct("at_turn", "at_place", "depth").alias("theirs")
+    keys = ["conv_id", "call_id"]
+    shape = "struct<at_turn:bigint,at_place:int,depth:bigint>"
+    n_calls = calls.count()
+    own = F.struct("turn", "place", F.lit(0)).cast(shape)
+    base = calls.select(*keys, own.alias("best"))
+    edges = cut(uses.select(*keys, "used", F.lit(1).cast("long").alias("steps")))
+    none = F.lit(False).alias("circle")
+    state = _kinds(base.select(*keys, "best", none), edges)
+    done = []
+    while True:
+        done.append(state.where(F.col("kind").isin("placed", "cyclic")))
+        if len(done) > UNITED:
+            done = [cut(reduce(DataFrame.unionByName, done))]
+        open_ = state.where(F.col("kind").isin("single", "many"))
+        # A use may have been moved on to a call that was placed rounds ago.
+        theirs = reduce(DataFrame.unionByName, [open_, *done]).select(
+            "conv_id", F.col("call_id").alias("used"), "kind", F.col("best").alias("theirs"), "to", "more"
         )
-        latest = edges.join(other, ["conv_id", "used"]).groupBy("conv_id", "call_id").agg(F.max("theirs").alias("theirs"))
-        mine = F.struct("at_turn", "at_place", "depth")
-        behind = latest.join(place, ["conv_id", "call_id"]).where(F.col("theirs") >= mine).select(
-            "conv_id", "call_id", F.struct("theirs.at_turn", "theirs.at_place", (F.col("theirs.depth") + 1).alias("depth")).alias("new")
+        met = cut(edges.join(theirs, ["conv_id", "used"]))
+        if met.where("kind <> 'many'").isEmpty():
+            done.append(open_.withColumn("kind", F.lit("cyclic")))
+            break
+        target = F.when(F.col("kind") == "single", F.col("to")).otherwise(F.col("used"))
+        steps = F.col("steps") + F.when(F.col("kind") == "single", F.col("more")).otherwise(F.lit(0))
+        round_ = (F.col("kind") == "cyclic") | (F.col("kind").isin("single", "many") & ((target == F.col("call_id")) | (steps > n_calls)))
+        behind = F.struct("theirs.at_turn", "theirs.at_place", (F.col("theirs.depth") + F.col("steps")).alias("depth"))
+        gained = met.groupBy(*keys).agg(
+            F.max(F.when(F.col("kind").isin("placed", "single"), behind)).alias("gain"), F.max(round_).alias("circle")
         )
-        moved = cut(behind)
-        if moved.isEmpty():
-            return place.withColumn("cyclic", F.lit(False))
-        if 2 * done >= max_rounds:
-            restless.append(moved.select("conv_id", "call_id"))
-        place = cut(
-            place.join(moved, ["conv_id", "call_id"], "left").select(
-                "conv_id", "call_id",
-                *[F.coalesce(f"new.{c}", c).alias(c) for c in ("at_turn", "at_place", "depth")],
-            )
-        )
-    circles = reduce(DataFrame.unionByName, restless).distinct().withColumn("cyclic", F.lit(True))
-    kept = start.join(circles, ["conv_id", "call_id"], "left")
-    return place.join(kept.select("conv_id", "call_id", "cyclic", F.struct("at_turn", "at_place", "depth").alias("own")),
-                      ["conv_id", "call_id"]).select(
-        "conv_id", "call_id",
-        *[F.when(F.col("cyclic"), F.col(f"own.{c}")).otherwise(F.col(c)).alias(c) for c in ("at_turn", "at_place", "depth")],
-        F.coalesce("cyclic", F.lit(False)).alias("cyclic"),
-    )
+        base = open_.drop("kind", "to", "more", "circle").join(gained, keys)
+        base = base.select(*keys, F.greatest("best", "gain").alias("best"), "circle")
+        left = met.where(F.col("kind").isin("single", "many"))
+        left = left.select(*keys, target.alias("used"), steps.alias("steps")).groupBy(*keys, "used").agg(F.max("steps").alias("steps"))
+        edges = cut(left.join(base.where("not circle").select(*keys), keys, "left_semi"))
+        state = _kinds(base, edges)
+    every = reduce(DataFrame.unionByName, done).join(calls.select(*keys, own.alias("own")), keys)
+    cyclic = F.col("kind") == "cyclic"
+    place = F.when(cyclic, F.col("own")).otherwise(F.col("best"))
+    return every.select(*keys, *[place[c].alias(c) for c in ("at_turn", "at_place", "depth")], cyclic.alias("cyclic"))
+
+
+def _kinds(base: DataFrame, edges: DataFrame) -> DataFrame:
+    """Calls by how many of their uses are open; those with one carry its target and how far that is."""
+    counted = edges.groupBy("conv_id", "call_id").agg(
+        F.count("*").alias("n"), F.min("used").alias("to"), F.max("steps").alias("more")
+    )
+    kind = (
+        F.when(F.col("circle"), "cyclic").when(F.col("n").isNull(), "placed").when(F.col("n") == 1, "single").otherwise("many")
+    )
+    return cut(
+        base.join(counted, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "best", "circle", kind.alias("kind"), "to", "more")
+    )
 
 
-def linked(messages: DataFrame, schemas: Schemas, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def linked(messages: DataFrame, schemas: Schemas) -> DataFrame:
     """One row per call, and per result without a call.
 
     conv_id, call_id, name, turn, result_turn, status (linked, no result, early result, no call),
@@ -137,7 +169,8 @@ def linked(messages: DataFrame, schemas: Schemas, max_rounds: int = MAX_ROUNDS)
     the call with its result) and canonical_sha256.
 
     Calls and results meet by conversation and identifier, so a conversation of any length is
-    spread over all tasks.  Of calls with one identifier the first counts.  Messages without a
+    spread over all tasks.  Of calls with one identifier the first counts; a message without a turn
+    comes after all others.  Messages without a
     conversation, identifier or text link to nothing and give no row; repeated messages count
     once; other columns are ignored.
     """
@@ -146,7 +179,7 @@ def linked(messages: DataFrame, schemas: Schemas, max_rounds: int = MAX_ROUNDS)
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     ).where(F.col("conv_id").isNotNull() & F.col("text").isNotNull())
     every = calls_of(plain).where(F.col("call_id").isNotNull())
-    first = F.min(F.struct("turn", "place", "name", "arguments")).alias("c")
+    first = F.min(F.struct(_at(F.col("turn")).alias("turn"), "place", "name", "arguments")).alias("c")
     calls = cut(
         every.groupBy("conv_id", "call_id")
         .agg(first, F.count("*").alias("n_same"))
@@ -163,7 +196,7 @@ def linked(messages: DataFrame, schemas: Schemas, max_rounds: int = MAX_ROUNDS)
     counts = known.groupBy("conv_id", "call_id").agg(
         F.count("*").alias("n_uses"), F.count_if(F.col("known").isNull()).alias("n_unknown_uses")
     )
-    places = _ordered(calls, known.where("known = 1").select("conv_id", "call_id", "used"), max_rounds)
+    places = _ordered(calls, known.where("known = 1").select("conv_id", "call_id", "used"))
     both = (
         calls.join(places, ["conv_id", "call_id"])
         .join(counts, ["conv_id", "call_id"], "left")
@@ -182,7 +215,7 @@ def linked(messages: DataFrame, schemas: Schemas, max_rounds: int = MAX_ROUNDS)
     )
     key = F.format_string("%020d:%010d:%06d", F.col("at_turn"), F.col("at_place").cast("long"), F.col("depth").cast("long"))
     out = both.select(
-        "conv_id", "call_id", "name", "turn", "result_turn", status.alias("status"),
+        "conv_id", "call_id", "name", _told("turn"), _told("result_turn"), status.alias("status"),
         F.when(F.col("turn").isNotNull(), key).alias("order_key"),
         F.coalesce("n_uses", F.lit(0).cast("long")).alias("n_uses"),
         F.coalesce("n_unknown_uses", F.lit(0).cast("long")).alias("n_unknown_uses"),
