@@ -23,7 +23,11 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 # Elements, by what they are: fixed values of HTML.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
-UNSEEN = RAW | {"noscript", "template", "svg", "math", "head", "canvas", "object", "audio", "video", "select", "datalist", "button"}
+UNSEEN = RAW | {"noscript", "template", "svg", "math", "canvas", "object", "audio", "video", "select", "datalist", "button"}
+# What a head may hold; any other start tag, and any text, ends it.
+IN_HEAD = RAW | {"head", "html", "meta", "link", "base", "noscript", "template", "basefont", "bgsound"}
+# Elements that never hold their like: a second start tag ends the first.
+FLAT = {"button", "select", "noscript", "datalist"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i",
     "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong",
@@ -35,7 +39,10 @@ HOLDERS = {
     "article", "main", "section", "div", "nav", "header", "footer", "aside", "form", "ul", "ol", "dl", "table",
     "blockquote", "figure", "body", "html", "dialog", "menu", "address", "fieldset", "details", "tr", "td", "li",
 }
+BLOCKS = HOLDERS | {"p", "pre", "hr", "h1", "h2", "h3", "h4", "h5", "h6"}
 BOILER_TAGS = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+# These and roles also stand around whole pages; there they mark nothing.
+WRAPPERS = {"form", "fieldset"}
 BOILER_NAMES = {
     "ad", "ads", "advert", "advertisement", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie",
     "cookies", "consent", "notice", "gdpr", "sidebar", "menu", "nav", "navbar", "navigation", "breadcrumb",
@@ -48,7 +55,8 @@ BOILER_COST, CONTENT_COST = 8.0, 4.0
 # A class or id costs less than content and telling text together gain, a part of one less still: the cut decides.
 NAME_COST, PART_COST = 5.0, 4.5
 BESIDE, SAME, APART = 0.6, 1.2, 0.2
-SAMPLE_PAGES = 400
+# The model is fitted on the blocks of at most so many pages, and on at most so many blocks.
+SAMPLE_PAGES, SAMPLE_BLOCKS = 400, 40_000
 FEATURES = 9
 
 
@@ -68,17 +76,29 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The blocks of a page in order, unseen elements left out."""
     out: list[Block] = []
-    # Tag, number, whether it is boilerplate, what its class or id costs.
-    stack: list[tuple[str, int, bool, float]] = []
+    # Tag, number, how it is marked as boilerplate, what its class or id costs.
+    stack: list[tuple[str, int, str, float]] = []
     costs: dict[int, float] = {}  # by number
+    marked: dict[int, str] = {}  # by number
     bodies: list[tuple[bool, int, tuple[int, ...]]] = []  # of main and article: whether main, number, all that hold it
     parts: list[str] = []
     linked = 0
     links = 0
     heading = False
     unseen: str | None = None
+    held: list[str] = []  # what is open within the unseen element
+    loose = False  # whether it has no end tag
+    in_head = False
     count = 0
 
+    last: dict[str, int] = {}
+
+    def ended(tag: str) -> int:
+        """Where the page's last end tag of a kind begins."""
+        if tag not in last:
+            last[tag] = max((m.start() for m in re.finditer(f"</{tag}", page, re.I)), default=-1)
+        return last[tag]
+
     def close() -> None:
         nonlocal linked, heading
         text = " ".join(html.unescape("".join(parts)).split())
@@ -86,7 +106,7 @@ def blocks_of(page: str) -> list[Block]:
             tags = tuple(t for t, _, _, _ in stack)
             out.append(
                 Block(
-                    text, tuple(n for _, n, _, _ in stack), tags, any(b for _, _, b, _ in stack),
+                    text, tuple(n for _, n, _, _ in stack), tags, False,
                     any(t in ("article", "main") for t in tags), 0.0, min(1.0, linked / len(text)), heading,
                 )
             )
@@ -98,7 +118,8 @@ def blocks_of(page: str) -> list[Block]:
         mark = page.find("<", at)
         if mark < 0:
             mark = end
-        if mark > at and unseen is None:
+        if mark > at and unseen is None and not (in_head and page[at:mark].isspace()):
+            in_head = False
             parts.append(page[at:mark])
             linked += mark - at if links else 0
         if mark == end:
@@ -113,18 +134,31 @@ def blocks_of(page: str) -> list[Block]:
         if found[2] is None:
             continue
         tag, closing = found[2].lower(), bool(found[1])
-        if unseen is not None:
-            if closing and tag == unseen or tag == "body" and unseen == "head":
-                unseen = None
-            if unseen is not None or tag != "body":
-                continue
         if not closing and tag in RAW:
             stop = re.compile(f"</{tag}[^>]*>?", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
+        if unseen is not None:
+            if closing and tag in held:
+                del held[len(held) - 1 - held[::-1].index(tag) :]
+            elif closing and tag == unseen:
+                unseen = None
+                continue
+            elif closing and any(t == tag for t, _, _, _ in stack) or not closing and loose and tag in BLOCKS:
+                # The end of its parent ends it, and without an end tag the next block does.
+                unseen = None
+            elif not closing and (tag in HOLDERS or tag == unseen and tag not in FLAT):
+                held.append(tag)
+            if unseen is not None:
+                continue
+        if in_head and (closing and tag == "head" or not closing and tag not in IN_HEAD):
+            in_head = False
+        if tag == "head":
+            in_head = not closing
+            continue
         if not closing and tag in UNSEEN:
             if not found[3].rstrip().endswith("/"):
-                unseen = tag
+                unseen, held, loose = tag, [], ended(tag) < at
             continue
         if tag == "a":
             links = 0 if closing else 1
@@ -146,21 +180,26 @@ def blocks_of(page: str) -> list[Block]:
                 stack.pop()
             count += 1
             inside = any(t in ("article", "main") for t, _, _, _ in stack)
-            boiler, cost = _boiler(tag, found[3], inside)
-            if tag in ("article", "main") and not boiler and not cost and not any(b for _, _, b, _ in stack):
+            mark_, cost = _boiler(tag, found[3], inside)
+            # Articles in elements of another role are beside the main text.
+            barred = {"plain", "role"} if tag == "article" else {"plain"}
+            if tag in ("article", "main") and not mark_ and not cost and not any(m in barred for _, _, m, _ in stack):
                 bodies.append((tag == "main", count, tuple(n for _, n, _, _ in stack)))
-            stack.append((tag, count, boiler, cost))
-            costs[count] = cost
+            stack.append((tag, count, mark_, cost))
+            costs[count], marked[count] = cost, mark_
             links = 0
     close()
-    _named(out, costs, bodies)
+    _named(out, costs, marked, bodies)
     return out
 
 
-def _named(blocks: list[Block], costs: dict[int, float], bodies: list[tuple[bool, int, tuple[int, ...]]]) -> None:
-    """Give blocks the cost of the names above them, but for names of holders of the page itself.
+def _named(
+    blocks: list[Block], costs: dict[int, float], marked: dict[int, str], bodies: list[tuple[bool, int, tuple[int, ...]]]
+) -> None:
+    """Give blocks the marks and the cost of the names above them, but for those of holders of the page itself.
 
     Such a holder has main, or the longest article, or most of the page's text in it: its name tells the layout.
+    A form or a role marks nothing where it has main or that article, or nearly all text, in it.
     """
     size: dict[int, int] = {}
     for b in blocks:
@@ -168,23 +207,27 @@ def _named(blocks: list[Block], costs: dict[int, float], bodies: list[tuple[bool
             size[n] = size.get(n, 0) + len(b.text)
     total = sum(len(b.text) for b in blocks)
     whole = {n for n, k in size.items() if 2 * k > total}
+    around = {n for n, k in size.items() if 10 * k > 9 * total}
     for is_main, _, above in bodies:
         if is_main:
             whole.update(above)
+            around.update(above)
     articles = [(size.get(n, 0), -n, above) for is_main, n, above in bodies if not is_main]
     if articles:
         whole.update(max(articles)[2])
+        around.update(max(articles)[2])
     for b in blocks:
+        b.boiler = any(marked[n] == "plain" or marked[n] and n not in around for n in b.path)
         b.named = max((costs[n] for n in b.path if n not in whole), default=0.0)
 
 
-def _boiler(tag: str, attributes: str, inside: bool) -> tuple[bool, float]:
-    """Whether an element by itself marks what it holds as boilerplate, and the cost of its class or id."""
+def _boiler(tag: str, attributes: str, inside: bool) -> tuple[str, float]:
+    """How an element by itself marks what it holds as boilerplate (plain, wrapper, role or not), and the cost of its class or id."""
     if tag in BOILER_TAGS or tag == "header" and not inside:
-        return True, 0.0
+        return "wrapper" if tag in WRAPPERS else "plain", 0.0
     cost = 0.0
     if not attributes or tag in ("html", "body", "main"):
-        return False, cost
+        return "", cost
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
@@ -194,12 +237,12 @@ def _boiler(tag: str, attributes: str, inside: bool) -> tuple[bool, float]:
                 if not (inside and words & BOILER_NAMES <= {"header"}):
                     cost = max(cost, NAME_COST if tokens & BOILER_NAMES else PART_COST)
         elif name == "role" and value in BOILER_ROLES:
-            return True, cost
+            return "role", cost
         elif name == "hidden" or name == "aria-hidden" and value == "true":
-            return True, cost
+            return "plain", cost
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True, cost
-    return False, cost
+            return "plain", cost
+    return "", cost
 
 
 def described(block: Block) -> np.ndarray:
@@ -214,26 +257,38 @@ def described(block: Block) -> np.ndarray:
     ])
 
 
-def train(pages: DataFrame, sample: int = SAMPLE_PAGES, rounds: int = 200) -> list[float]:
+def train(pages: DataFrame, sample: int = SAMPLE_PAGES, most: int = SAMPLE_BLOCKS, rounds: int = 200) -> list[float]:
     """Weights of a logistic model, from the blocks of at most ``sample`` pages whose elements tell their label.
 
-    The pages are the first by hash.  Blocks of article or main are content, those of
+    The pages are the first by hash, copies counted once, and of their blocks at most ``most``, in order; only
+    the blocks' features come to the driver.  Blocks of article or main are content, those of
     navigation, footers and the like are not; others are left out.  Without blocks of both kinds
     the weights are zero, and elements and neighbours alone decide.
     """
     body = F.col("html")
     telling = pages.select(F.col("html").cast("string").alias("html")).where(body.rlike("(?i)<(article|main)[ >]"))
-    rows = telling.orderBy(F.xxhash64("html"), F.length("html")).limit(sample).collect()
-    x, y = [], []
-    for r in rows:
-        for b in blocks_of(r["html"]):
-            # A name inside the content tells neither label.
-            if b.boiler or bool(b.named) != b.content:
-                x.append(described(b))
-                y.append(float(b.content and not b.boiler))
-    if not x or min(y) == max(y):
+    telling = telling.select("html", F.xxhash64("html").alias("key"))
+    keys = [r["key"] for r in telling.select("key").distinct().orderBy("key").limit(sample).collect()]
+    picked = telling.where(F.col("key").isin(keys)).dropDuplicates(["key"])
+
+    def run(batch):
+        out: dict[str, list] = {"key": [], "at": [], "content": [], "features": []}
+        for key, page in zip(batch.column("key").to_pylist(), batch.column("html").to_pylist(), strict=True):
+            for i, b in enumerate(blocks_of(page)):
+                # A name inside the content tells neither label.
+                if b.boiler or bool(b.named) != b.content:
+                    out["key"].append(key)
+                    out["at"].append(i)
+                    out["content"].append(float(b.content and not b.boiler))
+                    out["features"].append(described(b))
+        return out
+
+    told = map_rows(picked, run, "key long, at long, content double, features array<double>")
+    rows = told.orderBy("key", "at").limit(most).collect()
+    y = [r["content"] for r in rows]
+    if not y or min(y) == max(y):
         return [0.0] * FEATURES
-    a, t = np.array(x), np.array(y)
+    a, t = np.array([r["features"] for r in rows]), np.array(y)
     weight = np.where(t > 0, 0.5 / t.sum(), 0.5 / (len(t) - t.sum()))
     w = np.zeros(FEATURES)
     for _ in range(rounds):
