@@ -94,6 +94,8 @@ def shared_folder(spark: SparkSession) -> str:
     shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         # Unset, as in tests: a session on one machine.
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = context.getCheckpointDir() or tempfile.mkdtemp(prefix="spanmart-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(shared)

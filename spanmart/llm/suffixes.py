@@ -95,11 +95,11 @@ def marks(text: bytes, at: np.ndarray, own: np.ndarray, seen: np.ndarray) -> lis
 
 
 def around(texts: list[bytes], which: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The bytes from BACK before to BACK after each anchor, zeros beyond the ends."""
+    """The bytes from BACK before to BACK after each anchor; beyond the ends 0xFF, which UTF-8 never holds."""
     out = np.zeros(len(at), "V76")
     start, stop = (runs(which) if len(which) else ((), ()))
     for a, b in zip(start, stop, strict=True):
-        data = np.frombuffer(bytes(BACK) + texts[which[a]] + bytes(AROUND), np.uint8)
+        data = np.frombuffer(b"\xff" * BACK + texts[which[a]] + b"\xff" * AROUND, np.uint8)
         view = np.lib.stride_tricks.sliding_window_view(data, AROUND)
         out[a:b] = np.ascontiguousarray(view[at[a:b]]).view("V76").ravel()
     return out
