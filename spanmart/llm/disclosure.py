@@ -1,10 +1,11 @@
 """Personal data, and information-theoretic sanitisation of the terms that give it away.
 
 Emails, addresses, cards and phone numbers are found by pattern.  They are the protected
-entities.  The corpus tells how strongly a term reveals one: from the different contexts in
-which the term stands beside the entity and the documents that hold the term at all
-follow the conditional probability of the entity and the pointwise mutual information.
-Terms over both thresholds are generalised wherever they occur.  Built-in functions only.
+entities.  The corpus tells how strongly a term reveals one: from the documents that hold both,
+and those that hold either, follow the conditional probability of the entity and the pointwise
+mutual information.  Terms over both thresholds are generalised wherever they occur.  All counts
+are of documents; that a pair stands in several different texts is asked for beside them, so
+copies of one text reveal nothing by their number.  Built-in functions only.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-WINDOW = 8
-BESIDE = 96
 MIN_CONTEXTS = 3
 MIN_PROBABILITY = 0.5
 MIN_BITS = 6.0
@@ -93,38 +92,48 @@ def _entity(kind: Column, value: Column) -> Column:
 
 
 def _terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
+    """The distinct terms of a text; those within an email belong to the entity itself."""
+    plain = F.when(text.contains("@"), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(plain), F.lit(TERM), F.lit(0)))
 
 
 def revealing(docs: DataFrame, found: DataFrame, min_contexts: int, min_probability: float, min_bits: float) -> DataFrame:
-    """(term, key): the terms that give a protected entity away, with the texts that hold them."""
-    one = found.select("text", F.explode("base").alias("b")).select(
-        "text", "b.start", "b.end", _entity(F.col("b.kind"), F.col("b.value")).alias("entity")
+    """The terms that give a protected entity away; ``found`` has the distinct texts with entities and their copies.
+
+    A pair's documents are at most those of its term and of its entity, so both thresholds bound what
+    can pass before any pair is made: an entity must be in few enough of all documents for the
+    bits, and a term in few enough beside the entity's for the probability.
+    """
+    n_all = docs.count()
+    keyed = found.withColumn("key", F.xxhash64("text"))
+    entities = keyed.select(
+        "key", "copies", F.explode(F.array_distinct(F.transform("base", lambda b: _entity(b["kind"], b["value"])))).alias("entity")
+    )
+    common = entities.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count("*").alias("n_texts"))
+    common = stored(
+        common.where((F.col("n_texts") >= min_contexts) & (F.log2(F.lit(n_all) / F.col("n_entity")) >= min_bits)).drop("n_texts")
+    )
+    entities = stored(entities.join(common, "entity"))
+    most = common.agg(F.max("n_entity")).first()[0] or 0
+    counted = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    counted = counted.where(F.col("n_term").between(min_contexts, most / min_probability))
+    words = (
+        keyed.join(entities.select("key").distinct(), "key", "left_semi")
+        .select("key", F.explode(_terms(F.col("text"))).alias("term"))
+        .join(counted, "term")
     )
-    begin = F.greatest(F.col("start") - BESIDE, F.lit(0))
-    left = F.substring(F.col("text"), begin + 1, F.col("start") - begin)
-    right = F.substring(F.col("text"), F.col("end") + 1, F.lit(BESIDE))
-    # The outermost words may be cut and are left out; the nearest WINDOW of the others count.
-    before, after = F.split(left, r"\s+"), F.split(right, r"\s+")
-    before = F.slice(F.reverse(before), 1, WINDOW + 1)
-    after = F.slice(after, 1, WINDOW + 1)
-    around = F.concat(F.slice(before, 1, WINDOW), F.slice(after, 1, WINDOW))
-    beside = one.select("entity", F.lower(F.array_join(around, " ")).alias("around"))
-    # Copies of a text repeat a context; each counts once.
-    contexts = beside.distinct().select("entity", F.explode(F.array_distinct(_terms(F.col("around")))).alias("term"))
-    pairs = contexts.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= min_contexts)
-    pairs = stored(pairs)
-    # Only terms that can reveal something are looked up, each once per distinct text.
-    wanted = pairs.select("term").distinct()
-    held = docs.select(F.xxhash64("text").alias("key"), F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
-    held = cut(held.join(wanted, "term", "left_semi").distinct())
-    n_term = held.groupBy("term").agg(F.count("*").alias("n_term"))
-    n_entity = beside.distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    n_all = docs.agg(F.approx_count_distinct(F.xxhash64("text"), 0.01).alias("n_all"))
-    rated = pairs.join(n_term, "term").join(n_entity, "entity").withColumn("n_all", n_all.select("n_all").scalar())
-    bits = F.log2(F.col("n_both") * F.col("n_all") / (F.col("n_term") * F.col("n_entity")))
-    over = rated.where((F.col("n_both") >= min_probability * F.col("n_term")) & (bits >= min_bits))
-    return held.join(over.select("term").distinct(), "term")
+    near = F.col("n_entity") >= min_probability * F.col("n_term")
+    pairs = (
+        entities.join(words, "key")
+        .where(near)
+        .groupBy("entity", "term", "n_entity", "n_term")
+        .agg(F.sum("copies").alias("n_both"), F.count("*").alias("n_contexts"))
+    )
+    bits = F.log2(F.col("n_both") * F.lit(n_all) / (F.col("n_term") * F.col("n_entity")))
+    over = pairs.where(
+        (F.col("n_contexts") >= min_contexts) & (F.col("n_both") >= min_probability * F.col("n_term")) & (bits >= min_bits)
+    )
+    return stored(over.select("term").distinct())
 
 
 def sanitised_spans(
@@ -141,10 +150,13 @@ def sanitised_spans(
     """
     plain = documents(docs)
     with_base = plain.withColumn("base", base_spans(F.col("text")))
-    # Entities and contexts come from each distinct text once.
-    found = cut(with_base.where(F.size("base") > 0).select("text", "base").dropDuplicates(["text"]))
+    # Copies of a text are looked at once and counted.
+    found = cut(
+        with_base.where(F.size("base") > 0).groupBy("text").agg(F.count("*").alias("copies"), F.any_value("base").alias("base"))
+    )
     terms = revealing(plain, found, min_contexts, min_probability, min_bits)
-    by_text = stored(terms.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("found")))
+    held = plain.select(F.xxhash64("text").alias("key"), F.explode(_terms(F.col("text"))).alias("term")).join(terms, "term")
+    by_text = stored(held.groupBy("key").agg(F.sort_array(F.collect_set("term")).alias("found")))
     joined = with_base.withColumn("key", F.xxhash64("text")).join(by_text, "key", "left")
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join("found", "|"), F.lit(r")(?!\p{L})"))
     places = F.when(F.col("found").isNotNull(), spans(F.col("text"), pattern))

@@ -16,8 +16,6 @@ def spans(text: Column, pattern: str | Column, possible: Column | None = None) -
     condition that spares most texts the search.
     """
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("all"))
 
     def step(acc: Column, pair: Column) -> Column:
@@ -26,11 +24,15 @@ def spans(text: Column, pattern: str | Column, possible: Column | None = None) -
         one = F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(acc["all"], F.array(one)).alias("all"))
 
-    pairs = F.zip_with(
-        F.slice(between, 1, F.size(found)), found, lambda g, v: F.struct(g.alias("gap"), v.alias("value"))
-    )
-    places = F.aggregate(pairs, start, step, lambda acc: acc["all"])
-    places = F.when(F.size(found) > 0, places).otherwise(F.array().cast(SPAN))
+    def places(found: Column) -> Column:
+        between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        pairs = F.zip_with(between, found, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, start, step, lambda acc: acc["all"])).otherwise(
+            F.array().cast(SPAN)
+        )
+
+    # The matches are bound by a lambda, so that they are searched once though used in several places.
+    every = F.transform(F.array(F.regexp_extract_all(text, pattern, F.lit(0))), places)[0]
     if possible is None:
-        return places
-    return F.when(possible, places).otherwise(F.array().cast(SPAN))
+        return every
+    return F.when(possible, every).otherwise(F.array().cast(SPAN))
