@@ -86,20 +86,6 @@ def fuzzy_keys(distinct: DataFrame) -> DataFrame:
     return map_rows(distinct, run, "fingerprint long, key long")
 
 
-def segment_codes(distinct: DataFrame) -> DataFrame:
-    """(fingerprint, sub) with the codeword nearest to each segment, told apart by segment."""
-
-    def run(batch):
-        prints = batch.column("fingerprint").to_numpy(zero_copy_only=False)
-        codes = []
-        for i, (at, n) in enumerate(SEGMENTS):
-            part = ((prints.view(np.uint64) >> np.uint64(at)) & np.uint64((1 << n) - 1)).astype(np.int64)
-            codes.append(np.int64(i) << golay.DATA | golay.nearest(part))
-        return {"fingerprint": np.tile(prints, len(SEGMENTS)), "sub": np.concatenate(codes)}
-
-    return map_rows(distinct, run, "fingerprint long, sub long")
-
-
 def _distance(a: str, b: str):
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
@@ -134,6 +120,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def _components(prints: DataFrame) -> DataFrame:
+    """(fingerprint, component) of all fingerprints; a component is named by one of its fingerprints."""
+    distinct = cut(prints.select("fingerprint").distinct())
+    components = connected_components(links(distinct)).withColumnRenamed("node", "fingerprint")
+    return distinct.join(components, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits) and component_id, its smallest reachable doc_id.
 
@@ -143,155 +136,48 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     other columns are ignored.
     """
     prints = cut(fingerprints(docs, shingle))
-    distinct = cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")))
-    components = connected_components(links(distinct.select("fingerprint")))
-    placed = distinct.join(components.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
-        "component", F.coalesce("component", "fingerprint")
-    )
-    first = placed.groupBy("component").agg(F.min("first").alias("component_id"))
-    of = placed.join(first, "component").select("fingerprint", "component_id")
+    placed = _components(prints)
+    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    joined = cut(placed.join(least, "fingerprint"))
+    first = joined.groupBy("component").agg(F.min("first").alias("component_id"))
+    of = joined.join(first, "component").select("fingerprint", "component_id")
     return prints.join(of, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-# Near copies by similarity: fingerprints of whole texts and of windows around anchors.
-SIMILARITY = 0.8
-ANCHORS = 8
-AROUND = 8
-FAR = 18
-_ODD = np.array([(0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1 for i in range(ANCHORS)], np.uint64)
-
-
-def _code(print_: int) -> int:
-    """The codewords nearest to the three segments, as one number."""
-    key = 0
-    for at, n in SEGMENTS:
-        key = key << golay.DATA | int(golay.nearest(np.array([print_ >> at & ((1 << n) - 1)], np.int64))[0])
-    return key
-
-
-def signature(words: list[bytes], shingle: int) -> tuple[int, int, list[int]]:
-    """Fingerprint of a text, its number of distinct shingles, and its keys.
+def deduplicated(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """One document of each component of near duplicates, the one with the smallest id, with the columns it had.
 
-    The anchors are the shingles that come first under fixed orders, so two texts of
-    similarity s have each in common with probability s.  The window of words around an anchor
-    has a fingerprint of its own, whose segments' codewords make a key.
-    """
-    hashes = shingle_hashes(words, shingle)
-    whole = fingerprint(hashes)
-    if not len(hashes):
-        return whole, 0, []
-    found = set(key_rows(np.array([whole], np.uint64))[1].tolist())
-    for odd in _ODD:
-        at = int(np.argmin(hashes * odd))
-        near = words[max(0, at - AROUND) : at + shingle + AROUND]
-        found.add(1 << 62 | _code(fingerprint(shingle_hashes(near, 3))))
-    return whole, len(np.unique(hashes)), sorted(found)
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, paired: int = PAIRED) -> DataFrame:
-    """(text_hash, doc_id, n_rows, component_id) of every distinct (text, doc_id).
-
-    Texts are near copies if the Jaccard similarity of their shingle sets is at least
-    ``similarity``; groups are the connected components, named by their smallest doc_id.
-    Candidates meet under keys: all pairs under small ones; under large ones every text meets
-    the smallest of the key, and the smallest of those whose whole fingerprints also share a
-    codeword with its own.  Pairs whose fingerprints are more than 18 bits apart are passed
-    over (a pair of similarity 0.8 differs in 9 on average), the others are verified on the
-    sets themselves.  Rows without an id count as later than all others.
-    """
-
-    def run(batch):
-        texts = binaries(batch.column("text"))
-        rows = [signature(words_of(t), shingle) for t in texts]
-        return {
-            "doc_id": batch.column("doc_id"),
-            "text_hash": [sha256_hex(t) for t in texts],
-            "fingerprint": np.array([r[0] for r in rows], np.uint64).view(np.int64),
-            "n": [r[1] for r in rows],
-            "keys": [r[2] for r in rows],
-        }
-
-    plain = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    schema = "doc_id long, text_hash string, fingerprint long, n long, keys array<long>"
-    rows = cut(map_rows(plain, run, schema))
-    texts = cut(
-        rows.groupBy("text_hash").agg(
-            F.min("doc_id").alias("id"), F.any_value("fingerprint").alias("fp"), F.any_value("n").alias("n"),
-            F.any_value("keys").alias("keys"), F.xxhash64("text_hash").alias("node"),
-        )
-    )
-    keyed = texts.select("node", "fp", "n", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = keyed.join(sizes, "key")
-    few, many = shared.where(F.col("size") <= paired), shared.where(F.col("size") > paired)
-
-    def side(df: DataFrame, s: str) -> DataFrame:
-        return df.select(*[F.col(c).alias(c if c in ("key", "sub") else c + s) for c in df.columns if c != "size"])
-
-    pairs = side(few, "1").join(side(few, "2"), "key").where("node1 < node2").drop("key")
-    subs = segment_codes(many.select(F.col("fp").alias("fingerprint")).distinct()).withColumnRenamed("fingerprint", "fp")
-    fine = many.join(subs, "fp").select("node", "fp", "n", "key", "sub")
-    fine = fine.unionByName(many.select("node", "fp", "n", "key", F.lit(-1).cast("long").alias("sub")))
-    hub = fine.groupBy("key", "sub").agg(F.min(F.struct("node", "fp", "n")).alias("hub"))
-    stars = side(fine, "2").join(hub, ["key", "sub"]).select(
-        F.col("hub.node").alias("node1"), F.col("hub.fp").alias("fp1"), F.col("hub.n").alias("n1"), "node2", "fp2", "n2"
-    )
-    met = pairs.unionByName(stars).where(
-        (F.col("node1") != F.col("node2"))
-        & (_distance("fp1", "fp2") <= FAR)
-        & (F.least("n1", "n2") >= similarity * F.greatest("n1", "n2"))
-    )
-    met = cut(met.select("node1", "node2").distinct())
-    # The shingle sets of the texts that take part, one row each however many rows hold the text.
-    parts = met.select(F.col("node1").alias("node")).unionByName(met.select(F.col("node2").alias("node"))).distinct()
-    wanted = parts.join(texts.select("node", "id", "text_hash"), "node").select("node", F.col("id").alias("doc_id"), "text_hash")
-
-    def sets(batch):
-        out = []
-        for t in binaries(batch.column("text")):
-            out.append(np.unique((shingle_hashes(words_of(t), shingle) >> np.uint64(32)).astype("<u4")).tobytes())
-        return {"node": batch.column("node"), "shingles": out}
-
-    bodies = plain.withColumn("text_hash", F.sha2("text", 256)).join(wanted, ["doc_id", "text_hash"])
-    held = cut(map_rows(bodies.select("node", "text"), sets, "node long, shingles binary").dropDuplicates(["node"]))
-
-    def alike(batch):
-        out = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-            x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(both >= similarity * (len(x) + len(y) - both))
-        return {"a": batch.column("node1"), "b": batch.column("node2"), "alike": out}
-
-    first = held.select(F.col("node").alias("node1"), F.col("shingles").alias("a"))
-    second = held.select(F.col("node").alias("node2"), F.col("shingles").alias("b"))
-    judged = map_rows(met.join(first, "node1").join(second, "node2"), alike, "a long, b long, alike boolean")
-    components = connected_components(judged.where("alike").select("a", "b"))
-    placed = texts.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    groups = placed.groupBy("component").agg(F.min("id").alias("component_id"))
-    of = placed.join(groups, "component").select("text_hash", "component_id")
-    each = rows.groupBy("text_hash", "doc_id").agg(F.count("*").alias("n_rows"))
-    return each.join(of, "text_hash")
-
-
-def deduplicated(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id, with the columns it had.
-
-    Of repeated rows one stays; texts without words are copies of each other only if they
-    are equal.
+    Rows without an id come after all others, by the hash of their text; of repeated rows one
+    stays; missing texts have no words, and the zero fingerprint like any other text without words.
     """
     names = docs.columns
     plain = docs.select(*[docs[c].alias(f"__{i}") for i, c in enumerate(names)])
     text, key = (f"__{names.index(c)}" for c in ("text", "doc_id"))
-    groups = similar_groups(docs, shingle, similarity).where(F.col("doc_id") == F.col("component_id"))
-    kept = groups.select("doc_id", "text_hash", "n_rows")
     marked = plain.withColumns({
         "doc_id": F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)),
         "text_hash": F.sha2(F.coalesce(F.col(text).cast("string"), F.lit("")), 256),
     })
-    found = marked.join(kept, ["doc_id", "text_hash"])
+
+    def run(batch):
+        texts = binaries(batch.column("text"))
+        prints = [fingerprint(shingle_hashes(words_of(t), shingle)) for t in texts]
+        return {
+            "doc_id": batch.column("doc_id"), "text_hash": [sha256_hex(t) for t in texts],
+            "fingerprint": np.array(prints, np.uint64).view(np.int64),
+        }
+
+    told = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
+    rows = map_rows(told, run, "doc_id long, text_hash string, fingerprint long")
+    prints = cut(rows.groupBy("doc_id", "text_hash", "fingerprint").agg(F.count("*").alias("n_rows")))
+    first = (
+        prints.join(_components(prints), "fingerprint")
+        .groupBy("component")
+        .agg(F.min(F.struct("doc_id", "text_hash", "n_rows")).alias("first"))
+        .select("first.*")
+    )
+    found = marked.join(first, ["doc_id", "text_hash"])
     once = found.where("n_rows = 1")
     again = found.where("n_rows > 1").dropDuplicates(["doc_id", "text_hash"])
     return once.unionByName(again).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(names)])

@@ -9,6 +9,7 @@ import string
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from spanmart.llm import (
     decontaminate, disclosure, golay, mincut, pages, passages, quality, secret_scan, sentencepiece, simhash, suffixes, tools,
@@ -171,6 +172,19 @@ def test_one_of_each_group_stays(docs, empty):
     kept = [r["doc_id"] for r in out.collect()]
     assert len(kept) == len(set(kept))
     assert {0, 1, 2} <= set(kept) and not {40, 41} & set(kept)
+    found = by_id(simhash.near_duplicates(docs))
+    assert set(kept) == {r["component_id"] for r in found.values() if r["component_id"] is not None} | {
+        i for i, r in found.items() if r["component_id"] is None
+    }
+    # The component by brute force.
+    prints = {i: int(r["fingerprint"], 16) for i, r in found.items() if i is not None}
+    for i, p in prints.items():
+        reach, grown = {i}, True
+        while grown:
+            more = {j for j, q in prints.items() if j not in reach and any((q ^ prints[k]).bit_count() <= 2 for k in reach)}
+            grown = bool(more)
+            reach |= more
+        assert (i in kept) == (i == min(reach)) and found[i]["component_id"] == min(reach)
 
 
 def test_quality_counts(docs, empty):
@@ -249,7 +263,7 @@ def test_tool_calls(spark):
         (3, 0, "assistant", call("p", "count", words=1, uses={"$call": "q"})),
         (3, 1, "assistant", call("q", "count", words=2, uses={"$call": "p"})), (3, 2, "user", None),
     ]
-    found = {(r["conv_id"], r["call_id"]): r for r in tools.linked(calls(rows, spark), tools.DERIVED, 8).collect()}
+    found = {(r["conv_id"], r["call_id"]): r for r in tools.linked(calls(rows, spark), tools.DERIVED).collect()}
     a, b = found[1, "a"], found[1, "b"]
     assert a["status"] == "linked" and a["valid"] and a["order_key"] > b["order_key"]
     assert a["canonical"] == '{"arguments":{"limit":3,"query":"é \\"x\\"","uses":{"$call":"b"}},"id":"a","name":"search","result":"ok"}'
@@ -440,3 +454,167 @@ def test_layout_names_do_not_drop_the_article():
         page = f"<body><article><p>{prose}</p><div class='{name}'><p>{prose}</p></div></article>{side}"
         assert pages.extract(page, weights) == f"{prose}\n{prose}"
     assert pages.extract(f"<body><article><p>{prose}</p></article><div class='comments'><p>{prose}</p></div>", weights) == prose
+
+
+def placed(calls, uses):
+    """Places by peeling calls without unplaced uses, and what is left."""
+    place, left = {}, set(calls)
+    while ready := [c for c in left if all(u in place for u in uses[c])]:
+        for c in ready:
+            place[c] = max([(*calls[c], 0)] + [(*place[u][:2], place[u][2] + 1) for u in uses[c]])
+        left -= set(ready)
+    return place, left
+
+
+def test_order_equals_peeling(spark):
+    rng = random.Random(3)
+    rows, edges, want = [], [], {}
+
+    def add(conv, calls, uses):
+        place, left = placed(calls, uses)
+        rows.extend((conv, c, *calls[c]) for c in calls)
+        edges.extend((conv, c, u) for c in calls for u in uses[c])
+        want.update({(conv, c): (place.get(c, (*calls[c], 0)), c in left) for c in calls})
+
+    for conv in range(30):
+        calls = {f"c{i}": (rng.randint(0, 30), 0) for i in range(rng.randint(1, 20))}
+        names = list(calls)
+        order = rng.sample(names, len(names))
+        # Every other conversation may have circles.
+        pools = {c: order[:i] if conv % 2 else names for i, c in enumerate(order)}
+        add(conv, calls, {c: set(rng.sample(p, min(rng.choice([0, 1, 1, 2]), len(p)))) for c, p in pools.items()})
+    # An acyclic chain of 200 calls, with a circle of seven beside it that others build on.
+    calls = {f"c{i}": (i, 0) for i in range(230)}
+    uses = {f"c{i}": {f"c{i + 1}"} if i < 199 else set() for i in range(230)}
+    uses |= {f"c{200 + i}": {f"c{200 + (i + 1) % 7}"} for i in range(7)} | {"c210": {"c205"}, "c220": {"c0", "c1"}}
+    add(100, calls, uses)
+    got = tools._ordered(
+        spark.createDataFrame(rows, "conv_id long, call_id string, turn long, place int"),
+        spark.createDataFrame(edges, "conv_id long, call_id string, used string"),
+    ).collect()
+    found = {(r["conv_id"], r["call_id"]): ((r["at_turn"], r["at_place"], r["depth"]), r["cyclic"]) for r in got}
+    assert len(got) == len(want) and found == want
+    assert not found[100, "c0"][1] and found[100, "c210"][1]
+
+
+def test_tool_messages_without_turn(spark):
+    call = lambda name: json.dumps({"tool_calls": [{"id": "a", "name": name, "arguments": json.dumps({"words": 2})}]})
+    rows = [
+        (1, None, "assistant", call("search")), (1, 5, "assistant", call("count")),
+        (1, None, "tool", json.dumps({"tool_call_id": "a", "content": "late"})),
+        (1, 6, "tool", json.dumps({"tool_call_id": "a", "content": "ok"})),
+        (2, None, "assistant", call("count")), (2, 0, "assistant", call("count").replace('"a"', '"b"')),
+        (3, 1, "assistant", call("count").replace("2", "2" * 4000)),
+    ]
+    df = calls(rows, spark).withColumn("name", F.lit("clash")).withColumn("status", F.lit("clash"))
+    found = {(r["conv_id"], r["call_id"]): r for r in tools.linked(df, tools.DERIVED).collect()}
+    r = found[1, "a"]
+    assert (r["name"], r["turn"], r["result_turn"], r["status"], r["n_same"]) == ("count", 5, 6, "linked", 2)
+    assert found[2, "a"]["turn"] is None and found[2, "a"]["status"] == "no result"
+    assert found[2, "a"]["order_key"] > found[2, "b"]["order_key"]
+    assert found[3, "a"]["faults"] and len(found) == 4
+
+
+def test_a_shared_signature_reveals(spark):
+    words = lambda i: " ".join(f"w{chr(97 + i * k % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x" for k in (1, 3, 5))
+    rows = [(i, f"{words(i)} and so on. Regards, Quetzal, boss@firm.example") for i in range(200)]
+    rows += [(1000 + i, f"{words(i)} and so on. Regards") for i in range(14_000)]
+    # Copies of one text reveal nothing: a name and an address that stand in it alone.
+    rows += [(20_000 + i, "Axolotl writes from x@y.example") for i in range(50)]
+    # Far from the address in the text.
+    rows += [(30_000 + i, f"Okapi {words(i)} {'so on ' * 200} mail z@firm.example") for i in range(5)] + [(31_000, "seen: OKAPI")]
+    found = by_id(disclosure.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    for i, t in rows[:200]:
+        assert f"term:{t.index('Quetzal')}:{t.index('Quetzal') + 7}" in found[i]["spans"].split(",")
+    assert found[20_000]["spans"] == "email:20:31"
+    assert found[31_000]["spans"] == "term:6:11" and "term" not in found[1500]["spans"]
+
+
+def test_terms_equal_counting(spark):
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    rows = []
+    for i in range(500):
+        # Some words are used beside one entity more than elsewhere.
+        k = rng.randrange(3) if i % 12 == 0 else None
+        own = "" if k is None else ("p@q.r", "s@t.u", "10.0.0.7")[k]
+        near = vocabulary[12:] if k is None else vocabulary[4 * k : 4 * k + 4]
+        rows.append((i, " ".join([*rng.choices(vocabulary, k=rng.randint(3, 9)), own, *rng.choices(near, k=3)])))
+    rows += [(600 + i, rows[12][1]) for i in range(6)]
+    limits = {"min_contexts": 2, "min_probability": 0.2, "min_bits": 1.0}
+    holds = [(t, {w for w in t.split() if w.isalpha()}, {w for w in t.split() if "@" in w or w == "10.0.0.7"}) for _, t in rows]
+    over = set()
+    for e in ("p@q.r", "s@t.u", "10.0.0.7"):
+        n_entity = sum(e in x for _, _, x in holds)
+        for w in vocabulary:
+            both = [t for t, ws, x in holds if w in ws and e in x]
+            n_term = sum(w in ws for _, ws, _ in holds)
+            if len(set(both)) >= 2 and len(both) >= 0.2 * n_term and np.log2(len(both) * len(rows) / (n_term * n_entity)) >= 1:
+                over.add(w)
+    found = by_id(disclosure.sanitised_spans(spark.createDataFrame(rows, "doc_id long, text string"), **limits))
+    assert 3 <= len(over) < 40
+    for i, t in rows:
+        assert {p["value"] for p in found[i]["terms"] or []} == over & set(t.split())
+
+
+def test_suffixes_with_zero_bytes(spark):
+    rng = random.Random(19)
+    rows = []
+    for i in range(60):
+        t = "".join(rng.choice(string.ascii_letters) for _ in range(60))
+        rows += [(2 * i, t), (2 * i + 1, t + "\0" * 10), (1000 + i, "\0" * 5 + t)]
+    found = by_id(suffixes.removed(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(found[2 * i]["n_removed"] == 0 and found[2 * i + 1]["n_removed"] == 60 for i in range(60))
+    assert all(found[1000 + i]["n_removed"] == 60 for i in range(60))
+
+
+def test_open_elements_hide_no_text():
+    prose = "The river rose in the night, and by morning, the lower streets stood under water. Nobody was hurt."
+    weights = np.array([-1.0, 1.0, -1.0, -2.0, 1.0, 1.0, 0.0, -1.0, 0.0])
+    article = f"<article><p>{prose}</p></article><div class='sidebar'><p>Menu</p></div><footer><p>All rights kept</p></footer>"
+    home = "<nav><a href=y>Home</a></nav>"
+    for page in (
+        f"<html><head><title>a <p> b</title><meta charset=x><script>'<p>'</script>{article}",
+        f"<html><head><title>T</title><noscript><p>Enable it</p></noscript><body>{article}",
+        f"<head>{prose}",
+        f"<body><article><svg><path d=1><p>{prose}</p></article>",
+        f"<body><article><button>Buy<p>{prose}</p></article>",
+        f"<body><article><button>Buy<button>Sell</button><p>{prose}</p></article>",
+        f"<body><article><button><div>Buy</div> now</button><p>{prose}</p></article>",
+        f"<body><div><svg><g></div>{article}<svg></svg>",
+        f"<body><div><select><option>One</div>{article}<select></select>",
+        f"<body><article><svg><svg><text>x</text></svg><text>y</text></svg><p>{prose}</p></article>",
+        f"<body><form action=x>{home}<main><p>{prose}</p></main></form>",
+        f"<body><form action=x>{home}{article}</form>",
+        f"<body><form action=x>{home}<div><p>{prose}</p></div></form>",
+        f"<body><div role=form><main><p>{prose}</p></main></div>",
+        f"<body><article><p>{prose}</p><form><p>Your name and mail, please, and a comment.</p></form></article>",
+    ):
+        assert pages.extract(page, weights) == prose
+
+
+def test_pages_awkward_rows(spark):
+    page = "<body><nav>Home</nav><article><p>One line of the text, and more.</p></article><footer>End</footer>"
+    long = "<body><article>" + "<p>Some words of a long page, with a stop.</p>" * 3000 + "</article>"
+    rows = [(1, None, page, "a"), (1, None, page, "a"), (2, "u", long, "b"), (None, "u", page, "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string").withColumn("n_chars", F.lit("clash"))
+    found = pages.main_texts(df).collect()
+    assert len(found) == 4 and [r["text"] for r in found if r["page_id"] == 1] == ["One line of the text, and more."] * 2
+    line = "Some words of a long page, with a stop."
+    assert found[2]["text"] == "\n".join([line] * 3000)
+    assert pages.train(df, most=1) == [0.0] * pages.FEATURES
+
+
+def test_masked_rows(spark):
+    key = "ghp_" + "aB3dE6gH9j" * 4
+    rows = [(1, f"token {key} here", "a"), (1, f"token {key} here", "a"), (2, None, "b"), (None, f"token {key} here", None), (3, "", "c")]
+    rows += [(10 + i, f"see page {i}0-of-the-very-long-list-of-pages", "d") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, value string").withColumn("key", F.lit("clash"))
+    out = secret_scan.masked(df)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in out.collect() if r["doc_id"] is None or r["doc_id"] < 10), key=str)
+    hidden = "token [SECRET] here"
+    assert got == sorted([(False, 1, hidden), (False, 1, hidden), (False, 2, None), (True, 0, hidden), (False, 3, "")], key=str)
+    text = F.col("text")
+    both = df.na.fill("", ["text"]).select((F.size(secret_scan.candidate_spans(text)) > 0).alias("a"), secret_scan.has_candidates(text).alias("b"))
+    assert all(r["a"] == r["b"] for r in both.collect())
