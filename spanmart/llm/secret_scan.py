@@ -78,6 +78,12 @@ def candidate_spans(text: Column) -> Column:
     return F.filter(found, lambda c: c["value"].rlike("[0-9_/+=-]"))
 
 
+def has_candidates(text: Column) -> Column:
+    """Whether a text has any of ``candidate_spans``, found without their places."""
+    every = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    return text.rlike(POSSIBLE) & F.exists(every, lambda v: v.rlike("[0-9_/+=-]"))
+
+
 def _before(text: Column, start: Column) -> Column:
     at = F.greatest(start - BESIDE, F.lit(0))
     return F.substring(text, at + 1, start - at)
@@ -188,16 +194,15 @@ def masked(docs: DataFrame, forest=None, sample: int = SAMPLE) -> DataFrame:
     """The documents with every secret replaced by ``[SECRET]``; all columns and rows stay.
 
     Only the few texts with candidates are touched: their findings are gathered by text and
-    joined back; the others pass by.
+    joined back; the others pass by.  A missing text stays missing; repeated rows stay repeated.
     """
     names = docs.columns
     plain = docs.select(*[docs[c].alias(f"__{i}") for i, c in enumerate(names)])
     text = f"__{names.index('text')}"
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    untouched = plain.where(~has_candidates(body))
     # Equal texts have equal findings, so the text's hash is the key; copies are searched once.
-    possible = F.size(candidate_spans(body)) > 0
-    untouched = plain.where(~possible)
-    with_id = plain.where(possible).withColumn("__key", F.sha2(body, 256))
+    with_id = cut(plain.where(has_candidates(body)).withColumn("__key", F.sha2(body, 256)))
     subject = with_id.select(F.col("__key").alias("key"), body.alias("text")).groupBy("key").agg(
         F.any_value("text").alias("text")
     )
