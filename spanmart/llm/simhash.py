@@ -171,11 +171,10 @@ def deduplicated(docs: DataFrame, shingle: int = 3) -> DataFrame:
     told = documents(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     rows = map_rows(told, run, "doc_id long, text_hash string, fingerprint long")
     prints = cut(rows.groupBy("doc_id", "text_hash", "fingerprint").agg(F.count("*").alias("n_rows")))
+    # The first of each fingerprint before they meet, so that copies cost no join.
+    least = prints.groupBy("fingerprint").agg(F.min(F.struct("doc_id", "text_hash", "n_rows")).alias("first"))
     first = (
-        prints.join(_components(prints), "fingerprint")
-        .groupBy("component")
-        .agg(F.min(F.struct("doc_id", "text_hash", "n_rows")).alias("first"))
-        .select("first.*")
+        least.join(_components(prints), "fingerprint").groupBy("component").agg(F.min("first").alias("first")).select("first.*")
     )
     found = marked.join(first, ["doc_id", "text_hash"])
     once = found.where("n_rows = 1")
