@@ -13,9 +13,10 @@ the driver, sent to every task; the same row therefore always falls into the
 same slice, whatever is computed twice or again.
 
 The list of hot keys comes to the driver only up to ``max_hot`` entries,
-largest first, and all their cuts up to ``MAX_CUTS``, which bounds what is
-broadcast. Keys beyond that list stay on the regular path; none of them can hold
-more than 1/max_hot of the rows.
+largest first, and all their cuts up to about ``MAX_CUTS``, which bounds what is
+broadcast. Only keys of more rows than a slice are cut: cuts follow the rows and
+not the number of hot keys. Keys beyond the list stay on the regular path; none
+of them can hold more than 1/max_hot of the rows.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from dataclasses import dataclass, replace
 from functools import reduce
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +37,8 @@ SLICE_FACTOR = 4
 LEAST_SLICE = 64
 # Cuts over all hot keys together, and rows sampled for each of them.
 MAX_CUTS = 1 << 14
+# Where slices are divided into bins, fewer of them do.
+MAX_BINNED_CUTS = 1 << 12
 SAMPLED = 24
 # Buckets per cut, so that a bucket has few cuts.
 BUCKETS = 4
@@ -106,11 +109,14 @@ class Cuts:
     (``__k_<key>``) with what finds a slice: the key's first cut and their number, and how its number line
     is divided into buckets. ``before`` and ``inside`` tell for each bucket how many cuts lie before it
     and in it, so that a row is compared with the few cuts of its own bucket only. ``edges`` has each cut's
-    place; slices are divided into ``bins`` of equal width there.
+    place; slices are divided into ``bins`` of equal width there. ``table`` is None where no key is cut;
+    ``listed`` has all hot keys where some are not, and those have the place ``uncut``.
     """
 
     keys: list[str]
-    table: DataFrame
+    table: DataFrame | None
+    listed: DataFrame | None
+    uncut: Column
     most: int
     whole: Column
     before: Column
@@ -126,12 +132,20 @@ class Cuts:
     @property
     def cells(self) -> int:
         """More than any cell number."""
-        return (self.most + 1) * self.bins
+        return self.most * self.bins + 1
 
     def on(self, df: DataFrame) -> DataFrame:
         """Rows of hot keys, ready for ``placed``; the column ``__cut`` is added."""
+        if self.listed is not None:
+            hot = F.broadcast(self.listed)
+            df = df.join(hot, same_keys(df, hot, self.keys, "__k_"), "left_semi")
+        if self.table is None:
+            return df.withColumn("__cut", self.uncut)
         small = F.broadcast(self.table)
-        joined = df.join(small, same_keys(df, small, self.keys, "__k_"))
+        how = "inner" if self.listed is None else "left"
+        joined = df.join(small, same_keys(df, small, self.keys, "__k_"), how)
+        if self.listed is not None:
+            joined = joined.withColumn("__cut", F.coalesce("__cut", self.uncut))
         return joined.drop(*[f"__k_{k}" for k in self.keys])
 
     def placed(self, df: DataFrame, name: str, *order: Column, place: Column | None = None) -> DataFrame:
@@ -139,6 +153,8 @@ class Cuts:
 
         ``place`` is the first column's position, if the cuts were made with one.
         """
+        if self.table is None:
+            return df.withColumn(name, F.lit(0))
         cut = F.col("__cut")
         row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)])
         # What is used more than once is a column of its own, so that the plan stays small.
@@ -180,22 +196,33 @@ class Cuts:
         return df.withColumn(name, cell).drop("__at_slice", "__lower", "__upper")
 
     def last_cell(self) -> Column:
-        return ((F.col("__cut.n") + 1) * self.bins - 1).cast("long")
+        """The cell of what lies behind a key's last cut."""
+        return (F.col("__cut.n") * self.bins).cast("long")
 
 
 def _bits(n: Column) -> Column:
     return F.when(n > 0, F.length(F.bin(n))).otherwise(0)
 
 
+def _uncut(lut: int) -> Column:
+    """The ``__cut`` of a key without cuts; ``lut`` is behind all buckets."""
+    none = F.lit(None).cast("double")
+    return F.struct(
+        F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(lut).alias("lut"),
+        none.alias("lo"), none.alias("hi"), F.lit(1).cast("long").alias("width"),
+    )
+
+
 @dataclass(frozen=True)
 class HotKeys:
-    """Hot keys and how many rows each has, as a local table (``__k_<key>``, ``__n``)."""
+    """Hot keys and how many rows each has, as a local table (``__k_<key>``, ``__n``) and as its rows."""
 
     keys: list[str]
     hot_rows: int = 0
     listed: DataFrame | None = None
     total: int = 0
     bounds: DataFrame | None = None
+    counts: tuple[Row, ...] = ()
 
     def with_bounds(self, *tables: tuple[DataFrame, str, str]) -> HotKeys:
         """Sample cuts of time from these (table, start, end) in place of what is derived from them.
@@ -229,22 +256,33 @@ class HotKeys:
         rows: int | None = None,
         place: Column | None = None,
         bins: int = 1,
-        max_cuts: int = MAX_CUTS,
+        max_cuts: int | None = None,
     ) -> Cuts:
         """Cut the hot keys at quantiles of ``order`` over the rows of ``df``, about ``rows`` rows to a slice.
 
         One job over a sample of hot rows, a fixed number per cut. Slices of ``bins`` times as many rows are
         divided into bins, where there is a ``place``, which keeps the cuts few. Beyond ``max_cuts`` slices
-        grow, and their bins become more.
+        grow, and their bins become more. A key that fits one slice is left whole.
         """
+        if max_cuts is None:
+            max_cuts = MAX_CUTS if place is None or bins == 1 else MAX_BINNED_CUTS
         rows = rows or max(LEAST_SLICE, self.hot_rows // SLICE_FACTOR)
         per_slice = max(rows if place is None else rows * bins, -(-self.total // max_cuts))
+        n_bins = 1 if place is None else -(-per_slice // rows)
+        fields = [f for f in self.listed.schema.fields if f.name != "__n"]
+        large = [tuple(r[:-1]) for r in self.counts if r["__n"] > per_slice]
+        if not large:
+            none = _constant([], "array<int>")
+            return Cuts(self.keys, None, self.listed, _uncut(0), 0, none, none, none, none, n_bins)
         kept = [F.col(k).alias(f"k{i}") for i, k in enumerate(self.keys)]
         kept += [c.alias(f"c{i}") for i, c in enumerate(order)]
         names = [f"k{i}" for i in range(len(self.keys))]
         orders = [f"c{i}" for i in range(len(order))]
         at = F.lit(None) if place is None else place
         picked = self.hot(df)
+        if len(large) < len(self.counts):
+            some = F.broadcast(df.sparkSession.createDataFrame(large, T.StructType(fields)))
+            picked = df.join(some, same_keys(df, some, self.keys, "__k_"), "left_semi")
         share = min(1.0, SAMPLED / per_slice)
         if share < 0.5:
             picked = picked.sample(share, seed=7)
@@ -300,15 +338,9 @@ class HotKeys:
             before += [0, *accumulate(counts)][:-1]
             inside += counts
             at, most = at + len(buckets), max(most, len(buckets))
-        # Keys that the sample missed have no cut.
-        known = {p[:-1] for p in places}
-        places += [
-            (*r[:-1], (0, 0, len(before), None, None, 1))
-            for r in self.listed.collect()
-            if tuple(r[:-1]) not in known
-        ]
+        # The place of keys without a cut: those of one slice, and any that the sample missed.
+        uncut = _uncut(len(before))
         before, inside = [*before, 0, 0, 0], [*inside, 0, 0, 0]
-        fields = [f for f in self.listed.schema.fields if f.name != "__n"]
         found = T.StructType(
             [T.StructField(n, T.IntegerType()) for n in ("at", "n", "lut")]
             + [T.StructField(n, T.DoubleType()) for n in ("lo", "hi")]
@@ -317,12 +349,14 @@ class HotKeys:
         return Cuts(
             self.keys,
             df.sparkSession.createDataFrame(places, T.StructType([*fields, T.StructField("__cut", found)])),
+            self.listed if len(places) < len(self.counts) else None,
+            uncut,
             most,
             F.from_json(F.lit(row["whole"] or "[]"), all_of, _FORMATS),
             _constant(before, "array<int>"),
             _constant(inside, "array<int>"),
             F.from_json(F.lit(row["edges"] or "[]"), "array<bigint>"),
-            1 if place is None else -(-per_slice // rows),
+            n_bins,
         )
 
 
@@ -355,11 +389,12 @@ def find_hot_keys(
         .agg(F.count(F.lit(1)).alias("__n"))
         .filter(F.col("__n") > hot_rows)
     )
-    largest = stats.orderBy(F.col("__n").desc()).limit(max_hot).collect()
+    # The largest are told apart in a task: the driver gets no more than ``max_hot`` rows.
+    largest = stats.orderBy(F.col("__n").desc()).limit(max_hot).repartition(1).collect()
     if not largest:
         return HotKeys(list(keys), hot_rows)
     listed = stats.sparkSession.createDataFrame(largest, stats.schema)
-    return HotKeys(list(keys), hot_rows, listed, sum(r["__n"] for r in largest))
+    return HotKeys(list(keys), hot_rows, listed, sum(r["__n"] for r in largest), counts=tuple(largest))
 
 
 def both_paths(regular: DataFrame, sliced: DataFrame | None) -> DataFrame:

@@ -211,3 +211,21 @@ def test_no_rows(spark):
     joined = common_interval_join([(empty[0], "as", "ae"), (empty[1], "bs", "be")], ["k"], hot_rows=1)
     assert joined.collect() == []
     assert reduce(lambda a, b: a and b, [running_ordinal(e, ["k"], [e.columns[1]], "n", hot_rows=1).collect() == [] for e in empty])
+
+
+def test_plans_do_not_grow_with_the_number_of_hot_keys(spark):
+    """Keys that fit one slice are not cut, however many are hot; a larger one among them is, and rows stay."""
+
+    def joined(keys, hot_rows, large=0):
+        tables = []
+        for name in "ab":
+            rows = spark.range(keys * 10 + large).select(
+                F.when(F.col("id") < keys * 10, F.col("id") % keys).otherwise(-1).alias("k"),
+                F.col("id").alias(name), (F.col("id") * 7 % 31).alias(f"{name}s"), (F.col("id") * 7 % 31 + 3).alias(f"{name}e"),
+            )
+            tables.append((rows, f"{name}s", f"{name}e"))
+        return common_interval_join(tables, ["k"], hot_rows=hot_rows)
+
+    length = lambda df: len(df._jdf.queryExecution().analyzed().toString())
+    assert length(joined(2_000, 8)) < 1.5 * length(joined(20, 8))
+    assert rows_of(joined(12, 8, 200)) == rows_of(joined(12, None, 200))
