@@ -64,7 +64,8 @@ PERIODS_SQL = """periods AS (
 def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as periods per customer, as long as the quantity in days."""
     items = load(spark, sf_dir, "lineitem")
-    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    # Two columns of a large file look small enough to be broadcast, all their rows are not.
+    orders = load(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").hint("merge")
     return items.join(orders, items.l_orderkey == orders.o_orderkey).select(
         "o_custkey",
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("shipment"),

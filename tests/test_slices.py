@@ -229,3 +229,18 @@ def test_plans_do_not_grow_with_the_number_of_hot_keys(spark):
     length = lambda df: len(df._jdf.queryExecution().analyzed().toString())
     assert length(joined(2_000, 8)) < 1.5 * length(joined(20, 8))
     assert rows_of(joined(12, 8, 200)) == rows_of(joined(12, None, 200))
+
+
+def test_items_meet_orders_without_a_broadcast(spark, tmp_path):
+    """Two columns of a compressed file look small, all their rows need not be."""
+    from registered.common import shipments
+
+    orders = spark.range(3).selectExpr("id o_orderkey", "id % 2 o_custkey")
+    items = spark.range(3).selectExpr(
+        "id l_orderkey", "1 l_linenumber", "id l_partkey", "'R' l_returnflag", "timestamp_ntz'2024-01-01' l_shipdate", "2d l_quantity"
+    )
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    items.write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = shipments(spark, str(tmp_path))
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rows_of(found, "o_custkey", "shipment") == [(0, 1), (0, 21), (1, 11)]
