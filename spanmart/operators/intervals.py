@@ -43,15 +43,25 @@ def _bounds(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
     return df.select(*keys, F.explode(F.array(F.col(start), F.col(end))).alias("__at"))
 
 
+def _shared_bounds(rows: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
+    """The bounds of rows that are shuffled already and read a second time elsewhere.
+
+    All columns are looked at. A branch that reads fewer would be pruned below the shuffle,
+    and the rows be made and shuffled once for each branch in place of once for both.
+    """
+    whole = F.size(F.array(F.struct(*[F.col(c) for c in rows.columns]))) == 1
+    ends = F.when(whole, F.array(F.col(start), F.col(end)))
+    return rows.select(*keys, F.explode(ends).alias("__at"))
+
+
 def _pieces(points: DataFrame, keys: list[str]) -> DataFrame:
     """Pair each bound with the next one of its key; ``__tail`` marks the last bound.
 
-    Keys must be regular: one shuffle by key serves distinct and window.
+    Keys must be regular and points shuffled by them, which serves distinct and window.
     """
     by_key = Window.partitionBy(*keys).orderBy(F.col("__at").asc_nulls_last())
     return (
-        points.repartition(*keys)
-        .distinct()
+        points.distinct()
         .select(
             *keys,
             F.col("__at").alias("__from"),
@@ -198,7 +208,8 @@ def sequentialize_table(
 
 def _pick_by_key(rows: DataFrame, choice: _Choice, far: Column) -> DataFrame:
     keys = choice.keys
-    pieces = _pieces(_bounds(rows, keys, "__start", "__end"), keys).filter(~F.col("__tail"))
+    rows = rows.repartition(*keys)
+    pieces = _pieces(_shared_bounds(rows, keys, "__start", "__end"), keys).filter(~F.col("__tail"))
     covered = rows.select(
         *[F.col(k).alias(f"__r_{k}") for k in keys],
         "__start",
@@ -468,7 +479,7 @@ def _merge_by_key(
     hot: HotKeys, sides: dict[str, DataFrame], keys: list[str], far: Column, hows: dict[str, str]
 ) -> DataFrame:
     parts = {tag: hot.regular(df) for tag, df in sides.items()}
-    joined = _pieces(_all_points(parts, keys), keys).drop("__tail")
+    joined = _pieces(_all_points(parts, keys).repartition(*keys), keys).drop("__tail")
     for tag, how in hows.items():
         joined = _cover_by_key(joined, parts[tag], keys, tag, far, how)
     return joined

@@ -536,3 +536,21 @@ def test_more_hot_keys_than_are_listed(spark, monkeypatch):
         df, df, ["k"], "s", "e", ["r"], "s", "e", ["r"], hot_rows=None
     )
     assert sorted(rows_of(merged), key=str) == sorted(rows_of(plain), key=str)
+
+
+def test_rows_are_made_once(spark):
+    """Bounds and rows come from one shuffle, so what a table is derived from is not computed for each."""
+
+    # Every row made adds one, so a second derivation shows.
+    made = spark.sparkContext.accumulator(0)
+
+    def count(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    rows = [(n % 7, f"v{n}", day(n), day(n + 3), n) for n in range(70)]
+    rdd = spark.sparkContext.parallelize(rows, 2).mapPartitions(count)
+    df = spark.createDataFrame(rdd, "k int, v string, s timestamp, e timestamp, r int")
+    found = sequentialize_table(df, ["k"], "s", "e", ["r"], value_cols=["v"], hot_rows=None)
+    assert len(found.collect()) > 0 and made.value == 70
