@@ -618,3 +618,42 @@ def test_masked_rows(spark):
     text = F.col("text")
     both = df.na.fill("", ["text"]).select((F.size(secret_scan.candidate_spans(text)) > 0).alias("a"), secret_scan.has_candidates(text).alias("b"))
     assert all(r["a"] == r["b"] for r in both.collect())
+
+
+def test_messages_follow_the_texts_and_not_the_partitions(spark):
+    """Repeated passages and byte matches: chunks times buckets must not grow with a session's many partitions."""
+    from spanmart.llm import chunks
+
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(80))) for i in range(40)]
+    docs = chunks.with_keys(spark.createDataFrame(rows, "doc_id long, text string"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+
+    def sent(sender, dealt):
+        n = chunks.chunk_count(docs)
+        fn = sender(chunks.bucket_count(n))
+        return chunks.per_chunk(dealt(docs, n), None, fn, chunks.PACKED).count()
+
+    found = []
+    try:
+        for partitions in ("40", "160"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            found.append(
+                (
+                    sent(suffixes.send_anchors, chunks.dealt_rows),
+                    sent(passages.send_seeds, chunks.distinct_texts),
+                )
+            )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+
+
+def test_chunks_grow_with_the_texts(spark, monkeypatch):
+    from spanmart.llm import chunks
+
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(10)], "doc_id long, text string")
+    assert chunks.chunk_count(docs) == chunks.CHUNKS * 2  # the session has two partitions
+    monkeypatch.setattr(chunks, "FEW_CHUNKS", 1)
+    assert chunks.chunk_count(docs) == 1
+    monkeypatch.setattr(chunks, "CHUNK_BYTES", 250)
+    assert chunks.chunk_count(docs) == 4
