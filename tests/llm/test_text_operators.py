@@ -5,6 +5,7 @@ import json
 import random
 import re
 import string
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -557,6 +558,23 @@ def test_terms_equal_counting(spark):
         assert {p["value"] for p in found[i]["terms"] or []} == over & set(t.split())
 
 
+def test_suffixes_of_a_bucket_in_bounded_memory():
+    """A bucket's suffixes are many times its rows: they are not sorted all at once."""
+    rng = np.random.default_rng(5)
+    n = 120_000
+    data = rng.integers(97, 123, (n, suffixes.AROUND), dtype=np.uint8)
+    data[1::2] = data[::2]
+    data[1::2, 0] ^= 1  # all strings but the one that begins at the first byte
+    asked = np.full(n, (1 << (suffixes.BACK + 1)) - 1, np.uint32)
+    doc = np.arange(n)
+    tracemalloc.start()
+    seen = suffixes.judged(data.view("V76").ravel(), asked, doc)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert not seen[::2].any() and (seen[1::2] == asked[1::2] & ~np.uint32(1 << suffixes.BACK)).all()
+    assert peak < 250 << 20
+
+
 def test_suffixes_with_zero_bytes(spark):
     rng = random.Random(19)
     rows = []
