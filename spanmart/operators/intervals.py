@@ -12,6 +12,7 @@ and cells of their timeline (see ``hotkeys``).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,6 +33,8 @@ _TREE_BITS = 2
 CELL_ROWS = 128
 # Rows wider than this do not travel through the tree.
 WIDE_BYTES = 96
+# Up to so many values of fixed width are columns of their own: a struct would be sorted to be aggregated.
+FLAT_VALUES = 16
 
 
 def _need_keys(keys: list[str]) -> None:
@@ -97,7 +100,7 @@ def _cell_pieces(points: DataFrame, keys: list[str], cuts: Cuts) -> tuple[DataFr
     firsts = celled.groupBy(*on).agg(F.min("__at").alias("__first"))
     slice_of = F.floor(F.col("__cell") / cuts.bins)
     follow = lambda part, by: F.lead("__first").over(Window.partitionBy(*part).orderBy(by))
-    if cuts.bins == 1:
+    if cuts.bins == 1 or cuts.table is None:
         nexts = firsts.withColumn("__next_first", follow(keys, "__cell"))
     else:
         # Cells of a slice first, then one row per slice.
@@ -134,14 +137,21 @@ class _Choice:
     end: str
     values: list[str]
     flag: str | None
+    flat: bool
 
-    def aggregates(self, rows: Column) -> list[Column]:
+    @property
+    def packed(self) -> list[str]:
+        """The columns in which values travel."""
+        if self.flat:
+            return [f"__v{i}" for i in range(len(self.values))]
+        return ["__values"] if self.values else []
+
+    def aggregates(self, rows: Column, packed: list[str] | None = None) -> list[Column]:
         out = [F.sum(rows).alias("__n")] if self.flag else []
         if self.values:
-            out += [
-                F.max_by("__values", "__order").alias("__values"),
-                F.max("__order").alias("__order"),
-            ]
+            # All columns see the same rows in the same order, so they keep the values of one row in ties too.
+            out += [F.max_by(c, "__order").alias(c) for c in (self.packed if packed is None else packed)]
+            out.append(F.max("__order").alias("__order"))
         return out
 
     def finish(self, df: DataFrame) -> DataFrame:
@@ -149,7 +159,10 @@ class _Choice:
             *self.keys,
             F.col("__from").alias(self.start),
             F.col("__to").alias(self.end),
-            *[F.col("__values").getField(v).alias(v) for v in self.values],
+            *[
+                (F.col(f"__v{i}") if self.flat else F.col("__values").getField(v)).alias(v)
+                for i, v in enumerate(self.values)
+            ],
         ]
         if self.flag:
             out.append((F.col("__n") > 1).alias(self.flag))
@@ -189,9 +202,11 @@ def sequentialize_table(
         df = df.filter(pre_filter)
     far = far_future_for(df, end, far_future)
     valid = df.filter(all_not_null(keys) & (F.col(start) < F.coalesce(F.col(end), far)))
-    choice = _Choice(keys, start, end, list(value_cols), flag_overlaps_column)
     order = F.col(order_cols[0]) if len(order_cols) == 1 else F.struct(*order_cols)
-    packed = [F.struct(*value_cols).alias("__values"), order.alias("__order")]
+    flat = len(value_cols) <= FLAT_VALUES and _fixed_width(valid.select(*value_cols, order))
+    choice = _Choice(keys, start, end, list(value_cols), flag_overlaps_column, flat)
+    values = [F.col(v).alias(c) for v, c in zip(value_cols, choice.packed)] if flat else [F.struct(*value_cols).alias("__values")]
+    packed = [*values, order.alias("__order")]
     rows = valid.select(
         *keys,
         F.col(start).alias("__start"),
@@ -243,17 +258,20 @@ def _pick_by_cell(
     keys = choice.keys
     # A row goes to several nodes. Wide rows send only their bounds there, and the
     # values of the winners are fetched once, at the end.
-    fetch = bool(choice.values) and _width(rows, "__values") > WIDE_BYTES
+    fetch = bool(choice.values) and _width(rows, choice.packed) > WIDE_BYTES
+    carried = ["__w_start", "__w_end"] if fetch else choice.packed
     bounds = lambda df: _bounds(df, keys, "__start", "__end").filter(F.col("__at").isNotNull())
     cuts = _bound_cuts(bounds(rows), hot, max_cuts)
     counted = lambda df: df.agg(*choice.aggregates(F.lit(1)) or [F.lit(1).alias("__one")])
-    summed = lambda df: df.agg(*choice.aggregates(F.col("__n")) or [F.lit(1).alias("__one")])
+    summed = lambda df: df.agg(*choice.aggregates(F.col("__n"), carried) or [F.lit(1).alias("__one")])
     # Copies of one interval cover the same pieces: they are combined first, and map-side.
     spans = counted(hot.hot(rows).groupBy(*keys, "__start", "__end"))
     points = bounds(spans)
     pieces, cells = _cell_pieces(points, keys, cuts)
 
-    narrow = spans.withColumn("__values", F.struct("__start", "__end")) if fetch else spans
+    narrow = spans
+    if fetch:
+        narrow = spans.drop(*choice.packed).withColumns({"__w_start": F.col("__start"), "__w_end": F.col("__end")})
     kind = points.schema["__at"].dataType
     timed = narrow.withColumns(
         {"__stop": F.coalesce(F.col("__end"), far), "__s": F.col("__start").cast(kind)}
@@ -261,33 +279,16 @@ def _pick_by_cell(
     filed = cuts.on(timed)
     for bound, cell in (("__s", "__a"), ("__e", "__b")):
         filed = cuts.celled(filed, cell, F.col(bound), place_of(timed, bound))
-    payload = [c for c in ("__n", "__values", "__order") if c == "__n" or c in filed.columns]
-    payload = payload if choice.flag else [c for c in payload if c != "__n"]
+    payload = (["__n"] if choice.flag else []) + ([*carried, "__order"] if choice.values else [])
     renamed = [F.col(k).alias(f"__r_{k}") for k in keys]
 
     # An outer explode infers no filter, which would evaluate the cells again below.
     local = filed.withColumn("__r_cell", F.explode_outer(F.array_distinct(F.array("__a", "__b"))))
     local = local.select(*renamed, "__r_cell", "__start", "__stop", *payload)
-    between = filed.withColumns({"__lo": F.col("__a") + 1, "__hi": F.greatest("__b", F.col("__a") + 1)})
-    nodes = summed(
-        between.withColumn("__node", F.explode_outer(_covering_nodes()))
-        .filter(F.col("__node").isNotNull())
-        .withColumns({"__n_level": F.col("__node.level"), "__n_id": F.col("__node.id")})
-        .groupBy(*[F.col(k).alias(f"__n_{k}") for k in keys], "__n_level", "__n_id")
-    )
-    height = -(-max(cuts.cells, 1).bit_length() // _TREE_BITS)
-    levels = cells.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(height)))).withColumn(
-        "__id", F.expr(f"shiftright(__cell, cast({_TREE_BITS} * __level as int))")
-    )
-    above = (
-        key_condition(levels, nodes, keys, "__n_")
-        & (levels["__level"] == nodes["__n_level"])
-        & (levels["__id"] == nodes["__n_id"])
-    )
-    spanning = summed(
-        levels.join(nodes, above).groupBy(*renamed, F.col("__cell").alias("__r_cell"))
-    )
-    covered = local.unionByName(spanning, allowMissingColumns=True)
+    covered = local
+    if cuts.table is not None:
+        spanning = _spanning(filed, cells, choice, cuts, payload, summed)
+        covered = local.unionByName(spanning, allowMissingColumns=True)
     meets = (
         key_condition(pieces, covered, keys, "__r_")
         & (pieces["__cell"] == covered["__r_cell"])
@@ -303,19 +304,58 @@ def _pick_by_cell(
     ).drop("__cell")
     if not fetch:
         return best
-    best = best.withColumnRenamed("__values", "__winner")
-    found = spans.select(*[F.col(k).alias(f"__v_{k}") for k in keys], "__start", "__end", "__values")
+    found = spans.select(*[F.col(k).alias(f"__v_{k}") for k in keys], "__start", "__end", *choice.packed)
     # No winner where every order is NULL.
     same = (
         key_condition(best, found, keys, "__v_")
-        & (F.col("__winner.__start") == F.col("__start"))
-        & F.col("__winner.__end").eqNullSafe(F.col("__end"))
+        & (F.col("__w_start") == F.col("__start"))
+        & F.col("__w_end").eqNullSafe(F.col("__end"))
     )
     return best.join(found, same, "left")
 
 
-def _width(df: DataFrame, col: str) -> int:
-    """Rough bytes per value of a struct column, by type."""
+def _spanning(
+    filed: DataFrame, cells: DataFrame, choice: _Choice, cuts: Cuts, payload: list[str], summed: Callable
+) -> DataFrame:
+    """The best of the rows that span a whole cell, for each cell; there are none without cuts."""
+    keys = choice.keys
+    renamed = [F.col(k).alias(f"__r_{k}") for k in keys]
+    between = filed.withColumns({"__lo": F.col("__a") + 1, "__hi": F.greatest("__b", F.col("__a") + 1)})
+    # Rows share the halves of their runs of cells, and are combined by them before they meet the nodes.
+    halves = between.withColumn("__mid", _middle()).withColumn(
+        "__half",
+        F.explode(F.array(F.struct(F.col("__lo").alias("lo"), F.col("__mid").alias("hi")), F.struct(F.col("__mid").alias("lo"), F.col("__hi").alias("hi")))),
+    )
+    halves = halves.select(*keys, F.col("__half.lo").alias("__lo"), F.col("__half.hi").alias("__hi"), *payload)
+    halves = summed(halves.filter(F.col("__lo") < F.col("__hi")).groupBy(*keys, "__lo", "__hi"))
+    nodes = summed(
+        halves.withColumn("__node", F.explode_outer(_covering_nodes()))
+        .filter(F.col("__node").isNotNull())
+        .withColumns({"__n_level": F.col("__node.level"), "__n_id": F.col("__node.id")})
+        .groupBy(*[F.col(k).alias(f"__n_{k}") for k in keys], "__n_level", "__n_id")
+    )
+    height = -(-max(cuts.cells, 1).bit_length() // _TREE_BITS)
+    levels = cells.withColumn("__level", F.explode(F.sequence(F.lit(0), F.lit(height)))).withColumn(
+        "__id", F.expr(f"shiftright(__cell, cast({_TREE_BITS} * __level as int))")
+    )
+    above = (
+        key_condition(levels, nodes, keys, "__n_")
+        & (levels["__level"] == nodes["__n_level"])
+        & (levels["__id"] == nodes["__n_id"])
+    )
+    return summed(
+        levels.join(nodes, above).groupBy(*renamed, F.col("__cell").alias("__r_cell"))
+    )
+
+
+def _fixed_width(df: DataFrame) -> bool:
+    """Whether Spark can aggregate all columns in a hash table; others it sorts."""
+    kinds = (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return all(isinstance(f.dataType, kinds) for f in df.schema.fields)
+
+
+def _width(df: DataFrame, cols: list[str]) -> int:
+    """Rough bytes per row of these columns, by type."""
 
     def size(dtype: T.DataType) -> int:
         if isinstance(dtype, T.StructType):
@@ -324,7 +364,7 @@ def _width(df: DataFrame, col: str) -> int:
             return 32
         return 128 if isinstance(dtype, (T.ArrayType, T.MapType)) else 8
 
-    return size(df.schema[col].dataType)
+    return sum(size(df.schema[c].dataType) for c in cols)
 
 
 def _tree_height(count: Column) -> Column:
@@ -332,6 +372,12 @@ def _tree_height(count: Column) -> Column:
     return F.ceil(F.length(F.bin(count)) / F.lit(_TREE_BITS)).cast("int")
 
 
+def _middle() -> Column:
+    """The roundest number of __lo … __hi in binary: runs of cells that begin or end alike have few of them."""
+    apart = F.length(F.bin((F.col("__lo") - 1).bitwiseXOR(F.col("__hi")))) - 1
+    return F.call_function("shiftleft", F.call_function("shiftright", F.col("__hi"), apart), apart)
+
+
 def _covering_nodes() -> Column:
     """Whole nodes that make up the leaves [__lo, __hi), as (level, id) structs.
 

@@ -9,7 +9,6 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
-from spanmart.operators import intervals
 from spanmart.operators.flatten import flatten_sequential_rows
 from spanmart.operators.hotkeys import find_hot_keys, place_of
 from spanmart.operators.interval_joins import (
@@ -18,6 +17,7 @@ from spanmart.operators.interval_joins import (
     point_in_interval_join,
     stab_join,
 )
+from spanmart.operators import intervals
 from spanmart.operators.intervals import sequentialize_table
 from spanmart.operators.ordinals import running_ordinal, tie_break
 
@@ -184,6 +184,25 @@ def test_a_far_sentinel_changes_nothing_but_the_balance(spark):
     assert flat(20) == flat(None)
 
 
+def test_sequentialize_hot_aggregates_without_sorting(spark):
+    rows = [(n % 2, n, n, n + 50, n * 3) for n in range(400)]
+    df = spark.createDataFrame(rows, "k int, v long, s int, e int, o long")
+    for hot in (5, None):
+        out = sequentialize_table(df, ["k"], "s", "e", ["o"], flag_overlaps_column="f", far_future=900, hot_rows=hot)
+        assert "SortAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_of_cells_share_halves(spark):
+    """Runs of cells are combined by halves, of which there are a few per cell, not by the nodes of every run."""
+    n = 60
+    pairs = [(a, b) for a in range(n) for b in range(a, n)]
+    runs = spark.createDataFrame(pairs, "__lo long, __hi long").filter("__lo > 0").withColumn("m", intervals._middle())
+    found = runs.collect()
+    assert all(r["__lo"] <= r["m"] <= r["__hi"] for r in found)
+    halves = {(r["__lo"], r["m"]) for r in found} | {(r["m"], r["__hi"]) for r in found}
+    assert len(halves) <= 2 * n * n.bit_length() < len(found)
+
+
 def exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
 
