@@ -424,6 +424,40 @@ def test_passages_apart(spark):
     assert found[2]["spans"] == "30-230,290-490"
 
 
+def test_passages_whose_seeds_began_elsewhere(spark):
+    """Every seed of a passage is first held by a text of its own, so that no two of them meet in a first text."""
+    rng = random.Random(22)
+    words = lambda k: ["".join(rng.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(k)]
+    rows = []
+    for case in range(5):
+        whole = words(100)
+        for i in range(20):
+            rows.append((1000 * case + i, " ".join(words(20) + whole[5 * i : 5 * i + 9] + words(20))))
+        changed = [w if k % 14 else words(1)[0] for k, w in enumerate(whole)]
+        rows.append((1000 * case + 100, " ".join(words(30) + whole + words(30))))
+        rows.append((1000 * case + 101, " ".join(words(40) + whole + words(20))))
+        rows.append((1000 * case + 102, " ".join(words(10) + changed + words(60))))
+    found = by_id(passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")))
+    for case in range(5):
+        assert found[1000 * case + 100]["n_repeated"] == 0
+        assert found[1000 * case + 101]["spans"] == "40-140" and found[1000 * case + 101]["sources"] == str(1000 * case + 100)
+        assert found[1000 * case + 102]["n_repeated"] >= 95
+
+
+def test_common_phrases_hide_no_passage(spark):
+    """A phrase that very many texts hold is no passage; the few that share more than it are found among them."""
+    rng = random.Random(23)
+    words = lambda k: ["".join(rng.choice(string.ascii_lowercase) for _ in range(7)) for _ in range(k)]
+    phrase, before, after = words(36), words(14), words(9)
+    rows = [(i, " ".join(words(40) + phrase + words(40))) for i in range(300)]
+    every = [w if k != 4 else words(1)[0] for k, w in enumerate(before)]
+    rows.append((400, " ".join(words(40) + before + phrase + after + words(40))))
+    rows.append((401, " ".join(words(26) + every + phrase + after + words(40))))
+    found = by_id(passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(found[i]["n_repeated"] == 0 for i in [*range(300), 400])
+    assert found[401]["sources"] == "400" and found[401]["spans"].endswith("-85") and found[401]["n_repeated"] >= 54
+
+
 def test_secrets_without_quotes(spark):
     rng = random.Random(14)
     mixed = lambda k: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(k - 2)) + "7q"
