@@ -609,6 +609,23 @@ def test_suffixes_of_a_bucket_in_bounded_memory():
     assert peak < 250 << 20
 
 
+def test_suffixes_ask_about_few_bytes():
+    """Questions about shared anchors are most of what is shuffled: as messages they are well under their 92 bytes a row."""
+    rng = random.Random(23)
+    words = ["".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(2, 9))) for _ in range(2000)]
+    shared = [" ".join(rng.choices(words, k=60)) for _ in range(300)]
+    texts = [[" ".join([*rng.choices(words, k=9), s, *rng.choices(words, k=9)]).encode() for s in shared] for _ in range(2)]
+    ids = [np.arange(300), np.arange(300, 600)]
+    sent = [m for c in (0, 1) for m in suffixes.send_anchors(1)(c, ids[c], texts[c], [])]
+    told = list(suffixes.shared_anchors(0, [(m["chunk"][0], m["data"][0]) for m in sent]))
+    rows = size = 0
+    for c in (0, 1):
+        own = [(0, m["data"][0]) for m in told if m["chunk"] == [c]]
+        rows += len(suffixes.Entries(ids[c], texts[c], own, 1).around)
+        size += sum(len(m["data"][0]) for m in suffixes.ask(1)(c, ids[c], texts[c], own))
+    assert rows > 10_000 and size < 50 * rows
+
+
 def test_suffixes_with_zero_bytes(spark):
     rng = random.Random(19)
     rows = []
