@@ -8,6 +8,7 @@ import string
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -424,6 +425,49 @@ def test_passages_apart(spark):
     assert found[2]["spans"] == "30-230,290-490"
 
 
+def test_words_have_their_library_hashes():
+    rng = random.Random(29)
+    texts = ["".join(rng.choice("aZé\x00\x1c0 \t\n\r\x0b\x0c" + "bQ" * 12) for _ in range(rng.randint(0, 400))).encode() for _ in range(300)]
+    texts += [b"", b" ", b"A" * 31 + b" " + b"A" * 32 + b" " + b"A" * 900, *(bytes([33]) * n for n in range(40))]
+    words = passages.Words(texts)
+    want = [[xxhash.xxh64_intdigest(w) for w in t.lower().split()] for t in texts]
+    assert np.diff(words.start).tolist() == [len(w) for w in want]
+    assert words.hash.tolist() == [h for w in want for h in w]
+    assert passages.Words([]).hash.size == passages.Words([b""]).hash.size == 0
+
+
+def test_words_repeated_over_and_over(spark):
+    """Stretches of few words make few pairs of seeds, and are still found in all earlier texts."""
+    rng = random.Random(31)
+    text = " ".join(f"{w} " * 170 for w in ("to", "the", "of", "in", "ha ho", "to")).encode()
+    words = passages.Words([text])
+    at, h = words.seeds()
+    seen = np.zeros(len(at), passages.SEEN)
+    seen["place"], seen["hash"], seen["many"] = at, h, 1
+    assert len(at) > 800 and len(passages._near_pairs(seen)[0]) < 250
+
+    def other(n):
+        return " ".join(f"w{rng.randint(0, 10**9)}" for _ in range(n))
+
+    rows = [(i, f"{other(30)} {'la ' * 60}{other(30)}") for i in range(3)] + [(9, f"{other(40)} {'la ' * 300}{other(40)}")]
+    found = by_id(passages.repeated(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert found[9]["spans"] == "40-340" and found[9]["sources"] == "0,1,2"
+    assert [found[i]["n_repeated"] for i in range(3)] == [0, 60, 60]
+
+
+def test_pairs_need_an_earlier_text():
+    """A key whose only open places are in the first text of one of its seeds is not asked for."""
+    seen = np.zeros(8, passages.SEEN)
+    seen["text"], seen["hash"], seen["many"] = np.repeat(np.arange(4), 2), np.tile([2, 4], 4), 1
+    seen["place"], seen["open"][:2], seen["begun"][:2] = np.tile([0, 7], 4), 1, 1
+    sent = list(passages.send_pairs(1)(0, pa.table({"text": range(4), "seeds": [seen[i : i + 2].tobytes() for i in range(0, 8, 2)]})))
+    asked = list(passages.open_pairs(1)(0, [(0, m["data"][0]) for m in sent if m["bucket"] == [0]]))
+    assert not asked
+    seen["open"][6] = 1
+    sent = list(passages.send_pairs(1)(0, pa.table({"text": range(4), "seeds": [seen[i : i + 2].tobytes() for i in range(0, 8, 2)]})))
+    assert len(list(passages.open_pairs(1)(0, [(0, m["data"][0]) for m in sent if m["bucket"] == [0]]))) == 1
+
+
 def test_passages_whose_seeds_began_elsewhere(spark):
     """Every seed of a passage is first held by a text of its own, so that no two of them meet in a first text."""
     rng = random.Random(22)
