@@ -137,7 +137,7 @@ class _Choice:
     end: str
     values: list[str]
     flag: str | None
-    flat: bool
+    flat: bool = False
 
     @property
     def packed(self) -> list[str]:
